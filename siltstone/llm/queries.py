@@ -17,6 +17,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.secret_scan import secret_scan
+
+    return secret_scan(_table(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siltstone.llm.exact_dedup import exact_dedup
 
@@ -31,6 +37,12 @@ def op4_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_records(spark, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.license_scan import license_scan
+
+    return license_scan(_table(spark, sf_dir, "documents"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siltstone.llm.packing import pack
 
@@ -50,7 +62,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_table(spark, sf_dir, "documents"), scratch(spark, "shards"), arrivals=4, target=128 << 20)
 
 
-QUERIES = {f.__name__: f for f in (op3_exact_dedup, op4_token_records, op8_best_fit_packing, op9_token_counts, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_exact_dedup, op4_token_records, op7_license_scan, op8_best_fit_packing, op9_token_counts, op10_sharding)}
 
 ORACLE = {
     "op3_exact_dedup": """

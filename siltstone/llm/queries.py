@@ -23,6 +23,15 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(_table(spark, sf_dir, "documents"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm import langid
+
+    docs = _table(spark, sf_dir, "documents")
+    model = langid.fit(langid.training_rows(docs))
+    rows = docs.select("doc_id", langid.held_out().alias("held_out"), "text")
+    return langid.predict(rows, model).drop("text")
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siltstone.llm.exact_dedup import exact_dedup
 
@@ -62,7 +71,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_table(spark, sf_dir, "documents"), scratch(spark, "shards"), arrivals=4, target=128 << 20)
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_exact_dedup, op4_token_records, op7_license_scan, op8_best_fit_packing, op9_token_counts, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_language_id, op3_exact_dedup, op4_token_records, op7_license_scan, op8_best_fit_packing, op9_token_counts, op10_sharding)}
 
 ORACLE = {
     "op3_exact_dedup": """

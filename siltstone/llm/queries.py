@@ -46,6 +46,12 @@ def op4_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_records(spark, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.decontam import decontaminate
+
+    return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("word_spans")
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siltstone.llm.license_scan import license_scan
 
@@ -71,7 +77,9 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_table(spark, sf_dir, "documents"), scratch(spark, "shards"), arrivals=4, target=128 << 20)
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_language_id, op3_exact_dedup, op4_token_records, op7_license_scan, op8_best_fit_packing, op9_token_counts, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_language_id, op3_exact_dedup, op4_token_records, op5_decontamination, op7_license_scan, op8_best_fit_packing, op9_token_counts, op10_sharding)}
+
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE = {
     "op3_exact_dedup": """

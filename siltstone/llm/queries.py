@@ -52,6 +52,12 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("word_spans")
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.ngram_join import similarity_groups
+
+    return similarity_groups(_table(spark, sf_dir, "documents"), size=4, num=85, den=100)
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siltstone.llm.license_scan import license_scan
 
@@ -77,7 +83,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_table(spark, sf_dir, "documents"), scratch(spark, "shards"), arrivals=4, target=128 << 20)
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_language_id, op3_exact_dedup, op4_token_records, op5_decontamination, op7_license_scan, op8_best_fit_packing, op9_token_counts, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_language_id, op3_exact_dedup, op4_token_records, op5_decontamination, op6_ngram_join, op7_license_scan, op8_best_fit_packing, op9_token_counts, op10_sharding)}
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 

@@ -1,11 +1,68 @@
-"""A corpus pipeline of the llm operators."""
+"""A corpus pipeline of the llm operators: from raw documents to packed sequences.
 
-STAGES = []
+Each stage takes the documents that the one before it kept and returns those that it keeps, with the columns of
+documents; the last one returns the packed pieces. Between stages the documents are a Parquet table.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from siltstone.llm import decontam, exact_dedup, langid, ngram_join, packing
+from siltstone.llm.common import written
+from siltstone.llm.queries import TOKENIZERS
+
+#: SQL can't express the classifier, nor the packing.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops texts without a letter and those that are far from every language's centroids."""
+    model = langid.fit(langid.training_rows(docs))
+    return langid.predict(docs, model).where(~F.col("rejected")).select(*docs.columns)
+
+
+def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each text, the one with the largest doc_id."""
+    return exact_dedup.keep_distinct(docs, keep="max").select(*docs.columns)
+
+
+def distinct_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest doc_id of each group of near copies (five words, similarity 0.8).
+
+    An id with several rows stays if any of them does; rows without an id stay.
+    """
+    groups = ngram_join.similarity_groups(docs, size=5, num=4, den=5)
+    gone = groups.groupBy("doc_id").agg(F.bool_and(F.col("component_id") != F.col("doc_id")).alias("gone")).where("gone").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that benchmark passages make up a twentieth of, or more."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    gone = decontam.decontaminate(docs, benchmark).where("contaminated").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents, packed into sequences of 4096 tokens."""
+    return packing.pack(docs, f"{TOKENIZERS}/word_bpe_49k.json", end_id=1, size=4096)
+
+
+STAGES = [
+    ("language ID", language_id),
+    ("exact dedup", distinct_texts),
+    ("n-gram Jaccard join", distinct_groups),
+    ("benchmark decontamination", decontaminated),
+    ("best-fit packing", packed),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of sf_dir."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for k, (_, stage) in enumerate(STAGES):
+        out = stage(spark, docs, sf_dir)
+        docs = written(out, f"stage-{k + 1}") if k + 1 < len(STAGES) else out
     return docs

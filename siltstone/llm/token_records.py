@@ -1,8 +1,8 @@
 """Token ids as framed binary records with a separate offset index.
 
 A record is: payload length (8 bytes), masked checksum of those, payload, masked checksum of the payload; all
-little-endian. A payload is one byte (1: the document has an id), the id (8 bytes), then the token ids
-(4 bytes each). A checksum is CRC-32, rotated right by 15 bits plus a constant, so that a checksum of bytes that
+little-endian. A payload is one byte (1: the document has an id), the id (8 bytes), the width of a token id
+(1 byte: 2, or 4 if one of them needs it), then the token ids. A checksum is CRC-32, rotated right by 15 bits plus a constant, so that a checksum of bytes that
 hold checksums themselves stays telling. The index has a row for each record with its file and offset, so that a
 reader can fetch records in any order.
 """
@@ -51,6 +51,17 @@ def read_frame(f) -> bytes | None:
     return body[:length]
 
 
+def serialize(doc_id: int | None, ids: np.ndarray) -> bytes:
+    width = 4 if len(ids) and int(ids.max()) > 0xFFFF else 2
+    return struct.pack("<?qB", doc_id is not None, doc_id or 0, width) + ids.astype(f"<u{width}").tobytes()
+
+
+def deserialize(payload: bytes) -> tuple[int | None, np.ndarray]:
+    """doc_id and token ids (as 4-byte numbers) of a payload."""
+    has_id, doc_id, width = struct.unpack("<?qB", payload[:10])
+    return (doc_id if has_id else None), np.frombuffer(payload, f"<u{width}", offset=10).astype("<u4")
+
+
 def _writer(folder: str, tokenizer_path: str, end_id: int):
     def run(batches):
         enc, n = encoder(tokenizer_path), TaskContext.get().partitionId()
@@ -63,7 +74,7 @@ def _writer(folder: str, tokenizer_path: str, end_id: int):
                     part = b.slice(i, 512)
                     index = []
                     for doc_id, ids in zip(part["doc_id"].to_pylist(), enc.encode(part["text"].to_pylist()), strict=True):
-                        data = frame(struct.pack("<?q", doc_id is not None, doc_id or 0) + np.append(ids, end_id).astype("<u4").tobytes())
+                        data = frame(serialize(doc_id, np.append(ids, end_id)))
                         out.write(data)
                         index.append((n, doc_id, at, len(data), len(ids) + 1))
                         at += len(data)
@@ -95,10 +106,9 @@ def _reader(folder: str):
                 rows = []
                 with fs.open_input_stream(f"{base}/part-{n:06d}.rec", buffer_size=1 << 20) as f:
                     while (payload := read_frame(f)) is not None:
-                        has_id, doc_id = struct.unpack("<?q", payload[:9])
-                        n_tokens = (len(payload) - 9) // 4
-                        rows.append((n, doc_id if has_id else None, start, n_tokens, zlib.crc32(payload[9:])))
-                        start += n_tokens
+                        doc_id, ids = deserialize(payload)
+                        rows.append((n, doc_id, start, len(ids), zlib.crc32(ids.tobytes())))
+                        start += len(ids)
                         if len(rows) == 5000:
                             yield _batch(rows)
                             rows = []
@@ -130,5 +140,5 @@ def fetch_records(folder: str, index_rows: list[tuple[int, int, int]]) -> list[n
     for n, offset, n_bytes in index_rows:
         with fs.open_input_file(f"{base}/part-{n:06d}.rec") as f:
             payload = read_frame(pa.BufferReader(f.read_at(n_bytes, offset)))
-        out.append(np.frombuffer(payload[9:], "<u4"))
+        out.append(deserialize(payload)[1])
     return out

@@ -75,7 +75,8 @@ def keep_distinct(docs: DataFrame, keep: str = "min") -> DataFrame:
     """The rows of docs that stay, all columns. Rows with the same id and text count as one."""
     rows = written(digests(docs.select("doc_id", "text")).drop("text").withColumn("row", F.monotonically_increasing_id()), "digests")
     stay = merge_runs(rows, keep).select(*[F.col(c).alias(f"_{c}") for c in _KEY], F.col("best.doc_id").alias("_keep"))
-    keyed = digests(docs.withColumnsRenamed({c: f"data.{c}" for c in docs.columns if c not in ("doc_id", "text")}))
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    keyed = digests(docs.withColumnsRenamed({c: f"other{i}" for i, c in enumerate(others)}))
     same = [F.col(c) == F.col(f"_{c}") for c in _KEY] + [F.col("doc_id").eqNullSafe(F.col("_keep"))]
     out = keyed.join(stay, same, "left_semi").dropDuplicates([*_KEY, "doc_id"]).drop(*_KEY)
-    return out.withColumnsRenamed({f"data.{c}": c for c in docs.columns if c not in ("doc_id", "text")})
+    return out.withColumnsRenamed({f"other{i}": c for i, c in enumerate(others)})

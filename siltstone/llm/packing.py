@@ -56,74 +56,76 @@ def best_fit(lengths: np.ndarray, size: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], lengths: np.ndarray, size: int, patience: int = 64) -> list[list[int]]:
+def local_search(bins: list[list[int]], lengths: np.ndarray, size: int, patience: int = 64, pair_bins: int = 256) -> list[list[int]]:
     """Empties underfull bins: documents of the emptiest are moved to others, or swapped one for one or one for two.
 
     Each step takes tokens from the emptiest bin to one that is at least as full, so the sum of squared fills
     rises and the search ends. A bin that no step helps is set aside until the next step; the search also ends
-    after `patience` such bins in a row, or when the room left in all bins together is less than one bin.
+    after `patience` such bins in a row, or when the room left in all bins together is less than one bin. Swaps
+    for two are looked for in the pair_bins roomiest bins.
     """
-    fill = [int(lengths[b].sum()) for b in bins]
-    open_ = sorted((k for k in range(len(bins)) if fill[k] < size), key=lambda k: fill[k])
-    done = set()
-    while 1 < len(open_) and len(done) < min(len(open_), patience):
-        room = sum(size - fill[k] for k in open_)
-        victim = min((k for k in open_ if k not in done), key=lambda k: (fill[k], k))
-        if room < size:  # what is left wouldn't fit in one bin less
+    bin_of = np.zeros(len(lengths), np.int64)
+    for k, b in enumerate(bins):
+        bin_of[b] = k
+    fill = np.bincount(bin_of, weights=lengths, minlength=len(bins)).astype(np.int64)
+    items = np.flatnonzero(fill[bin_of] < size)  # full bins stay as they are
+    done = np.zeros(len(bins), bool)
+    while True:
+        open_ = np.flatnonzero((fill > 0) & (fill < size))
+        if len(open_) < 2 or (size - fill[open_]).sum() < size or done[open_].sum() >= min(len(open_), patience):
             break
-        others = np.array([k for k in open_ if k != victim and fill[k] >= fill[victim]])
-        if not len(others):
-            done.add(victim)
-            continue
-        if not _step(bins, fill, lengths, size, victim, others):
-            done.add(victim)
+        free = open_[~done[open_]]
+        victim = int(free[np.argmin(fill[free])])
+        step = _step(victim, bin_of, fill, lengths, size, items, pair_bins)
+        if step is None:
+            done[victim] = True
             continue
-        done.clear()
-        if not bins[victim]:
-            open_.remove(victim)
-        open_ = [k for k in open_ if fill[k] < size]
-    return [b for b in bins if b]
-
-
-def _step(bins: list[list[int]], fill: list[int], lengths: np.ndarray, size: int, victim: int, others: np.ndarray) -> bool:
-    """One move or swap of the largest gain; False if there is none."""
-    rooms = np.array([size - fill[k] for k in others])
-    held = [(k, i) for k in others.tolist() for i in bins[k]]
-    where, items = np.array([k for k, _ in held]), np.array([i for _, i in held])
-    sizes, slack = lengths[items], np.array([size - fill[k] for k in where.tolist()])
-    best, act = 0, None
-    for a in bins[victim]:
-        n = int(lengths[a])
-        fits = np.flatnonzero(rooms >= n)
-        if len(fits) and n > best:
-            best, act = n, (int(others[fits[np.argmin(rooms[fits])]]), [a], [])
-        gain = np.where((n - sizes > 0) & (n - sizes <= slack), n - sizes, 0)
-        if gain.max() > best:
+        done[:] = False
+        k, out, back = step
+        bin_of[out], bin_of[back] = k, victim
+        moved = int(lengths[out] - lengths[back].sum())
+        fill[k] += moved
+        fill[victim] -= moved
+    order = np.argsort(bin_of, kind="stable")
+    return [b.tolist() for b in np.split(order, np.flatnonzero(np.diff(bin_of[order])) + 1)] if len(order) else []
+
+
+def _step(victim: int, bin_of: np.ndarray, fill: np.ndarray, lengths: np.ndarray, size: int, items: np.ndarray, pair_bins: int) -> tuple[int, int, list[int]] | None:
+    """The move or swap of the largest gain: bin, the victim's document for it, the documents that come back for that."""
+    open_ = np.flatnonzero((fill >= fill[victim]) & (fill < size))
+    open_ = open_[open_ != victim]
+    own = items[bin_of[items] == victim]
+    if not len(open_) or not len(own):
+        return None
+    rooms = size - fill[open_]
+    small = own[lengths[own] <= rooms.max()]
+    if len(small):  # the longest that fits anywhere, to where it leaves the least room
+        a = int(small[np.argmax(lengths[small])])
+        fits = np.flatnonzero(rooms >= lengths[a])
+        best, act = int(lengths[a]), (int(open_[fits[np.argmin(rooms[fits])]]), a, [])
+    else:
+        best, act = 0, None
+    others = items[(fill[bin_of[items]] < size) & (fill[bin_of[items]] >= fill[victim]) & (bin_of[items] != victim)]
+    sizes, slack = lengths[others], size - fill[bin_of[others]]
+    for a in own[np.unique(lengths[own], return_index=True)[1]].tolist():
+        gain = lengths[a] - sizes
+        gain = np.where((gain > 0) & (gain <= slack), gain, 0)
+        if len(gain) and gain.max() > best:
             j = int(gain.argmax())
-            best, act = int(gain[j]), (int(where[j]), [a], [int(items[j])])
-    if act is None:  # one for two: a long document for two short ones of the same bin
-        for k in others.tolist():
-            if len(bins[k]) > 1:
-                own = np.array(bins[k])
-                pairs = lengths[own][:, None] + lengths[own][None, :]
-                pairs[np.tril_indices(len(own))] = size + 1
-                for a in bins[victim]:
-                    gain = int(lengths[a]) - pairs
+            best, act = int(gain[j]), (int(bin_of[others[j]]), a, [int(others[j])])
+    if act is None:
+        for k in open_[np.argsort(-rooms, kind="stable")][:pair_bins].tolist():
+            mine = others[bin_of[others] == k]
+            if len(mine) > 1:
+                pairs = lengths[mine][:, None] + lengths[mine][None, :]
+                pairs[np.tril_indices(len(mine))] = size + 1
+                for a in own.tolist():
+                    gain = lengths[a] - pairs
                     gain = np.where((gain > 0) & (gain <= size - fill[k]), gain, 0)
                     if gain.max() > best:
                         x, y = np.unravel_index(gain.argmax(), gain.shape)
-                        best, act = int(gain[x, y]), (k, [a], [int(own[x]), int(own[y])])
-    if act is None:
-        return False
-    k, out, back = act
-    for a in out:
-        bins[victim].remove(a)
-        bins[k].append(a)
-    for i in back:
-        bins[k].remove(i)
-        bins[victim].append(i)
-    fill[k], fill[victim] = int(lengths[bins[k]].sum()), int(lengths[bins[victim]].sum())
-    return True
+                        best, act = int(gain[x, y]), (k, a, [int(mine[x]), int(mine[y])])
+    return act
 
 
 def _packer(size: int, round_: int):

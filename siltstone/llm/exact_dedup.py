@@ -35,8 +35,9 @@ def merge_runs(rows: DataFrame, keep: str) -> DataFrame:
     struct make Spark aggregate by sorting: a map task sorts its run and folds equal digests before the
     exchange, and the task that receives the runs merges them in digest order, keeping the best row.
     """
-    rounds, n = 1, rows.rdd.getNumPartitions()
-    while 1 << (FAN_BITS * rounds) < n:
+    runs = 1 + (rows.agg(F.max(F.spark_partition_id())).first()[0] or 0)
+    rounds = 1
+    while 1 << (FAN_BITS * rounds) < runs:
         rounds += 1
     best = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     if keep == "max":
@@ -46,7 +47,8 @@ def merge_runs(rows: DataFrame, keep: str) -> DataFrame:
     lead = F.conv(F.hex(F.substring("digest", 1, 3)), 16, 10).cast("int")  # the first 24 bits
     for k in range(1, rounds + 1):
         bits = min(24, FAN_BITS * k)
-        merged = level.withColumn("run", F.shiftright("run", FAN_BITS)).withColumn("slice", F.shiftright(lead, 24 - bits))
+        run = F.shiftright("run", FAN_BITS) if k < rounds else F.lit(0)
+        merged = level.withColumn("run", run).withColumn("slice", F.shiftright(lead, 24 - bits))
         level = merged.groupBy("slice", "run", *_KEY).agg(fold("best").alias("best"), F.sum("n_rows").alias("n_rows")).drop("slice")
     return level.drop("run")
 

@@ -16,7 +16,7 @@ BITS = 12
 _SIZE = 1 << BITS
 #: Characters from which on a text must come up to the whole floor of its centroid.
 FULL = 1000
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = re.compile(r"[A-Za-z]")
 _CHUNK = 1 << 20
 
 
@@ -45,6 +45,10 @@ def features(text: str, idf: np.ndarray) -> np.ndarray:
     return (v / norm if norm else v).astype(np.float32)
 
 
+def has_letter(text: str) -> bool:
+    return bool(_LETTER.search(text)) or not text.isascii() and any(map(str.isalpha, text))
+
+
 @dataclass
 class Model:
     """langs: of each centroid; floor: the least cosine that it accepts."""
@@ -56,7 +60,7 @@ class Model:
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Language, cosine with the nearest centroid (0 to 1), rejected. Without a letter: und, 0, rejected."""
-        if text is None or not _LETTER.search(text) or not self.langs:
+        if text is None or not has_letter(text) or not self.langs:
             return "und", 0.0, True
         near = self.centroids @ features(text, self.idf)
         k = int(near.argmax())

@@ -35,7 +35,7 @@ def merge_runs(rows: DataFrame, keep: str) -> DataFrame:
     struct make Spark aggregate by sorting: a map task sorts its run and folds equal digests before the
     exchange, and the task that receives the runs merges them in digest order, keeping the best row.
     """
-    runs = 1 + (rows.agg(F.max(F.spark_partition_id())).first()[0] or 0)
+    runs = 1 + (rows.select(F.spark_partition_id().alias("run")).agg(F.max("run")).first()[0] or 0)
     rounds = 1
     while 1 << (FAN_BITS * rounds) < runs:
         rounds += 1

@@ -3,7 +3,8 @@
 All sets are sorted by one order, rare shingles first. If two sets of x and y shingles are similar enough, they share
 at least o = max(ceil(t x), ceil(t y)) of them, so their first x - o + k and y - o + k shingles share at least k, for any k.
 Each set picks its own k: a longer prefix costs more list entries but asks for more matches, so fewer candidates
-are verified. Two sets are candidates if they share min(k of both) prefix shingles.
+are verified. Once two sets meet, both sizes are known, and o is the overlap that this pair needs: they are candidates
+if they share k = min(k of both) shingles among the first x - o + k and y - o + k.
 
 Links serve to group documents, so they need not all be listed. Equal sets count once. Then each set is compared with
 the two hubs that it shares the most prefix shingles with (a hub: the set of a list whose own shingles are the most
@@ -224,7 +225,7 @@ def _numbered(sets: DataFrame) -> DataFrame:
 
 
 def _lists(prefixes: DataFrame, num: int, den: int) -> DataFrame:
-    """Entries (token, sid, n, df, k) of the lists with two sets or more, within the prefix of each set's own k matches."""
+    """Entries (token, sid, n, pos, df, k) of the lists with two sets or more, within the prefix of each set's own k matches."""
     by_token = Window.partitionBy("token")
     several = prefixes.withColumn("df", F.count(F.lit(1)).over(by_token)).where("df > 1").drop("df")
     # a set that several tasks came across has its prefix there as often
@@ -242,7 +243,7 @@ def _lists(prefixes: DataFrame, num: int, den: int) -> DataFrame:
     choice = F.coalesce(*[F.when(allowed[k] == least, F.lit(k + 1)) for k in range(MATCHES)], F.lit(1))
     chosen = per_set.select("sid", choice.alias("k"))
     kept = entries.join(chosen, "sid").where(F.col("pos") < F.col("n") - F.col("need") + F.col("k"))
-    return kept.select("token", "sid", "n", "df", "k")
+    return kept.select("token", "sid", "n", "pos", "df", "k")
 
 
 def _fits(x: str, y: str, num: int, den: int) -> Column:
@@ -267,10 +268,14 @@ def _cross_pairs(lists: DataFrame, labels: DataFrame, done: DataFrame, num: int,
     grouped = lists.join(labels, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     mixed = grouped.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("token")
     entries = written(grouped.join(mixed, "token"), "cross-entries")
-    one = entries.select("token", F.col("sid").alias("a"), F.col("n").alias("n_a"), F.col("k").alias("k_a"), F.col("root").alias("r_a"))
-    two = entries.select("token", F.col("sid").alias("b"), F.col("n").alias("n_b"), F.col("k").alias("k_b"), F.col("root").alias("r_b"))
-    met = one.join(two, "token").where((F.col("a") < F.col("b")) & (F.col("r_a") != F.col("r_b")) & _fits("n_a", "n_b", num, den))
-    enough = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("k_a", "k_b")).alias("k")).where("shared >= k")
+    one = entries.select("token", *[F.col(c).alias(f"{c}_a") for c in ("sid", "n", "pos", "k", "root")])
+    two = entries.select("token", *[F.col(c).alias(f"{c}_b") for c in ("sid", "n", "pos", "k", "root")])
+    k = F.least("k_a", "k_b")
+    overlap = F.ceil((F.col("n_a") + F.col("n_b")) * num / (num + den)).cast("long")
+    early = (F.col("pos_a") < F.col("n_a") - overlap + k) & (F.col("pos_b") < F.col("n_b") - overlap + k)
+    met = one.join(two, "token").where((F.col("sid_a") < F.col("sid_b")) & (F.col("root_a") != F.col("root_b")) & _fits("n_a", "n_b", num, den) & early)
+    met = met.select(F.col("sid_a").alias("a"), F.col("sid_b").alias("b"), k.alias("k"))
+    enough = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.first("k").alias("k")).where("shared >= k")
     return enough.select("a", "b").join(done.select("a", "b"), ["a", "b"], "left_anti")
 
 

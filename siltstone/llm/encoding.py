@@ -38,7 +38,7 @@ class _Seen(dict):
 class MemoEncoder:
     """encode(texts) gives (ids of all texts in a row, number of ids of each text)."""
 
-    def __init__(self, path: str, max_pieces: int = 1_600_000, max_chars: int = 32_000_000):
+    def __init__(self, path: str, max_pieces: int = 600_000, max_chars: int = 12_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

@@ -26,7 +26,7 @@ def bm25(docs: DataFrame, doc_id: str, text: str, terms: Sequence[str]) -> DataF
     which is broadcast), the other one scores.
     """
     own = docs.select(doc_id, tokens(F.col(text)).alias("_t"))
-    tf = [F.size(F.filter("_t", lambda x, t=t: x == t)).alias(f"_tf{i}") for i, t in enumerate(terms)]
+    tf = [(F.size("_t") - F.size(F.array_remove("_t", t))).alias(f"_tf{i}") for i, t in enumerate(terms)]
     rows = own.select(doc_id, F.size("_t").alias("_len"), *tf)
     stats = rows.agg(F.count(F.lit(1)).alias("_n"), F.avg("_len").alias("_avg"), *[F.count_if(F.col(f"_tf{i}") > 0).alias(f"_df{i}") for i in range(len(terms))])
     score = F.lit(0.0)

@@ -6,7 +6,7 @@ import math
 import duckdb
 import pytest
 
-from siltstone.plans import documents, market
+from siltstone.plans import documents, lifecycle, market  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -6,6 +6,7 @@ import string
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,3 +62,8 @@ def join_hot(rows: DataFrame, groups: DataFrame, keys: list[str], count: str, to
 def local_path(uri: str) -> str:
     """The path of a file: URI, as Python's open() takes it."""
     return uri[len("file://") :] if uri.startswith("file://") else uri.removeprefix("file:")
+
+
+def give_back() -> None:
+    """Returns Arrow's freed memory to the system: workers are reused, and what one stage held would weigh on the next."""
+    pa.default_memory_pool().release_unused()

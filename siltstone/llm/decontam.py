@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import join_hot, written
+from siltstone.llm.common import give_back, join_hot, written
 
 _WORDS = bytes(
     c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256)
@@ -225,6 +225,8 @@ def _searcher(shared, id_type):
                 size += len(text or "")
         if ids:
             yield done(windows, ids, texts)
+        ids, texts = [], []
+        give_back()
 
     return run
 

@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import written
+from siltstone.llm.common import give_back, written
 
 #: Counters of the frequency sketch: a fixed size, whatever the corpus.
 SKETCH_BITS = 22
@@ -49,6 +49,12 @@ class _Hashes(dict):
 _HASHES = _Hashes()
 
 
+def _rest() -> None:
+    """Empties the memo at the end of a task, for the stages that come after it in a reused worker."""
+    _HASHES.clear()
+    give_back()
+
+
 def shingle_set(text: bytes, size: int) -> np.ndarray:
     """Sorted 64-bit hashes of the distinct shingles of `size` words (parted by ASCII white space); with fewer words, of all of them."""
     words = text.split()
@@ -98,6 +104,7 @@ def _sets(size: int):
             block = sketch[k << _BLOCK_BITS : (k + 1) << _BLOCK_BITS]
             if block.any():
                 yield _set_batch([(None, None, None, None, k, zlib.compress(block.astype("<u4").tobytes(), 1))])
+        _rest()
 
     return run
 
@@ -166,6 +173,7 @@ def _verifier(size: int, num: int, den: int):
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 linked.append(den * both >= num * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([b["a"], b["b"], pa.array(linked, pa.bool_())], ["a", "b", "linked"])
+        _rest()
 
     return run
 

@@ -29,7 +29,9 @@ _HEX = re.compile(r"[0-9a-f]{32,}")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-_PRINTABLE = bytes(range(0x20, 0x7F)) + b"\t\n\r"
+#: What decoded bytes must hold for a secret to come out of them: the shortest secret has 14 ASCII characters, and
+#: coded ones are longer; or the start of compressed data, or an escape.
+_WORTH = re.compile(rb"[\t\n\r\x20-\x7e]{14}|\x1f\x8b|\x78[\x01\x5e\x9c\xda]|BZh|\xfd7zXZ\x00|\x28\xb5\x2f\xfd|%[0-9A-Fa-f]{2}|\\[uUx]|&#")
 #: The most bytes that one compressed layer may unpack to; a longer one isn't followed (it would be a bomb).
 MAX_LAYER = 16 << 20
 
@@ -87,7 +89,11 @@ class Layer:
 
 
 def _as_text(data: bytes, start: np.ndarray, end: np.ndarray) -> Layer | None:
-    """A layer of data, whose bytes come from start to end, if data is printable UTF-8, or compressed such."""
+    """A layer of data, whose bytes come from start to end, or of what compressed data holds; None if it is empty.
+
+    Each byte is a character of its own: all patterns are of ASCII characters, which are the same bytes in UTF-8 and
+    in most other encodings. So what else the data holds, text or not, doesn't hide a secret.
+    """
     for _ in range(64):  # compressed data inside compressed data
         more = _unpack(data)
         if more is None:
@@ -96,16 +102,7 @@ def _as_text(data: bytes, start: np.ndarray, end: np.ndarray) -> Layer | None:
             return None
         data = more
         start, end = (np.full(len(data), x) for x in ((start.min(), end.max()) if len(start) else (0, 0)))
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    if not text or any(not c.isprintable() for c in set(text) - set("\t\n\r")):
-        return None
-    if not text.isascii():
-        first = np.flatnonzero((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)
-        start, end = start[first], end[np.append(first[1:], len(data)) - 1]
-    return Layer(text, start, end)
+    return Layer(data.decode("latin-1"), start, end) if data else None
 
 
 def _replaced(layer: Layer, matches: list[tuple[int, int, str, np.ndarray, np.ndarray]]) -> Layer:
@@ -165,9 +162,8 @@ def _base64(layer: Layer) -> list[Layer]:
             data = base64.b64decode(body.translate({45: 43, 95: 47}) + "=" * (-len(body) % 4))
         except ValueError:
             continue
-        if data.translate(None, _PRINTABLE) and data[0] < 0x80 and data[:1] not in b"\x1f\x78B\x28":
-            if not any(x >= 0xC2 for x in data[:64]):
-                continue
+        if not _WORTH.search(data):
+            continue
         at = m.start()
         n = np.arange(len(data))
         first, last = at + n * 8 // 6, at + (n * 8 + 7) // 6

@@ -98,3 +98,14 @@ def test_odd_rows(spark):
         none = hashlib.sha256(b"").hexdigest()
         assert got.where("text is null" if "text" in got.columns else "n_assign = 0").where(f"base_sha256 <> '{none}'").count() == 0
     assert secret_scan(empty(spark)).count() == 0
+
+
+def test_other_characters_do_not_hide_a_layer():
+    late = "x" * 70 + " " + SECRET + " café"
+    assert inner(base64.b64encode(late.encode()).decode()), "non-ASCII late in the layer"
+    assert inner(base64.b64encode(late.encode("latin-1")).decode()), "not UTF-8"
+    for c in "\u00a0\u3000\ufeff\f\0\x1b":
+        text = f"nom {c}: café\n{SECRET}\n"
+        for data in (text.encode(), gzip.compress(text.encode())):
+            assert [k for k, _, _ in inner("é " + base64.b64encode(data).decode() + " z")] == ["assign"], (c, data)
+        assert inner("".join(f"%{x:02x}" for x in text.encode())), c

@@ -7,7 +7,7 @@ up before at the same place isn't followed again, so rounds of encoding that lea
 
 from __future__ import annotations
 
-import base64
+import binascii
 import bz2
 import hashlib
 import lzma
@@ -28,7 +28,11 @@ _HEX = re.compile(r"[0-9a-f]{32,}")
 
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}")
+#: Runs that only a line end and indentation part, as in base64 that is wrapped. It starts where a run does, so it takes linear time.
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/_-]++)+")
+_STANDARD = bytes.maketrans(b"-_", b"+/")
+_MAGIC = re.compile(rb"\x1f\x8b|\x78[\x01\x5e\x9c\xda]|BZh|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
 #: What decoded bytes must hold for a secret to come out of them: the shortest secret has 14 ASCII characters, and
 #: coded ones are longer; or the start of compressed data, or an escape.
 _WORTH = re.compile(rb"[\t\n\r\x20-\x7e]{14}|\x1f\x8b|\x78[\x01\x5e\x9c\xda]|BZh|\xfd7zXZ\x00|\x28\xb5\x2f\xfd|%[0-9A-Fa-f]{2}|\\[uUx]|&#")
@@ -49,33 +53,28 @@ def find_secrets(text: str) -> list[Span]:
     return [(KINDS[k], a, b) for a, k, b in sorted(found)]
 
 
-def _unpack(data: bytes) -> bytes | None:
-    """Decompressed data if data starts as gzip, zlib, bzip2, xz or zstd does and is sound."""
+def _unpack(data: bytes) -> tuple[bytes, int] | None:
+    """Decompressed data and the bytes it took, if data starts as gzip, zlib, bzip2, xz or zstd does and is sound."""
     try:
-        if data[:2] == b"\x1f\x8b" or data[:1] == b"\x78" and data[1:2] in (b"\x01", b"\x5e", b"\x9c", b"\xda"):
+        if data[:2] == b"\x1f\x8b" or data[:1] == b"\x78":
             d = zlib.decompressobj(47)
-            out = d.decompress(data, MAX_LAYER)
-            return out if d.eof else None
-        if data[:3] == b"BZh":
+        elif data[:3] == b"BZh":
             d = bz2.BZ2Decompressor()
-            out = d.decompress(data, MAX_LAYER)
-            return out if d.eof else None
-        if data[:6] == b"\xfd7zXZ\x00":
+        elif data[:1] == b"\xfd":
             d = lzma.LZMADecompressor()
-            out = d.decompress(data, MAX_LAYER)
-            return out if d.eof else None
-        if data[:4] == b"\x28\xb5\x2f\xfd":
+        else:
             import zstandard
 
             out = zstandard.ZstdDecompressor().stream_reader(data).read(MAX_LAYER + 1)
-            return out if len(out) <= MAX_LAYER else None
+            return (out, len(data)) if len(out) <= MAX_LAYER else None
+        out = d.decompress(data, MAX_LAYER)
+        return (out, len(data) - len(d.unused_data)) if d.eof else None
     except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError):
         return None
     except Exception as e:  # zstandard has an error class of its own
         if type(e).__name__ == "ZstdError":
             return None
         raise
-    return None
 
 
 class Layer:
@@ -88,21 +87,13 @@ class Layer:
         return int(self.start[a:b].min()), int(self.end[a:b].max())
 
 
-def _as_text(data: bytes, start: np.ndarray, end: np.ndarray) -> Layer | None:
-    """A layer of data, whose bytes come from start to end, or of what compressed data holds; None if it is empty.
+def _of_bytes(data: bytes, start: np.ndarray, end: np.ndarray) -> Layer:
+    """A layer of data, whose bytes come from start to end.
 
     Each byte is a character of its own: all patterns are of ASCII characters, which are the same bytes in UTF-8 and
     in most other encodings. So what else the data holds, text or not, doesn't hide a secret.
     """
-    for _ in range(64):  # compressed data inside compressed data
-        more = _unpack(data)
-        if more is None:
-            break
-        if more == data:
-            return None
-        data = more
-        start, end = (np.full(len(data), x) for x in ((start.min(), end.max()) if len(start) else (0, 0)))
-    return Layer(data.decode("latin-1"), start, end) if data else None
+    return Layer(data.decode("latin-1"), start, end)
 
 
 def _replaced(layer: Layer, matches: list[tuple[int, int, str, np.ndarray, np.ndarray]]) -> Layer:
@@ -117,58 +108,64 @@ def _replaced(layer: Layer, matches: list[tuple[int, int, str, np.ndarray, np.nd
 
 
 def _percent(layer: Layer) -> list[Layer]:
-    inside, apart = [], []
+    inside = []
     for m in _PERCENT.finditer(layer.text):
         a, b = m.span()
-        data = bytes.fromhex(m.group().replace("%", ""))
-        start, end = layer.start[a:b:3], layer.end[a + 2 : b : 3]
-        if (new := _as_text(data, start, end)) is not None:
-            if _unpack(data) is None:
-                inside.append((a, b, new.text, new.start, new.end))
-            else:
-                apart.append(new)
-    return [_replaced(layer, inside), *apart] if inside else apart
+        new = _of_bytes(bytes.fromhex(m.group().replace("%", "")), layer.start[a:b:3], layer.end[a + 2 : b : 3])
+        inside.append((a, b, new.text, new.start, new.end))
+    return [_replaced(layer, inside)] if inside else []
 
 
 def _escapes(layer: Layer) -> list[Layer]:
-    inside, apart, run = [], [], []
-
-    def close() -> None:
-        if run and all(n < 256 for _, _, n in run) and (data := bytes(n for _, _, n in run)) and _unpack(data) is not None:
-            a, b = run[0][0], run[-1][1]
-            if (new := _as_text(data, layer.start[[a] * len(data)], layer.end[[b - 1] * len(data)])) is not None:
-                apart.append(new)
-        run.clear()
-
+    inside = []
     for m in _ESCAPE.finditer(layer.text):
         a, b = m.span()
         n = int(m.group(m.lastindex), 10 if m.lastindex == 6 else 16)
-        if run and run[-1][1] != a:
-            close()
-        run.append((a, b, n))
         if n < 0x110000 and not 0xD800 <= n < 0xE000:
             inside.append((a, b, chr(n), layer.start[a : a + 1], layer.end[b - 1 : b]))
-    close()
-    return [_replaced(layer, inside), *apart] if inside else apart
+    return [_replaced(layer, inside)] if inside else []
 
 
 def _base64(layer: Layer) -> list[Layer]:
+    """What runs of base64's characters decode to, each run alone and joined with those on the next lines.
+
+    Where in a run the payload starts isn't known (a path or a name may stand before it), so the run is decoded
+    from each of its first four characters: one of these is in step with the payload.
+    """
     out = []
-    for m in _BASE64.finditer(layer.text):
-        body = m.group().rstrip("=")
-        if len(body) % 4 == 1:
-            body = body[:-1]
-        try:
-            data = base64.b64decode(body.translate({45: 43, 95: 47}) + "=" * (-len(body) % 4))
-        except ValueError:
-            continue
-        if not _WORTH.search(data):
+    for m in (*_BASE64.finditer(layer.text), *_WRAPPED.finditer(layer.text)):
+        raw = m.group().encode()
+        body = raw.translate(_STANDARD, b" \t\r\n")
+        if len(body) < 16:
             continue
-        at = m.start()
-        n = np.arange(len(data))
-        first, last = at + n * 8 // 6, at + (n * 8 + 7) // 6
-        if (new := _as_text(data, layer.start[first], layer.end[last])) is not None:
-            out.append(new)
+        at = None
+        for a in range(4):
+            part = body[a : len(body) - ((len(body) - a) % 4 == 1)]
+            data = binascii.a2b_base64(part + b"=" * (-len(part) % 4))
+            if not _WORTH.search(data):
+                continue
+            if at is None:
+                at = m.start() + np.flatnonzero(np.frombuffer(raw, np.uint8) > 32)
+            n = np.arange(len(data))
+            first, last = a + n * 8 // 6, a + (n * 8 + 7) // 6
+            out.append(_of_bytes(data, layer.start[at[first]], layer.end[at[last]]))
+    return out
+
+
+def _compressed(layer: Layer) -> list[Layer]:
+    """What compressed data in a decoded layer, wherever it starts, unpacks to; all of it comes from the one place.
+
+    The layer's own characters there are blanked: they are no text.
+    """
+    out, data, at = [], layer.text.encode("latin-1", "replace"), 0
+    while m := _MAGIC.search(data, at):
+        a = m.start()
+        at = a + 1
+        if more := _unpack(data[a:]):
+            at = a + more[1]
+            low, high = layer.span(a, at)
+            out.append(_of_bytes(more[0], np.full(len(more[0]), low), np.full(len(more[0]), high)))
+            layer.text = layer.text[:a] + "\0" * (at - a) + layer.text[at:]
     return out
 
 
@@ -177,7 +174,7 @@ def scan(text: str | None) -> tuple[list[Span], list[Span]]:
     text = text or ""
     base = find_secrets(text)
     coded = "%" in text or "\\" in text or "&#" in text
-    if not coded and not _BASE64.search(text):
+    if not coded and not _BASE64.search(text) and not _WRAPPED.search(text):
         return base, base
     found = set(base)
     work = deque([Layer(text, np.arange(len(text)), np.arange(1, len(text) + 1))])
@@ -185,11 +182,16 @@ def scan(text: str | None) -> tuple[list[Span], list[Span]]:
     while work:
         layer = work.popleft()
         for new in (*_percent(layer), *_escapes(layer), *_base64(layer)):
-            key = (*new.span(0, len(new.text)), hashlib.sha256(new.text.encode("utf-8", "replace")).digest())
-            if key not in seen:
-                seen.add(key)
-                found.update((kind, *new.span(a, b)) for kind, a, b in find_secrets(new.text))
-                work.append(new)
+            fresh = [new]
+            for new in fresh:
+                if not new.text:
+                    continue
+                key = (*new.span(0, len(new.text)), hashlib.sha256(new.text.encode("utf-8", "replace")).digest())
+                if key not in seen:
+                    seen.add(key)
+                    fresh += _compressed(new)
+                    found.update((kind, *new.span(a, b)) for kind, a, b in find_secrets(new.text))
+                    work.append(new)
     return base, sorted(found, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 

@@ -2,6 +2,7 @@ import base64
 import bz2
 import gzip
 import hashlib
+import lzma
 import re
 import urllib.parse
 import zlib
@@ -109,3 +110,27 @@ def test_other_characters_do_not_hide_a_layer():
         for data in (text.encode(), gzip.compress(text.encode())):
             assert [k for k, _, _ in inner("é " + base64.b64encode(data).decode() + " z")] == ["assign"], (c, data)
         assert inner("".join(f"%{x:02x}" for x in text.encode())), c
+
+
+def test_payloads_inside_runs():
+    b64 = base64.b64encode(SECRET.encode()).decode()
+    for before in ("example.com/path/", "data_", "x-", "a", "ab", "abc", "abcd/"):
+        for after in ("", "/more", " z"):
+            text = "é " + before + b64 + after
+            assert any(k == "assign" and 2 + len(before) <= a <= 5 + len(before) for k, a, _ in inner(text)), text
+    zipped = "path/" + base64.b64encode(gzip.compress(SECRET.encode())).decode()
+    assert [k for k, _, _ in inner(zipped)] == ["assign"]
+
+
+def test_wrapped_payloads():
+    for pad in range(76):
+        text = "key:\n" + base64.encodebytes(("x" * pad + " " + SECRET + " z" * 60).encode()).decode() + "end"
+        lone = inner(base64.b64encode(("x" * pad + " " + SECRET + " z" * 60).encode()).decode())
+        # the place in one line, with the line ends before it
+        places = {(a + 5 + a // 76, b + 5 + (b - 1) // 76) for _, a, b in lone}
+        assert places and places <= {(a, b) for _, a, b in inner(text)}, pad
+    noise = " ".join(hashlib.md5(bytes([i])).hexdigest()[:20] for i in range(30))
+    for pack in (gzip.compress, zlib.compress, bz2.compress, lzma.compress, zstandard.compress):
+        lines = base64.encodebytes(pack(f"{noise} {SECRET}".encode())).decode()
+        for text in (lines, lines.replace("\n", "\r\n"), "  " + lines.replace("\n", "\n  ")):
+            assert {k for k, _, _ in inner("é\n" + text + "\nz")} == {"assign"}, pack

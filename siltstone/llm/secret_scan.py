@@ -2,7 +2,8 @@
 
 A worklist holds layers: the text, then whatever URL escapes, Unicode escapes, base64 and compressed data in a
 layer decode to. Each new layer is searched and unwrapped in turn until nothing new turns up. A layer that came
-up before at the same place isn't followed again, so rounds of encoding that lead back to themselves end.
+up before at the same place isn't followed again, so rounds of encoding that lead back to themselves end. Unpacked
+data of any length is read as a stream of layers.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import hashlib
 import lzma
 import re
 import zlib
-from collections import deque
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +37,10 @@ _MAGIC = re.compile(rb"\x1f\x8b|\x78[\x01\x5e\x9c\xda]|BZh|\xfd7zXZ\x00|\x28\xb5
 #: What decoded bytes must hold for a secret to come out of them: the shortest secret has 14 ASCII characters, and
 #: coded ones are longer; or the start of compressed data, or an escape.
 _WORTH = re.compile(rb"[\t\n\r\x20-\x7e]{14}|\x1f\x8b|\x78[\x01\x5e\x9c\xda]|BZh|\xfd7zXZ\x00|\x28\xb5\x2f\xfd|%[0-9A-Fa-f]{2}|\\[uUx]|&#")
-#: The most bytes that one compressed layer may unpack to; a longer one isn't followed (it would be a bomb).
-MAX_LAYER = 16 << 20
+#: Unpacked data goes through in chunks of about so many bytes, cut where nothing encoded can be going on, that share OVERLAP.
+CHUNK, OVERLAP = 16 << 20, 64 << 10
+#: Bytes that can stand in something encoded, or in the blanks between its lines.
+_CODED = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=%\\{}&#;- \t\r\n"
 
 Span = tuple[str, int, int]
 
@@ -53,40 +56,123 @@ def find_secrets(text: str) -> list[Span]:
     return [(KINDS[k], a, b) for a, k, b in sorted(found)]
 
 
-def _unpack(data: bytes) -> tuple[bytes, int] | None:
-    """Decompressed data and the bytes it took, if data starts as gzip, zlib, bzip2, xz or zstd does and is sound."""
+class _Input:
+    """Bytes to unpack, a few at a time; taken: how many have been read."""
+
+    def __init__(self, pieces: Iterable[bytes]):
+        self.pieces, self.back, self.taken = (p[i : i + 4096] for p in pieces for i in range(0, len(p), 4096)), b"", 0
+
+    def peek(self, n: int) -> bytes:
+        while len(self.back) < n and (more := next(self.pieces, None)) is not None:
+            self.back += more
+        return self.back[:n]
+
+    def read(self, n: int = 4096) -> bytes:
+        out = self.peek(1) and self.back[:n]
+        self.back = self.back[len(out) :]
+        self.taken += len(out)
+        return out
+
+    def unread(self, data: bytes) -> None:
+        self.back = data + self.back
+        self.taken -= len(data)
+
+
+def _member(source: _Input) -> Iterator[bytes]:
+    """What the gzip, zlib, bzip2, xz or zstd data at the front of source holds, in pieces; raises where it is unsound or ends early."""
+    head = source.peek(6)
+    if head[:2] == b"\x1f\x8b" or head[:1] == b"\x78":
+        d = zlib.decompressobj(47)
+        while not d.eof:
+            data = d.unconsumed_tail or source.read()
+            out = d.decompress(data, 1 << 20)
+            if not data and not out:
+                raise EOFError
+            yield out
+    elif head[:4] == b"\x28\xb5\x2f\xfd":
+        import zstandard
+
+        d = zstandard.ZstdDecompressor().decompressobj()
+        while not d.eof:
+            data = source.read(64)  # a few bytes can stand for a block of 128 KB
+            if not data:
+                raise EOFError
+            yield d.decompress(data)
+    else:
+        d = bz2.BZ2Decompressor() if head[:3] == b"BZh" else lzma.LZMADecompressor()
+        while not d.eof:
+            data = source.read() if d.needs_input else b""
+            out = d.decompress(data, 1 << 20)
+            if d.needs_input and not data and not out:
+                raise EOFError
+            yield out
+    source.unread(d.unused_data)
+
+
+def _unpacked(pieces: Iterable[bytes], taken: list[int]) -> Iterator[bytes]:
+    """What all members at the front of pieces hold, up to where they are unsound. taken gets the length of each sound one's end."""
+    source = _Input(pieces)
     try:
-        if data[:2] == b"\x1f\x8b" or data[:1] == b"\x78":
-            d = zlib.decompressobj(47)
-        elif data[:3] == b"BZh":
-            d = bz2.BZ2Decompressor()
-        elif data[:1] == b"\xfd":
-            d = lzma.LZMADecompressor()
-        else:
-            import zstandard
-
-            out = zstandard.ZstdDecompressor().stream_reader(data).read(MAX_LAYER + 1)
-            return (out, len(data)) if len(out) <= MAX_LAYER else None
-        out = d.decompress(data, MAX_LAYER)
-        return (out, len(data) - len(d.unused_data)) if d.eof else None
+        while _MAGIC.match(source.peek(6)):
+            yield from _member(source)
+            taken.append(source.taken)
+            while source.peek(1) == b"\0":  # padding between members
+                source.unread(source.read().lstrip(b"\0"))
     except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError):
-        return None
+        return
     except Exception as e:  # zstandard has an error class of its own
-        if type(e).__name__ == "ZstdError":
-            return None
-        raise
+        if type(e).__name__ != "ZstdError":
+            raise
+
+
+def _chunks(stream: Iterator[bytes]) -> Iterator[tuple[bytes, int | None]]:
+    """The stream in overlapping chunks, each with where it ends in the stream; None for the last."""
+    parts, held, base = [], 0, 0
+    for piece in stream:
+        parts.append(piece)
+        held += len(piece)
+        if held > CHUNK + OVERLAP:
+            data = b"".join(parts)
+            cut = len(data.rstrip(_CODED))
+            cut = cut if cut > 2 * OVERLAP else len(data)
+            yield data[:cut], base + cut
+            parts, base = [data[cut - OVERLAP :]], base + cut - OVERLAP
+            held = len(parts[0])
+    yield b"".join(parts), None
+
+
+def _after(stream: Iterator[bytes], n: int) -> Iterator[bytes]:
+    """The stream without its first n bytes."""
+    for piece in stream:
+        if n < len(piece):
+            yield piece[n:]
+        n = max(0, n - len(piece))
 
 
 class Layer:
-    """A decoded text; start and end: where in the original each of its characters comes from."""
+    """A decoded text; start and end: where in the original each of its characters comes from.
 
-    def __init__(self, text: str, start: np.ndarray, end: np.ndarray):
-        self.text, self.start, self.end = text, start, end
+    rest gives the bytes that follow a chunk of unpacked data.
+    """
+
+    def __init__(self, text: str, start: np.ndarray, end: np.ndarray, rest: Callable[[], Iterator[bytes]] | None = None):
+        self.text, self.start, self.end, self.rest = text, start, end, rest
+
+    @property
+    def place(self) -> tuple[int, int] | None:
+        """The place of all characters, if it is one (arrays without a stride)."""
+        return self.span(0, 1) if self.text and self.start.strides == self.end.strides == (0,) else None
 
     def span(self, a: int, b: int) -> tuple[int, int]:
+        if self.start.strides == self.end.strides == (0,):
+            b = a + 1
         return int(self.start[a:b].min()), int(self.end[a:b].max())
 
 
+def _at_place(data: bytes, place: tuple[int, int], rest: Callable[[], Iterator[bytes]] | None = None) -> Layer:
+    return Layer(data.decode("latin-1"), *(np.broadcast_to(np.int64(x), len(data)) for x in place), rest)
+
+
 def _of_bytes(data: bytes, start: np.ndarray, end: np.ndarray) -> Layer:
     """A layer of data, whose bytes come from start to end.
 
@@ -104,6 +190,8 @@ def _replaced(layer: Layer, matches: list[tuple[int, int, str, np.ndarray, np.nd
         start += [layer.start[at:a], new_start]
         end += [layer.end[at:a], new_end]
         at = b
+    if layer.place:
+        return _at_place("".join([*text, layer.text[at:]]).encode("latin-1", "replace"), layer.place)
     return Layer("".join([*text, layer.text[at:]]), np.concatenate([*start, layer.start[at:]]), np.concatenate([*end, layer.end[at:]]))
 
 
@@ -144,6 +232,9 @@ def _base64(layer: Layer) -> list[Layer]:
             data = binascii.a2b_base64(part + b"=" * (-len(part) % 4))
             if not _WORTH.search(data):
                 continue
+            if layer.place:
+                out.append(_at_place(data, layer.place))
+                continue
             if at is None:
                 at = m.start() + np.flatnonzero(np.frombuffer(raw, np.uint8) > 32)
             n = np.arange(len(data))
@@ -152,21 +243,37 @@ def _base64(layer: Layer) -> list[Layer]:
     return out
 
 
-def _compressed(layer: Layer) -> list[Layer]:
-    """What compressed data in a decoded layer, wherever it starts, unpacks to; all of it comes from the one place.
+def _compressed(layer: Layer) -> Iterator[Layer]:
+    """What compressed data in a decoded layer, wherever it starts, unpacks to, chunk by chunk; all of it comes from the one place.
 
-    The layer's own characters there are blanked: they are no text.
+    The layer's own characters are blanked where sound compressed data is: they are no text.
     """
-    out, data, at = [], layer.text.encode("latin-1", "replace"), 0
+    data, at = layer.text.encode("latin-1", "replace"), 0
     while m := _MAGIC.search(data, at):
         a = m.start()
+
+        def opened(taken: list[int], a: int = a) -> Iterator[bytes]:
+            return _unpacked((p for part in ((data[a:],), layer.rest() if layer.rest else ()) for p in part), taken)
+
+        ends: list[int] = []
+        some = any([bool(piece) for piece in opened(ends)]) if not layer.place else next((True for piece in opened(ends) if piece), False)
+        place = layer.place or layer.span(a, a + ends[-1] if ends else len(data))
+        if some:
+            ends = []
+            for chunk, end in _chunks(opened(ends)):
+                yield _at_place(chunk, place, None if end is None else lambda opened=opened, end=end: _after(opened([]), end))
         at = a + 1
-        if more := _unpack(data[a:]):
-            at = a + more[1]
-            low, high = layer.span(a, at)
-            out.append(_of_bytes(more[0], np.full(len(more[0]), low), np.full(len(more[0]), high)))
+        if ends:
+            at = min(len(data), a + ends[-1])
             layer.text = layer.text[:a] + "\0" * (at - a) + layer.text[at:]
-    return out
+
+
+def _inner(layer: Layer, first: bool) -> Iterator[Layer]:
+    """The layers right inside a layer; what is compressed comes first, and is blanked then."""
+    if not first:
+        yield from _compressed(layer)
+    for unwrap in (_percent, _escapes, _base64):
+        yield from unwrap(layer)
 
 
 def scan(text: str | None) -> tuple[list[Span], list[Span]]:
@@ -177,21 +284,25 @@ def scan(text: str | None) -> tuple[list[Span], list[Span]]:
     if not coded and not _BASE64.search(text) and not _WRAPPED.search(text):
         return base, base
     found = set(base)
-    work = deque([Layer(text, np.arange(len(text)), np.arange(1, len(text) + 1))])
+    first = Layer(text, np.arange(len(text)), np.arange(1, len(text) + 1))
+    # Depth first, so that of unpacked data only one chunk of each level is held.
+    work = [(first, _inner(first, True))]
     seen = {(0, len(text), hashlib.sha256(text.encode("utf-8", "replace")).digest())}
     while work:
-        layer = work.popleft()
-        for new in (*_percent(layer), *_escapes(layer), *_base64(layer)):
-            fresh = [new]
-            for new in fresh:
-                if not new.text:
-                    continue
-                key = (*new.span(0, len(new.text)), hashlib.sha256(new.text.encode("utf-8", "replace")).digest())
-                if key not in seen:
-                    seen.add(key)
-                    fresh += _compressed(new)
-                    found.update((kind, *new.span(a, b)) for kind, a, b in find_secrets(new.text))
-                    work.append(new)
+        layer, inside = work[-1]
+        new = None if layer.place and all((k, *layer.place) in found for k in KINDS) else next(inside, None)
+        if new is None:
+            # here what is compressed in the layer is blanked
+            work.pop()
+            if layer is not first:
+                found.update((kind, *layer.span(a, b)) for kind, a, b in find_secrets(layer.text))
+            continue
+        if not new.text:
+            continue
+        key = (*new.span(0, len(new.text)), hashlib.sha256(new.text.encode("utf-8", "replace")).digest())
+        if new.rest or key not in seen:
+            seen.add(key)
+            work.append((new, _inner(new, False)))
     return base, sorted(found, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 

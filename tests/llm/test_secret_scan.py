@@ -134,3 +134,28 @@ def test_wrapped_payloads():
         lines = base64.encodebytes(pack(f"{noise} {SECRET}".encode())).decode()
         for text in (lines, lines.replace("\n", "\r\n"), "  " + lines.replace("\n", "\n  ")):
             assert {k for k, _, _ in inner("é\n" + text + "\nz")} == {"assign"}, pack
+
+
+def test_all_members():
+    filler = "".join(hashlib.md5(bytes([i])).hexdigest()[:20] + " " for i in range(30))
+    access = "AKIA" + "ABCD" * 4
+    for pack in (gzip.compress, zlib.compress, bz2.compress, lzma.compress, zstandard.compress):
+        members = b"".join(pack(x.encode()) for x in (filler, SECRET[:12], SECRET[12:], "", filler + access))
+        assert {k for k, _, _ in inner("é " + base64.b64encode(members).decode() + " z")} == {"access", "assign"}, pack
+
+
+def test_long_layers(monkeypatch):
+    from siltstone.llm import secret_scan as own
+
+    b64 = base64.b64encode(("é" * 3 + SECRET).encode()).decode()
+    assert inner(base64.b64encode(gzip.compress(bytes(17 << 20) + SECRET.encode())).decode())
+    monkeypatch.setattr(own, "CHUNK", 5000)
+    monkeypatch.setattr(own, "OVERLAP", 500)
+    for pack in (gzip.compress, bz2.compress, lzma.compress, zstandard.compress):
+        for late in (SECRET, b64):
+            data = pack(b"some words, " * 2500 + late.encode())
+            assert {k for k, _, _ in inner(base64.b64encode(data).decode() + " z")} == {"assign"}, pack
+    # compressed data that crosses chunks of unpacked data
+    noise = "".join(hashlib.sha256(i.to_bytes(2)).hexdigest()[:30] + " " for i in range(1000))
+    data = gzip.compress(b"some words, " * 50 + gzip.compress((noise + SECRET).encode()))
+    assert {k for k, _, _ in inner(base64.b64encode(data).decode())} == {"assign"}

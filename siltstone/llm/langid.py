@@ -110,11 +110,13 @@ def fit(train: DataFrame, per_lang: int = 400, clusters: int = 4, slack: float =
     """A model from train (text, lang, both non-null).
 
     Document frequencies are taken over all rows of train. The centroids are fitted on a sample bounded by
-    per_lang rows for each language, drawn by a hash of the text. More than max_langs languages are an error, so
-    the model, which goes to the driver and to all workers, has a bounded size.
+    per_lang distinct texts for each language, drawn by a hash of the text: how many copies a text has doesn't
+    matter. More than max_langs languages are an error, so the model, which goes to the driver and to all workers,
+    has a bounded size.
     """
     spark = train.sparkSession
-    sizes = train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy("lang").limit(max_langs + 1).collect()
+    texts = train.select("lang", F.xxhash64("text", F.lit(3)).alias("a"), F.xxhash64("text", F.lit(5)).alias("b")).distinct()
+    sizes = texts.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy("lang").limit(max_langs + 1).collect()
     if len(sizes) > max_langs:
         raise ValueError(f"more than {max_langs} languages")
     df = train.select("text").mapInArrow(_frequencies, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()

@@ -58,3 +58,10 @@ def test_long_text_counts_whole():
         langid._CHUNK = chunk
     # runs of other characters across a chunk's edge may count once more
     assert abs(whole - parts).sum() <= 4 * len(text) / 97
+
+
+def test_copies_do_not_thin_the_sample(spark):
+    # one text with 3000 copies in each of 20 languages: all have few distinct texts, so all of them are taken
+    train = spark.range(60_000).select(F.concat(F.lit("l"), F.col("id") % 20).alias("lang"), F.concat(F.lit("some words of "), F.sha2((F.col("id") % 20).cast("string"), 256)).alias("text"))
+    model = langid.fit(train)
+    assert sorted(set(model.langs)) == sorted(f"l{k}" for k in range(20))

@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.operators.timeseries import numbered
+
 #: BM25's constants and the ladder of weights for the items of one group (fixed values).
 K1, B = 1.2, 0.75
 LADDER = (1.0, 0.6, 0.45, 0.35, 0.25)
@@ -76,10 +78,9 @@ def rank_fusion(legs: Sequence[tuple[DataFrame, float]], key: str, place: str, c
 
 def ladder_decay(df: DataFrame, group: str, newest: Sequence[Column], ladder: Sequence[float] = LADDER) -> DataFrame:
     """df with place (from 0) in its group and weight, the ladder's step for it; the last step holds for all later ones, ungrouped rows weigh 1."""
-    w = Window.partitionBy(group).orderBy(*newest)
-    place = F.row_number().over(w) - 1
     step = F.element_at(F.array(*[F.lit(x) for x in ladder]), F.least(F.col("place"), F.lit(len(ladder) - 1)) + 1)
-    return df.withColumn("place", place).withColumn("weight", F.when(F.col(group).isNull(), 1.0).otherwise(step))
+    rows = numbered(df.drop("place"), [group], newest, "place").withColumn("place", F.col("place").cast("int") - 1)
+    return rows.withColumn("weight", F.when(F.col(group).isNull(), 1.0).otherwise(step))
 
 
 def drop_audit(eligible: DataFrame, surfaced: DataFrame, key: str, reason: Column) -> DataFrame:

@@ -6,10 +6,19 @@ by side and one series is never spread over tasks.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from siltstone.shared import settled
 
 
 def latest_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
@@ -181,28 +190,151 @@ def collapse_repeats(df: DataFrame, keys: Sequence[str], order: Sequence[str], v
     return df.withColumn("_old", F.lag(value).over(w)).where(~F.col(value).eqNullSafe(F.col("_old")) | F.col("_old").isNull()).drop("_old")
 
 
+def _numberer(batches):
+    """Adds _n, the number of each row among those of its _k in the partition, _p, the partition, and _i, the place in it."""
+    part, at, key, n = TaskContext.get().partitionId(), 0, None, 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        keys = b["_k"].to_pylist()
+        numbers = []
+        for k in keys:
+            n = n + 1 if k == key else 1
+            key = k
+            numbers.append(n)
+        new = [pa.array(numbers, pa.int64()), pa.array([part] * b.num_rows, pa.int32()), pa.array(range(at, at + b.num_rows), pa.int64())]
+        at += b.num_rows
+        yield pa.RecordBatch.from_arrays([*b.columns, *new], [*b.schema.names, "_n", "_p", "_i"])
+
+
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column], place: str) -> DataFrame:
+    """df with place, the row's number (from 1) in its group by order, however large a group is.
+
+    The rows are dealt by ranges of keys and order (those that are equal in all of it go together) and numbered within a range; only the first group of a range
+    can have begun in an earlier one, so what has to be added is one number for each range.
+    """
+    spark = df.sparkSession
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.withColumn("_k", F.to_json(F.struct(*keys)))
+    dealt = rows.repartitionByRange(ranges, *keys, *order).sortWithinPartitions(*keys, *order)
+    schema = T.StructType([*rows.schema, T.StructField("_n", T.LongType()), T.StructField("_p", T.IntegerType()), T.StructField("_i", T.LongType())])
+    own = settled(dealt.mapInArrow(_numberer, schema), "numbered")
+    ends = own.groupBy("_p").agg(F.min_by("_k", "_i").alias("first"), F.max_by("_k", "_i").alias("last"), F.max_by("_n", "_i").alias("n"))
+    added, key, n = [], None, 0
+    for r in sorted(ends.collect(), key=lambda r: r["_p"]):
+        before = n if r["first"] == key else 0
+        if before:
+            added.append((r["_p"], r["first"], before))
+        key, n = r["last"], r["n"] + (before if r["last"] == r["first"] else 0)
+    more = F.broadcast(spark.createDataFrame(added, "_p int, _k string, _more long"))
+    out = own.join(more, ["_p", "_k"], "left").withColumn(place, F.col("_n") + F.coalesce("_more", F.lit(0)))
+    return out.select(*df.columns, place)
+
+
+def _exits(t: np.ndarray, gap: int) -> list[list[int]]:
+    """[limit, row]: after a last kept time of limit - gap or earlier (from the limit before on), row is the last that is kept of rows t."""
+    following, last = np.searchsorted(t, t + gap), np.arange(len(t))
+    for i in range(len(t) - 1, -1, -1):
+        if following[i] < len(t):
+            last[i] = last[following[i]]
+    out: list[list[int]] = []
+    for i in np.unique(t, return_index=True)[1].tolist():
+        if out and out[-1][1] == last[i]:
+            out[-1][0] = int(t[i])
+        else:
+            out.append([int(t[i]), int(last[i])])
+        if t[i] >= t[0] + gap:
+            break
+    return out
+
+
+def _gap_folder(names: list[str], gap: int, schema: pa.Schema):
+    """Kept rows of a range with their counts; its head, rows without a count, up to the first row that is kept for sure; info.
+
+    A row is kept for sure if it begins a key or lies gap or more after the row before. What was kept before the
+    head isn't known here; info (one row) says what the range ends with: a kept row, or one that hangs on that.
+    """
+
+    def run(batches):
+        part, first, key, before, kept, head = TaskContext.get().partitionId(), None, None, None, None, []
+        for b in batches:
+            out = []
+            for k, t, id_, *own in zip(*(b[c].to_pylist() for c in ["_k", "_t", "_id", *names]), strict=True):
+                if first is None:
+                    first = key = k
+                if kept is None and k == key and (before is None or t - before < gap):
+                    head.append((t, id_))
+                    out.append((*own, t, id_, None, part, None))
+                elif kept is None or k != key or t - kept[-3] >= gap:
+                    if kept:
+                        out.append((*kept[:-1], kept[-1], part, None))
+                    kept = [*own, t, id_, 0]
+                else:
+                    kept[-1] += 1
+                key, before = k, t
+            yield _batch(out, schema)
+        if first is not None:
+            info = {"first": first, "last": key, "out": kept and kept[-3:-1]}
+            if kept is None:
+                info["map"] = [[limit, *head[i]] for limit, i in _exits(np.array([t for t, _ in head]), gap)]
+            out = [(*kept, part, None)] if kept else []
+            yield _batch([*out, (*[None] * len(names), None, None, None, part, json.dumps(info))], schema)
+
+    return run
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema=schema)
+
+
 def keep_min_gap(df: DataFrame, keys: Sequence[str], ts: str, tie: str, gap_s: float) -> DataFrame:
     """keys, kept_ts, kept_id, n_dropped: rows at least gap_s after the last kept row of their group, and how many later ones each swallows.
 
-    Whether a row is kept depends on the last kept one, so each group is folded in order.
+    Whether a row is kept depends on the last kept one, so each group is folded in order, as a sorted stream that is
+    dealt by ranges of keys and time. What a range starts from comes from the ends of the ranges before it. Rows
+    without a time are left out.
     """
+    gap, spark = int(gap_s * 1_000_000), df.sparkSession
     t = F.unix_micros(F.col(ts).cast("timestamp"))
-    events = F.array_sort(F.collect_list(F.struct(t.alias("t"), F.col(tie).alias("id"))))
-    empty = F.array().cast("array<struct<t:long,id:long,n:long>>")
-    gap = int(gap_s * 1_000_000)
-
-    def step(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        fresh = (F.size(acc) == 0) | (x["t"] - last["t"] >= gap)
-        head = F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))
-        more = F.array(F.struct(last["t"].alias("t"), last["id"].alias("id"), (last["n"] + 1).alias("n")))
-        new = F.array(F.struct(x["t"].alias("t"), x["id"].cast("long").alias("id"), F.lit(0).cast("long").alias("n")))
-        return F.when(fresh, F.concat(acc, new)).otherwise(F.concat(head, more))
-
-    folded = df.groupBy(*keys).agg(F.aggregate(events, empty, step).alias("_kept"))
-    return folded.select(*keys, F.explode("_kept").alias("_k")).select(
-        *keys, F.timestamp_micros("_k.t").alias("kept_ts"), F.col("_k.id").alias("kept_id"), F.col("_k.n").alias("n_dropped")
-    )
+    rows = df.select(*keys, t.alias("_t"), F.col(tie).cast("long").alias("_id")).where("_t is not null").withColumn("_k", F.to_json(F.struct(*keys)))
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartitionByRange(ranges, *keys, "_t", "_id").sortWithinPartitions(*keys, "_t", "_id")
+    fields = [*[T.StructField(k, rows.schema[k].dataType) for k in keys], *[T.StructField(c, T.LongType()) for c in ("_t", "_id", "n")]]
+    schema = T.StructType([*fields, T.StructField("_p", T.IntegerType()), T.StructField("_info", T.StringType())])
+    folded = settled(dealt.mapInArrow(_gap_folder(list(keys), gap, to_arrow_schema(schema)), schema), "gaps")
+    starts, last, kept = {}, None, None
+    for r in sorted(folded.where("_info is not null").select("_p", "_info").collect(), key=lambda r: r["_p"]):
+        info = json.loads(r["_info"])
+        start = kept if info["first"] == last else None
+        if start:
+            starts[r["_p"]] = start
+        if info["out"]:
+            kept = info["out"]
+        else:  # all of the range is head: the first kept row is the first at least a gap after the start
+            limit = start[0] + gap if start else None
+            kept = info["map"][0][1:] if start is None else next((m[1:] for m in info["map"] if limit <= m[0]), start)
+        last = info["last"]
+    names = [*keys, "_t", "_id", "n"]
+
+    def heads(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["_t", "_id"], ignore_index=True)
+        at, id_ = starts.get(int(pdf["_p"].iloc[0]), (None, None))
+        out, n = [], 0
+        for t, i in zip(pdf["_t"].tolist(), pdf["_id"].tolist(), strict=True):
+            if at is None or t - at >= gap:
+                if at is not None:
+                    out.append((at, id_, n))
+                at, id_, n = t, i, 0
+            else:
+                n += 1
+        out.append((at, id_, n))
+        own = pdf.iloc[[0] * len(out)][list(keys)].reset_index(drop=True)
+        return own.assign(_t=[x[0] for x in out], _id=[x[1] for x in out], n=[x[2] for x in out])[names]
+
+    sure = folded.where("n is not null").select(*names)
+    own = folded.where("n is null and _info is null").groupBy("_p").applyInPandas(heads, T.StructType(fields))
+    every = sure.unionByName(own).groupBy(*keys, "_t", "_id").agg(F.sum("n").alias("n"))
+    return every.select(*keys, F.timestamp_micros("_t").alias("kept_ts"), F.col("_id").alias("kept_id"), F.col("n").alias("n_dropped"))
 
 
 def budget_cap(df: DataFrame, keys: Sequence[str], score: str, order: Sequence[str], k: int) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.operators.timeseries import numbered
+
 
 def fire_rules(rows: DataFrame, rules: dict[str, tuple[Column, Column]], keep: Sequence[str]) -> DataFrame:
     """keep, rule, score: a row for each rule (name: condition, score) that a row meets."""
@@ -78,8 +80,8 @@ def composite_score(action: Column, at_risk: Column, recent: Column, cost: Colum
 
 def defer_beyond(df: DataFrame, keys: Sequence[str], score: str, tie: str, n: int = 5) -> DataFrame:
     """df with place (by score, nulls last) and is_deferred: place above n."""
-    w = Window.partitionBy(*keys).orderBy(F.desc_nulls_last(score), tie)
-    return df.withColumn("place", F.row_number().over(w)).withColumn("is_deferred", F.col("place") > n)
+    rows = numbered(df.drop("place"), keys, [F.desc_nulls_last(score), F.col(tie)], "place")
+    return rows.withColumn("place", F.col("place").cast("int")).withColumn("is_deferred", F.col("place") > n)
 
 
 def merge_channels(channels: dict[str, DataFrame], key: str, company: str) -> DataFrame:

@@ -86,3 +86,37 @@ def test_stream_windows_equal_batch(spark, tmp_path):
     finally:
         q.stop()
     assert got == sorted(map(tuple, windowed(batch, "ts", ["event_type"], values, "1 day").collect()))
+
+
+def _by_hand(rows, gap):
+    last, kept = {}, {}
+    for k, t, i in sorted(rows):
+        if k in last and t - last[k][0] < gap:
+            kept[last[k][1]] += 1
+        else:
+            last[k], kept[i] = (t, i), 0
+    return kept
+
+
+def test_large_groups_are_spread(spark):
+    """No task takes a whole hot group: the plans have no window over it and no array of it; results span ranges."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from siltstone.operators import retrieval, timeseries, trading
+
+    draw = random.Random(3)
+    rows = [("hot", draw.randrange(40_000), i) for i in range(4000)] + [(f"k{i % 9}", draw.randrange(10**6), 4000 + i) for i in range(500)]
+    df = spark.createDataFrame(rows, "k string, s long, id long").withColumn("ts", F.timestamp_seconds("s"))
+    for gap in (5, 300, 50_000):
+        got = {r.kept_id: r.n_dropped for r in timeseries.keep_min_gap(df, ["k"], "ts", "id", gap).collect()}
+        assert got == _by_hand(rows, gap), gap
+    want = {i: n for k in {r[0] for r in rows} for n, (_, i) in enumerate(sorted((-s, i) for own, s, i in rows if own == k), 1)}
+    deferred = trading.defer_beyond(df, ["k"], "s", "id", 5)
+    decay = retrieval.ladder_decay(df, "k", [F.desc("s"), F.col("id")])
+    assert {r.id: r.place for r in deferred.collect()} == want
+    assert {r.id: r.place + 1 for r in decay.collect()} == want
+    for out in (deferred, decay, timeseries.keep_min_gap(df, ["k"], "ts", "id", 5)):
+        plan = out._jdf.queryExecution().toString()
+        assert "Window" not in plan and "collect_list" not in plan

@@ -5,6 +5,8 @@ from __future__ import annotations
 import string
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,15 +50,78 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))
 
 
+def _blocks(rows: int):
+    """Up to `rows` vectors of one length in a row: ids, and their coordinates as bytes; dim is -1 for vectors that are null or hold a null."""
+
+    def run(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, rows):
+                groups: dict[int, tuple[list, list]] = {}
+                for id_, v in zip(b["id"].slice(i, rows).to_pylist(), b["v"].slice(i, rows).to_pylist(), strict=True):
+                    dim = -1 if v is None or None in v else len(v)
+                    ids, values = groups.setdefault(dim, ([], []))
+                    ids.append(id_)
+                    values.append([] if dim < 0 else v)
+                data = [np.array(values, "<f8").tobytes() for _, values in groups.values()]
+                yield pa.RecordBatch.from_arrays([pa.array([ids for ids, _ in groups.values()], pa.list_(pa.int64())), pa.array(list(groups), pa.int32()), pa.array(data, pa.binary())], ["ids", "dim", "data"])
+
+    return run
+
+
+def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Dot products of the rows of a with those of b, coordinate by coordinate: the same for equal vectors, wherever they stand."""
+    out = np.zeros((len(a), len(b)))
+    for x, y in zip(a.T, b.T, strict=True):
+        out += x[:, None] * y[None, :]
+    return out
+
+
+def _nearest(k: int, exclude_self: bool):
+    def run(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                ids, queries = np.array(r["ids"]), np.array(r["q_ids"])
+                order = np.argsort(ids, kind="stable")
+                ids, sim = ids[order], np.full((len(ids), len(queries)), -np.inf)
+                if r["dim"] == r["q_dim"] and r["dim"] >= 0:
+                    v, q = (np.frombuffer(r[c], "<f8").reshape(n, r["dim"]) for c, n in (("data", len(ids)), ("q_data", len(queries))))
+                    v = v[order]
+                    with np.errstate(all="ignore"):
+                        norms = np.sqrt((_norms(v))[:, None]) * np.sqrt(_norms(q)[None, :])
+                        sim = np.where(norms == 0, -np.inf, _dots(v, q) / norms)
+                # nulls last, as -inf; NaN first, as Spark sorts it
+                best = np.argsort(np.where(np.isnan(sim), -np.inf, -sim), axis=0, kind="stable")[: k + exclude_self]
+                near, at = ids[best].T.ravel(), np.repeat(np.arange(len(queries)), len(best))
+                value = np.take_along_axis(sim, best, 0).T.ravel()
+                if exclude_self:
+                    other = near != queries[at]
+                    near, at, value = near[other], at[other], value[other]
+                yield pa.RecordBatch.from_arrays([pa.array(queries[at]), pa.array(near), pa.array(value, mask=np.isneginf(value))], ["query_id", "vec_id", "similarity"])
+
+    return run
+
+
+def _norms(a: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(a))
+    for x in a.T:
+        out += x * x
+    return out
+
+
 def knn(vectors: DataFrame, vec_id: str, vector: str, queries: DataFrame, k: int, exclude_self: bool = False) -> DataFrame:
     """query_id, vec_id, similarity, place: each query's k nearest vectors by cosine, all vectors being compared.
 
-    queries (query_id, query) is a stated set of few rows, which goes to all workers. Each task keeps its own top k before the exchange.
+    queries (query_id, query) may be as many as the vectors: both go in blocks of bounded size, each pair of blocks
+    meets in some task, and only a block's own top k for each query is exchanged. Ids are non-null whole numbers, and an id is one vector.
     """
-    met = vectors.select(vec_id, vector).join(F.broadcast(queries))
-    if exclude_self:
-        met = met.where(F.col(vec_id) != F.col("query_id"))
-    scored = met.select("query_id", vec_id, cosine(F.col(vector), F.col("query")).alias("similarity"))
+    kind = "ids array<long>, dim int, data binary"
+    mine = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).mapInArrow(_blocks(2048), kind)
+    asked = queries.select(F.col("query_id").cast("long").alias("id"), F.col("query").cast("array<double>").alias("v")).mapInArrow(_blocks(256), kind)
+    # each row is a pair of blocks; the hint keeps the queries from being broadcast whole
+    met = mine.hint("shuffle_replicate_nl").crossJoin(asked.toDF("q_ids", "q_dim", "q_data"))
+    ids = (vectors.schema[vec_id].dataType, queries.schema["query_id"].dataType)
+    near = met.mapInArrow(_nearest(k, exclude_self), "query_id long, vec_id long, similarity double")
+    scored = near.select(F.col("query_id").cast(ids[1]).alias("query_id"), F.col("vec_id").cast(ids[0]).alias(vec_id), "similarity")
     best = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("similarity"), vec_id)
     return scored.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
 

@@ -59,6 +59,29 @@ def similar_to_node(spark, sf_dir):
     return _near(spark, sf_dir, 20, 24, 3, exclude_self=True).withColumn("similarity", F.round("similarity", 5))
 
 
+def _near_hundredth(spark, sf_dir, k, exclude_self=False):
+    """Every vector whose id is divisible by 100 as a query, against all vectors."""
+    vectors = table(spark, sf_dir, "embeddings")
+    queries = vectors.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return retrieval.knn(vectors, "vec_id", "embedding", queries, k, exclude_self).withColumn("similarity", F.round("similarity", 5))
+
+
+def _near_hundredth_sql(k, others="TRUE"):
+    return f"""
+    SELECT q.vec_id AS query_id, v.vec_id, round({_COS}, 5) AS similarity, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, v.vec_id) AS INT) AS place
+    FROM embeddings v, embeddings q WHERE q.vec_id % 100 = 0 AND {others} QUALIFY place <= {k}"""
+
+
+@query(_near_hundredth_sql(5))
+def knn_topk_hundredth(spark, sf_dir):
+    return _near_hundredth(spark, sf_dir, 5)
+
+
+@query(_near_hundredth_sql(3, "q.vec_id <> v.vec_id"))
+def similar_to_node_hundredth(spark, sf_dir):
+    return _near_hundredth(spark, sf_dir, 3, exclude_self=True)
+
+
 @query("""
     WITH p AS (SELECT label, vec_id % 2 AS half, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
     c AS (SELECT label, half, i, avg(CAST(x AS DOUBLE)) AS x FROM p GROUP BY ALL),

@@ -120,3 +120,17 @@ def test_large_groups_are_spread(spark):
     for out in (deferred, decay, timeseries.keep_min_gap(df, ["k"], "ts", "id", 5)):
         plan = out._jdf.queryExecution().toString()
         assert "Window" not in plan and "collect_list" not in plan
+
+
+def test_queries_of_a_search_are_not_broadcast(spark):
+    from siltstone.operators import retrieval
+
+    rows = [(i, [float(i % 7), float(i % 5), 1.0]) for i in range(600)] + [(600, None), (601, [0.0, 0.0, 0.0])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = retrieval.knn(v, "vec_id", "embedding", v.toDF("query_id", "query"), 3)
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    places = {(r.query_id, r.place): r.vec_id for r in got.collect()}
+    assert len(places) == 3 * 602
+    # 35 apart are equal vectors: the first ids win; null ones have no similarity, and ids decide
+    assert all(places[i, p + 1] == i % 35 + 35 * p for i in range(600) for p in range(3) if i % 35)
+    assert [places[600, p] for p in (1, 2, 3)] == [places[601, p] for p in (1, 2, 3)] == [0, 1, 2]

@@ -39,10 +39,12 @@ def distinct_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that benchmark passages make up a twentieth of, or more."""
+    """Drops documents that benchmark passages make up a twentieth of, or more. Each row is judged by its own text, whatever its id."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    gone = decontam.decontaminate(docs, benchmark).where("contaminated").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    found = decontam.decontaminate(rows.select(F.col("_row").alias("doc_id"), "text"), benchmark)
+    gone = found.where("contaminated").select(F.col("doc_id").alias("_row"))
+    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

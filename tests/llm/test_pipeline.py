@@ -59,3 +59,10 @@ def test_registered():
     assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 11))
     assert set(ORACLE) <= set(QUERIES)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language ID", "exact dedup", "n-gram Jaccard join", "benchmark decontamination", "best-fit packing"]
+
+
+def test_decontamination_judges_each_row(spark):
+    passage = max((r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()), key=len)
+    docs = spark.createDataFrame([(None, passage), (7, passage), (7, "plain words of its own"), (None, "other plain words")], "doc_id long, text string")
+    left = corpus_pipeline.decontaminated(spark, docs, SF).collect()
+    assert sorted((r.doc_id is None, r.text) for r in left) == [(False, "plain words of its own"), (True, "other plain words")]

@@ -9,7 +9,17 @@ if they share k = min(k of both) shingles among the first x - o + k and y - o +
 Links serve to group documents, so they need not all be listed. Equal sets count once. Then each set is compared with
 the two hubs that it shares the most prefix shingles with (a hub: the set of a list whose own shingles are the most
 common). Only candidates that these links leave in different groups are verified one by one; those inside one
-group are linked already. No group's pairs are ever listed.
+group are linked already.
+
+A shingle that many sets have in their prefix has a long list, whose pairs are never listed. Its members are described
+anew, by how each differs from a centre c (the shingles that most members have). With d(a) the number of shingles in
+just one of a and c, and m(a, b) the number that the differences of a and b have in common, a and b differ in
+d(a) + d(b) - 2 m(a, b) shingles, and link if that is at most (1 - t) / (1 + t) of their summed sizes x + y. So with
+s(a) = d(a) - x (1 - t) / (1 + t), they link if m(a, b) >= (s(a) + s(b)) / 2. If s(a) + s(b) <= 0 that needs nothing in
+common: all such links are kept whole by those with the member of the least s. Every other pair must share differences, and
+these are joined by prefixes just as the sets themselves are (which are their own differences from an empty centre).
+A shingle of a difference belongs to at most half of the members, so lists that are still long are described anew
+from a nearer centre, until none is left.
 """
 
 from __future__ import annotations
@@ -24,16 +34,21 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import give_back, written
+from siltstone.llm.common import give_back, join_hot, written
 
 #: Counters of the frequency sketch: a fixed size, whatever the corpus.
 SKETCH_BITS = 22
 _BLOCK_BITS = 16
 #: The most matches that a prefix may ask for.
 MATCHES = 8
+#: A list with more sets than this is described anew, by differences from a centre.
+LONG = 128
+#: Members of a group that one task looks at together when it seeks the centre.
+_SLICE = 5000
 
 _SETS = "doc_id long, n long, sig binary, text binary, block int, counts binary"
-_PREFIX = "token long, sid long, n long, pos int"
+_PREFIX = "token long, sid long, n long, pos int, common boolean"
+_ENTRIES = ["gid", "token", "sid", "n", "d", "s", "need", "pos"]
 
 
 class _Hashes(dict):
@@ -131,6 +146,12 @@ def frequency_classes(sets: DataFrame) -> np.ndarray:
     return np.where(counts > usual, np.floor(np.log2(np.maximum(counts, 1) / usual)) + 1, 0).astype(np.uint8)
 
 
+def rare_first(tokens: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """tokens in the order that all sets share: by class, then by the hash itself."""
+    key = (classes[(tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (tokens & np.uint64((1 << 56) - 1))
+    return tokens[np.lexsort((tokens, key)) if len(tokens) < 32 else np.argsort(key, kind="stable")]
+
+
 def _prefixes(size: int, num: int, den: int, shared):
     shift = np.uint64(64 - SKETCH_BITS)
 
@@ -143,14 +164,14 @@ def _prefixes(size: int, num: int, den: int, shared):
                     own = shingle_set(unpack.decompress(text), size)
                     need = -(-num * len(own) // den)
                     p = min(len(own), len(own) - need + MATCHES)
-                    key = (classes[(own >> shift).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (own & np.uint64((1 << 56) - 1))
-                    order = np.lexsort((own, key)) if len(own) < 32 else np.argsort(key, kind="stable")
-                    out.append((own[order[:p]].view(np.int64), sid, len(own)))
+                    out.append((rare_first(own, classes)[:p].view(np.int64), sid, len(own)))
                 if out:
                     lengths = np.array([len(t) for t, _, _ in out])
+                    tokens = np.concatenate([t for t, _, _ in out])
                     pos = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-                    columns = [np.concatenate([t for t, _, _ in out]), np.repeat(np.array([s for _, s, _ in out], np.int64), lengths), np.repeat(np.array([n for _, _, n in out], np.int64), lengths), pos.astype(np.int32)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "sid", "n", "pos"])
+                    columns = [tokens, np.repeat(np.array([s for _, s, _ in out], np.int64), lengths), np.repeat(np.array([n for _, _, n in out], np.int64), lengths), pos.astype(np.int32)]
+                    common = classes[(tokens.view(np.uint64) >> shift).astype(np.int64)] > 0
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*columns, common)], ["token", "sid", "n", "pos", "common"])
 
     return run
 
@@ -232,26 +253,39 @@ def _numbered(sets: DataFrame) -> DataFrame:
     return rows.withColumn("sid", F.when(F.col("sid").isin(clash), other).otherwise(F.col("sid"))) if clash else rows
 
 
-def _lists(prefixes: DataFrame, num: int, den: int) -> DataFrame:
-    """Entries (token, sid, n, pos, df, k) of the lists with two sets or more, within the prefix of each set's own k matches."""
+def _first_entries(prefixes: DataFrame, num: int, den: int) -> DataFrame:
+    """Entries of the sets themselves, each once, in the lists of two sets or more, with df (the sets in the list).
+
+    Shingles of class 0 have at most a millionth of all shingles behind them, so their lists are even enough to be counted
+    where they lie. The others are counted before they are shuffled, and joined with their counts however hot they are.
+    """
     by_token = Window.partitionBy("token")
-    several = prefixes.withColumn("df", F.count(F.lit(1)).over(by_token)).where("df > 1").drop("df")
+    rare = prefixes.where(~F.col("common")).withColumn("df", F.count(F.lit(1)).over(by_token)).where("df > 1").drop("df")
     # a set that several tasks came across has its prefix there as often
-    entries = written(several.dropDuplicates(["token", "sid"]).withColumn("df", F.count(F.lit(1)).over(by_token)).where("df > 1"), "entries")
+    rare = rare.dropDuplicates(["token", "sid"]).withColumn("df", F.count(F.lit(1)).over(by_token)).where("df > 1")
+    common = written(prefixes.where("common").dropDuplicates(["token", "sid"]), "common-entries")
+    counts = written(common.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "common-counts")
+    every = rare.unionByName(join_hot(common, counts, ["token"], "df", common.count()))
     need = F.ceil(F.col("n") * num / den).cast("long")
-    reach = [F.col("n") - need + k for k in range(1, MATCHES + 1)]
-    entries = entries.withColumn("need", need)
+    return every.select(
+        F.lit(0).cast("long").alias("gid"), "token", "sid", "n", F.col("n").alias("d"), (F.col("n") * 2 * num).alias("s"), need.alias("need"), "pos", "df"
+    )
+
+
+def _chosen(entries: DataFrame) -> DataFrame:
+    """The entries within the prefix of each set's own k matches, with k."""
+    reach = [F.col("d") - F.col("need") + k for k in range(1, MATCHES + 1)]
     sums = [F.sum(F.when(F.col("pos") < reach[k], F.col("df")).otherwise(0)).alias(f"df{k}") for k in range(MATCHES)]
     one = [F.sum(F.when(F.col("pos") < reach[k], 1).otherwise(0)).alias(f"own{k}") for k in range(MATCHES)]
-    per_set = entries.groupBy("sid").agg(F.first("n").alias("n"), F.first("need").alias("need"), *sums, *one)
+    per_set = entries.groupBy("gid", "sid").agg(F.first("n").alias("n"), F.first("need").alias("need"), *sums, *one)
     # an entry costs 1, a verification about a twentieth of a set's size; k matches leave a k-th of the entries as candidates at most
     cost = [F.col(f"df{k}") + (F.col(f"df{k}") - F.col(f"own{k}")) / (k + 1) * F.col("n") / 20 for k in range(MATCHES)]
     allowed = [F.when(F.col("need") > k, cost[k]) for k in range(MATCHES)]
     least = F.least(*allowed)
     choice = F.coalesce(*[F.when(allowed[k] == least, F.lit(k + 1)) for k in range(MATCHES)], F.lit(1))
-    chosen = per_set.select("sid", choice.alias("k"))
-    kept = entries.join(chosen, "sid").where(F.col("pos") < F.col("n") - F.col("need") + F.col("k"))
-    return kept.select("token", "sid", "n", "pos", "df", "k")
+    chosen = per_set.select("gid", "sid", choice.alias("k"))
+    kept = entries.join(chosen, ["gid", "sid"]).where(F.col("pos") < F.col("d") - F.col("need") + F.col("k"))
+    return kept.select(*_ENTRIES, "df", "k")
 
 
 def _fits(x: str, y: str, num: int, den: int) -> Column:
@@ -259,35 +293,156 @@ def _fits(x: str, y: str, num: int, den: int) -> Column:
     return (F.col(x) * den >= F.col(y) * num) & (F.col(y) * den >= F.col(x) * num)
 
 
+def _with_hub(lists: DataFrame, keys: list[str]) -> DataFrame:
+    """keys with the hub of each list: the set whose entries have the longest lists."""
+    weighed = lists.withColumn("weight", F.sum("df").over(Window.partitionBy("gid", "sid")))
+    return weighed.groupBy(*keys).agg(F.max(F.struct("weight", "sid", "n")).alias("hub"), F.count(F.lit(1)).alias("n_rows"))
+
+
 def _hub_pairs(lists: DataFrame, num: int, den: int) -> DataFrame:
     """Each set with up to two hubs of its lists, those with the most matches."""
-    weight = Window.partitionBy("sid")
-    weighed = lists.withColumn("weight", F.sum("df").over(weight))
-    hub = weighed.groupBy("token").agg(F.max(F.struct("weight", "sid", "n")).alias("hub"))
-    votes = lists.join(hub, "token").select("sid", "n", F.col("hub.sid").alias("hub"), F.col("hub.n").alias("m")).where("sid != hub")
+    hubs = written(_with_hub(lists, ["token"]), "hubs")
+    votes = join_hot(lists, hubs, ["token"], "n_rows", lists.count()).select("sid", "n", F.col("hub.sid").alias("hub"), F.col("hub.n").alias("m")).where("sid != hub")
     votes = votes.where(_fits("n", "m", num, den)).groupBy("sid", "hub").agg(F.count(F.lit(1)).alias("votes"))
     best = Window.partitionBy("sid").orderBy(F.desc("votes"), "hub")
     picked = votes.withColumn("rank", F.row_number().over(best)).where("rank <= 2")
     return picked.select(F.least("sid", "hub").alias("a"), F.greatest("sid", "hub").alias("b")).distinct()
 
 
-def _cross_pairs(lists: DataFrame, labels: DataFrame, done: DataFrame, num: int, den: int) -> DataFrame:
-    """Candidates in different groups that haven't been verified yet."""
-    grouped = lists.join(labels, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    mixed = grouped.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("token")
-    entries = written(grouped.join(mixed, "token"), "cross-entries")
-    one = entries.select("token", *[F.col(c).alias(f"{c}_a") for c in ("sid", "n", "pos", "k", "root")])
-    two = entries.select("token", *[F.col(c).alias(f"{c}_b") for c in ("sid", "n", "pos", "k", "root")])
+def _mixed(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """The entries, with root, of lists whose sets aren't all in one group; df is counted anew."""
+    grouped = written(lists.drop("df").join(labels, "sid", "left").withColumn("root", F.coalesce("root", "sid")), "grouped-entries")
+    mixed = grouped.groupBy("gid", "token").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("df")).where("x != y")
+    return written(join_hot(grouped, mixed.select("gid", "token", "df"), ["gid", "token"], "df", grouped.count()), "cross-entries")
+
+
+def _cross_pairs(entries: DataFrame, done: list[DataFrame], num: int, den: int) -> DataFrame:
+    """Candidates in different groups, from lists of a bounded length, that haven't been verified yet."""
+    columns = ("sid", "n", "d", "s", "pos", "k", "root")
+    one = entries.select("gid", "token", *[F.col(c).alias(f"{c}_a") for c in columns])
+    two = entries.select("gid", "token", *[F.col(c).alias(f"{c}_b") for c in columns])
     k = F.least("k_a", "k_b")
-    overlap = F.ceil((F.col("n_a") + F.col("n_b")) * num / (num + den)).cast("long")
-    early = (F.col("pos_a") < F.col("n_a") - overlap + k) & (F.col("pos_b") < F.col("n_b") - overlap + k)
-    met = one.join(two, "token").where((F.col("sid_a") < F.col("sid_b")) & (F.col("root_a") != F.col("root_b")) & _fits("n_a", "n_b", num, den) & early)
-    met = met.select(F.col("sid_a").alias("a"), F.col("sid_b").alias("b"), k.alias("k"))
-    enough = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.first("k").alias("k")).where("shared >= k")
-    return enough.select("a", "b").join(done.select("a", "b"), ["a", "b"], "left_anti")
+    overlap = F.ceil((F.col("s_a") + F.col("s_b")) / (2 * (num + den))).cast("long")
+    early = (F.col("pos_a") < F.col("d_a") - overlap + k) & (F.col("pos_b") < F.col("d_b") - overlap + k)
+    needed = (F.col("sid_a") < F.col("sid_b")) & (F.col("root_a") != F.col("root_b")) & (F.col("s_a") + F.col("s_b") > 0)
+    met = one.join(two, ["gid", "token"]).where(needed & _fits("n_a", "n_b", num, den) & early)
+    met = met.select("gid", F.col("sid_a").alias("a"), F.col("sid_b").alias("b"), k.alias("k"), overlap.alias("overlap"))
+    enough = met.groupBy("gid", "a", "b").agg(F.count(F.lit(1)).alias("shared"), F.first("k").alias("k"), F.first("overlap").alias("o")).where("shared >= least(k, o)")
+    new = enough.select("a", "b").distinct()
+    for pairs in done:
+        new = new.join(pairs.select("a", "b"), ["a", "b"], "left_anti")
+    return new
+
+
+def _members(entries: DataFrame) -> DataFrame:
+    """gid, sid, n, n_rows, part: the sets of each group of long lists, in parts of a bounded size.
+
+    Lists of the sets themselves whose hub is the same are one group; later on each list is one, so groups halve at least.
+    """
+    total = entries.count()
+    lists = written(_with_hub(entries, ["gid", "token"]), "long-lists")
+    of_list = F.when(F.col("gid") == 0, F.xxhash64("hub.sid")).otherwise(F.xxhash64("gid", "token"))
+    joined = join_hot(entries.select("gid", "token", "sid", "n"), lists.select("gid", "token", of_list.alias("group"), "n_rows"), ["gid", "token"], "n_rows", total)
+    members = written(joined.select(F.col("group").alias("gid"), "sid", "n").distinct(), "members")
+    sizes = written(members.groupBy("gid").agg(F.count(F.lit(1)).alias("n_rows")), "member-counts")
+    part = F.pmod(F.xxhash64("sid"), F.ceil(F.col("n_rows") / _SLICE)).cast("long")
+    return written(join_hot(members, sizes, ["gid"], "n_rows", members.count()).withColumn("part", part), "members")
+
+
+def _tally(size: int):
+    """gid, token, n: how many of a part's members have a shingle, of those that a quarter of them have."""
+
+    def run(batches):
+        unpack, gid, sets = zstandard.ZstdDecompressor(), None, []
+
+        def counted():
+            tokens, n = np.unique(np.concatenate(sets), return_counts=True)
+            keep = 4 * n >= len(sets)
+            columns = [np.full(int(keep.sum()), gid[0], np.int64), tokens[keep].view(np.int64), n[keep]]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["gid", "token", "n"])
 
+        for b in batches:
+            for g, part, text in zip(b["gid"].to_pylist(), b["part"].to_pylist(), b["text"].to_pylist(), strict=True):
+                if gid != (g, part) and sets:
+                    yield counted()
+                    sets = []
+                gid = g, part
+                sets.append(shingle_set(unpack.decompress(text), size))
+        if sets:
+            yield counted()
+
+    return run
+
+
+def _differences(size: int, num: int, den: int, shared):
+    """gid, sid, n, d, s, tokens: how each member differs from its group's centre, in an order that the group shares.
+
+    First what the set has beyond the centre, rare shingles first; then what it lacks, first what the fewest lack.
+    """
+
+    def run(batches):
+        classes, unpack = shared.value, zstandard.ZstdDecompressor()
+        for b in batches:
+            for i in range(0, b.num_rows, 500):
+                part, rows = b.slice(i, 500), []
+                for gid, sid, text, centre in zip(*(part[c].to_pylist() for c in ("gid", "sid", "text", "centre")), strict=True):
+                    own, middle = shingle_set(unpack.decompress(text), size), np.array(centre or [], np.int64).view(np.uint64)
+                    beyond = rare_first(np.setdiff1d(own, middle, assume_unique=True), classes)
+                    lacking = middle[~np.isin(middle, own, assume_unique=True)]
+                    d = len(beyond) + len(lacking)
+                    rows.append((gid, sid, len(own), d, (num + den) * d - (den - num) * len(own), np.concatenate([beyond, lacking]).tobytes()))
+                if rows:
+                    types = (*[pa.int64()] * 5, pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types, strict=True)], ["gid", "sid", "n", "d", "s", "tokens"])
 
-def similarity_groups(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+    return run
+
+
+def _difference_prefixes(batches):
+    for b in batches:
+        for i in range(0, b.num_rows, 500):
+            part, out = b.slice(i, 500), []
+            for row in zip(*(part[c].to_pylist() for c in ("gid", "sid", "n", "d", "s", "need", "tokens")), strict=True):
+                tokens = np.frombuffer(row[-1], np.int64)[: max(0, row[3] - row[5] + MATCHES)]
+                out.append((tokens, *row[:-1]))
+            lengths = np.array([len(o[0]) for o in out])
+            if lengths.sum():
+                pos = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+                gid, sid, n, d, s, need = (np.repeat(np.array([o[k] for o in out], np.int64), lengths) for k in range(1, 7))
+                columns = [gid, np.concatenate([o[0] for o in out]), sid, n, d, s, need, pos.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], _ENTRIES)
+
+
+def _described_anew(entries: DataFrame, texts: DataFrame, classes, size: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) with each group's nearest member, and the lists of the members' differences from the centre."""
+    members = _members(entries)
+    held = written(members.join(texts, "sid"), "member-texts")
+    parts = held.select("gid", "part", "text").repartition("gid", "part").sortWithinPartitions("gid", "part")
+    tally = parts.mapInArrow(_tally(size), "gid long, token long, n long").groupBy("gid", "token").agg(F.sum("n").alias("n"))
+    sizes = members.groupBy("gid").agg(F.first("n_rows").alias("n_rows"))
+    most = tally.join(sizes, "gid").where(F.col("n") * 2 > F.col("n_rows"))
+    # what most members have is at most twice as much as a member has on average
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "token"))), lambda x: x["token"])
+    centres = sizes.join(most.groupBy("gid").agg(ordered.alias("centre")), "gid", "left")
+    dealt = centres.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n_rows") / _SLICE) - 1))).select("gid", "part", "centre")
+    described = held.join(dealt, ["gid", "part"]).mapInArrow(_differences(size, num, den, classes), "gid long, sid long, n long, d long, s long, tokens binary")
+    described = written(described, "differences")
+    near = described.groupBy("gid").agg(F.min(F.struct("s", "sid")).alias("near"), F.count(F.lit(1)).alias("n_rows"))
+    found = join_hot(described, written(near, "nearest"), ["gid"], "n_rows", described.count())
+    at_centre = F.col("s") + F.col("near.s") <= 0
+    star = found.where(at_centre & (F.col("sid") != F.col("near.sid"))).select(F.least("sid", "near.sid").alias("a"), F.greatest("sid", "near.sid").alias("b")).distinct()
+    # those at the centre are linked already, so they only need the others, whose s is larger than -near.s
+    partner = F.when(at_centre, 1 - F.col("near.s")).otherwise(F.col("near.s"))
+    need = F.greatest(F.lit(1).cast("long"), F.ceil((F.col("s") + partner) / (2 * (num + den))).cast("long"))
+    types = ", ".join(f"{c} {'int' if c == 'pos' else 'long'}" for c in _ENTRIES)
+    spread = found.withColumn("need", need).select("gid", "sid", "n", "d", "s", "need", "tokens").mapInArrow(_difference_prefixes, types)
+    spread = written(spread, "difference-entries")
+    counts = written(spread.groupBy("gid", "token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "difference-counts")
+    lists = _chosen(written(join_hot(spread, counts, ["gid", "token"], "df", spread.count()), "difference-lists"))
+    return written(star, "star-links"), written(lists, "lists")
+
+
+def similarity_groups(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5, long: int = LONG) -> DataFrame:
     """doc_id, n_shingles, component_id: a row for each row of docs.
 
     Two documents link if the Jaccard similarity of their shingle sets is num/den or more; component_id is the
@@ -295,6 +450,7 @@ def similarity_groups(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5
     (A-Z only), words being parted by ASCII white space; fewer words are one shingle. Documents without words,
     null texts too, have an empty set and link with nothing. Repeated rows get the same component; a null
     doc_id never names a group that has another id. Other columns are ignored; an empty table gives no rows.
+    Pairs are listed only in lists of up to `long` sets; longer ones are described anew, without loss of a link.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     every = written(rows.mapInArrow(_sets(size), _SETS), "shingle-sets")
@@ -302,14 +458,26 @@ def similarity_groups(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5
     classes = docs.sparkSession.sparkContext.broadcast(frequency_classes(every))
     texts = sets.where(F.col("text").isNotNull()).select("sid", "text")
     prefixes = texts.mapInArrow(_prefixes(size, num, den, classes), _PREFIX)
-    lists = written(_lists(prefixes, num, den), "lists")
+    lists = written(_chosen(written(_first_entries(prefixes, num, den), "entries")), "lists")
     # the texts that may have a partner, each once
     some = written(texts.join(lists.select("sid").distinct(), "sid").dropDuplicates(["sid"]), "candidate-texts")
-    checked = written(verify(_hub_pairs(lists, num, den), some, size, num, den), "hub-links")
-    labels = components(checked.where("linked"))
-    more = written(verify(_cross_pairs(lists, labels, checked, num, den), some, size, num, den), "cross-links")
-    if not more.where("linked").isEmpty():
-        labels = components(checked.where("linked").unionByName(more.where("linked")))
+    checked = [written(verify(_hub_pairs(lists, num, den), some, size, num, den), "hub-links")]
+    links = checked[0].where("linked").select("a", "b")
+    labels = components(links)
+    while True:
+        entries = _mixed(lists, labels)
+        found = verify(_cross_pairs(entries.where(F.col("df") <= long), checked, num, den), some, size, num, den)
+        checked.append(written(found, "cross-links"))
+        new, far = checked[-1].where("linked").select("a", "b"), entries.where(F.col("df") > long)
+        more = not far.isEmpty()
+        if more:
+            star, lists = _described_anew(far, some, classes, size, num, den)
+            new = new.unionByName(star)
+        if not new.isEmpty():
+            links = links.unionByName(new)
+            labels = components(links)
+        if not more:
+            break
     own = sets.select("doc_id", "n", "sid").join(labels, "sid", "left").select("doc_id", "n", F.coalesce("root", "sid").alias("root"))
     own = written(own, "roots")
     per_root = own.groupBy("root").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n_rows"))
@@ -317,8 +485,6 @@ def similarity_groups(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5
 
 
 def _with_least(own: DataFrame, per_root: DataFrame, every: DataFrame) -> DataFrame:
-    from siltstone.llm.common import join_hot
-
     grouped = written(per_root.where("n_rows > 1"), "groups")
     single = own.join(grouped.select("root"), "root", "left_anti").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     several = join_hot(own, grouped, ["root"], "n_rows", own.count()).select("doc_id", F.col("n").alias("n_shingles"), F.col("least").alias("component_id"))

@@ -67,8 +67,33 @@ def test_made_up_chains(spark):
     rows += [(n + i, "alpha beta gamma delta epsilon " + f"tail{i % 3}") for i in range(40)]
     rows += [(n + 50 + i, f"one {i % 2}") for i in range(8)]
     docs = frame(spark, rows, 5)
-    for size, num, den in ((4, 85, 100), (5, 4, 5), (2, 1, 2)):
-        assert rows_of(similarity_groups(docs, size, num, den), "doc_id", "n_shingles", "component_id") == brute(rows, size, num, den)
+    for size, num, den, long in ((4, 85, 100, 128), (2, 1, 2, 4)):
+        assert rows_of(similarity_groups(docs, size, num, den, long), "doc_id", "n_shingles", "component_id") == brute(rows, size, num, den)
+
+
+def near_copies(rng, first, n, size, edits):
+    """n copies of one text, each with its own edits: pairs of them are close to the threshold."""
+    text = [f"h{first}x{i}" for i in range(size)]
+    rows = []
+    for i in range(n):
+        own = list(text)
+        for at in rng.choice(size, rng.integers(*edits), replace=False):
+            own[at] = f"e{rng.integers(0, 1 << 30)}" if rng.random() < 0.7 else f"s{rng.integers(0, 3)}"
+        rows.append((first + i, " ".join(own)))
+        if rng.random() < 0.1:  # some link to each other, far from the others
+            own[int(rng.integers(0, size))] = "z"
+            rows.append((first + 100_000 + i, " ".join(own)))
+    return rows
+
+
+@pytest.mark.parametrize(("size", "num", "den", "long"), [(4, 85, 100, 12), (5, 4, 5, 128)])
+def test_near_copies_around_a_hub(spark, size, num, den, long):
+    rng = np.random.default_rng(11)
+    rows = near_copies(rng, 0, 300, 120, (2, 7)) + near_copies(rng, 1_000_000, 80, 40, (0, 3)) + near_copies(rng, 2_000_000, 60, 200, (0, 20))
+    docs = frame(spark, rows, 5)
+    want = brute(rows, size, num, den)
+    assert rows_of(similarity_groups(docs, size, num, den, long), "doc_id", "n_shingles", "component_id") == want
+    assert 20 < len({c for _, _, c in want}) < len(rows) - 20
 
 
 def test_odd_rows(spark):

@@ -11,7 +11,10 @@ the two hubs that it shares the most prefix shingles with (a hub: the set of a l
 common). Only candidates that these links leave in different groups are verified one by one; those inside one
 group are linked already.
 
-A shingle that many sets have in their prefix has a long list, whose pairs are never listed. Its members are described
+Large sets ask for as many matches as a 64th of their size. Where fewer of a set's prefix shingles than that have lists
+beyond SHORT (a passage that many documents share), any partner must meet it in the other lists too, so it leaves the longer ones.
+
+Another shingle that many sets have in their prefix has a long list, whose pairs are never listed. Its members are described
 anew, by how each differs from a centre c (the shingles that most members have). With d(a) the number of shingles in
 just one of a and c, and m(a, b) the number that the differences of a and b have in common, a and b differ in
 d(a) + d(b) - 2 m(a, b) shingles, and link if that is at most (1 - t) / (1 + t) of their summed sizes x + y. So with
@@ -39,8 +42,10 @@ from siltstone.llm.common import give_back, join_hot, written
 #: Counters of the frequency sketch: a fixed size, whatever the corpus.
 SKETCH_BITS = 22
 _BLOCK_BITS = 16
-#: The most matches that a prefix may ask for.
-MATCHES = 8
+#: The most matches that a prefix may ask for; sets of LARGE shingles or more ask for a 64th of their size.
+MATCHES, LARGE = 8, 512
+#: The longest list that a large set stays in, if enough of its lists are that short.
+SHORT = 16
 #: A list with more sets than this is described anew, by differences from a centre.
 LONG = 128
 #: Members of a group that one task looks at together when it seeks the centre.
@@ -163,7 +168,7 @@ def _prefixes(size: int, num: int, den: int, shared):
                 for sid, text in zip(part["sid"].to_pylist(), part["text"].to_pylist(), strict=True):
                     own = shingle_set(unpack.decompress(text), size)
                     need = -(-num * len(own) // den)
-                    p = min(len(own), len(own) - need + MATCHES)
+                    p = min(len(own), len(own) - need + max(MATCHES, len(own) // 64))
                     out.append((rare_first(own, classes)[:p].view(np.int64), sid, len(own)))
                 if out:
                     lengths = np.array([len(t) for t, _, _ in out])
@@ -272,20 +277,31 @@ def _first_entries(prefixes: DataFrame, num: int, den: int) -> DataFrame:
     )
 
 
-def _chosen(entries: DataFrame) -> DataFrame:
-    """The entries within the prefix of each set's own k matches, with k."""
+def _chosen(entries: DataFrame, num: int = 0, den: int = 0) -> DataFrame:
+    """The entries within the prefix of each set's own k matches, with k and left: how many lists beyond SHORT the set has left.
+
+    Only with num and den (entries of the sets themselves) do large sets leave lists. Their partners' k is a 64th of num/den of
+    their own size at least, so they share that many entries, and more of these than the set leaves; null: it leaves none.
+    """
     reach = [F.col("d") - F.col("need") + k for k in range(1, MATCHES + 1)]
     sums = [F.sum(F.when(F.col("pos") < reach[k], F.col("df")).otherwise(0)).alias(f"df{k}") for k in range(MATCHES)]
     one = [F.sum(F.when(F.col("pos") < reach[k], 1).otherwise(0)).alias(f"own{k}") for k in range(MATCHES)]
-    per_set = entries.groupBy("gid", "sid").agg(F.first("n").alias("n"), F.first("need").alias("need"), *sums, *one)
+    most = F.floor(F.col("n") / 64)
+    busy = F.sum(F.when((F.col("pos") < F.col("d") - F.col("need") + most) & (F.col("df") > SHORT), 1).otherwise(0)).alias("busy")
+    per_set = entries.groupBy("gid", "sid").agg(F.first("n").alias("n"), F.first("need").alias("need"), busy, *sums, *one)
     # an entry costs 1, a verification about a twentieth of a set's size; k matches leave a k-th of the entries as candidates at most
     cost = [F.col(f"df{k}") + (F.col(f"df{k}") - F.col(f"own{k}")) / (k + 1) * F.col("n") / 20 for k in range(MATCHES)]
     allowed = [F.when(F.col("need") > k, cost[k]) for k in range(MATCHES)]
     least = F.least(*allowed)
-    choice = F.coalesce(*[F.when(allowed[k] == least, F.lit(k + 1)) for k in range(MATCHES)], F.lit(1))
-    chosen = per_set.select("gid", "sid", choice.alias("k"))
+    choice = F.coalesce(*[F.when(allowed[k] == least, F.lit(k + 1)) for k in range(MATCHES)], F.lit(1)).cast("long")
+    left = F.lit(None).cast("long")
+    if den:
+        choice = F.when(F.col("n") >= LARGE, most).otherwise(choice)
+        partner = F.ceil(F.col("n") * num / den)
+        left = F.when((partner >= LARGE) & (F.col("busy") < F.floor(partner / 64)), F.col("busy"))
+    chosen = per_set.select("gid", "sid", choice.alias("k"), left.alias("left"))
     kept = entries.join(chosen, ["gid", "sid"]).where(F.col("pos") < F.col("d") - F.col("need") + F.col("k"))
-    return kept.select(*_ENTRIES, "df", "k")
+    return kept.where(F.col("left").isNull() | (F.col("df") <= SHORT)).select(*_ENTRIES, "df", "k", "left")
 
 
 def _fits(x: str, y: str, num: int, den: int) -> Column:
@@ -318,7 +334,7 @@ def _mixed(lists: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _cross_pairs(entries: DataFrame, done: list[DataFrame], num: int, den: int) -> DataFrame:
     """Candidates in different groups, from lists of a bounded length, that haven't been verified yet."""
-    columns = ("sid", "n", "d", "s", "pos", "k", "root")
+    columns = ("sid", "n", "d", "s", "pos", "k", "left", "root")
     one = entries.select("gid", "token", *[F.col(c).alias(f"{c}_a") for c in columns])
     two = entries.select("gid", "token", *[F.col(c).alias(f"{c}_b") for c in columns])
     k = F.least("k_a", "k_b")
@@ -326,8 +342,8 @@ def _cross_pairs(entries: DataFrame, done: list[DataFrame], num: int, den: int)
     early = (F.col("pos_a") < F.col("d_a") - overlap + k) & (F.col("pos_b") < F.col("d_b") - overlap + k)
     needed = (F.col("sid_a") < F.col("sid_b")) & (F.col("root_a") != F.col("root_b")) & (F.col("s_a") + F.col("s_b") > 0)
     met = one.join(two, ["gid", "token"]).where(needed & _fits("n_a", "n_b", num, den) & early)
-    met = met.select("gid", F.col("sid_a").alias("a"), F.col("sid_b").alias("b"), k.alias("k"), overlap.alias("overlap"))
-    enough = met.groupBy("gid", "a", "b").agg(F.count(F.lit(1)).alias("shared"), F.first("k").alias("k"), F.first("overlap").alias("o")).where("shared >= least(k, o)")
+    met = met.select("gid", F.col("sid_a").alias("a"), F.col("sid_b").alias("b"), (F.least(k, overlap) - F.coalesce(F.least("left_a", "left_b"), F.lit(0))).alias("asked"))
+    enough = met.groupBy("gid", "a", "b").agg(F.count(F.lit(1)).alias("shared"), F.first("asked").alias("asked")).where("shared >= asked")
     new = enough.select("a", "b").distinct()
     for pairs in done:
         new = new.join(pairs.select("a", "b"), ["a", "b"], "left_anti")
@@ -458,7 +474,7 @@ def similarity_groups(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5
     classes = docs.sparkSession.sparkContext.broadcast(frequency_classes(every))
     texts = sets.where(F.col("text").isNotNull()).select("sid", "text")
     prefixes = texts.mapInArrow(_prefixes(size, num, den, classes), _PREFIX)
-    lists = written(_chosen(written(_first_entries(prefixes, num, den), "entries")), "lists")
+    lists = written(_chosen(written(_first_entries(prefixes, num, den), "entries"), num, den), "lists")
     # the texts that may have a partner, each once
     some = written(texts.join(lists.select("sid").distinct(), "sid").dropDuplicates(["sid"]), "candidate-texts")
     checked = [written(verify(_hub_pairs(lists, num, den), some, size, num, den), "hub-links")]

@@ -96,6 +96,26 @@ def test_near_copies_around_a_hub(spark, size, num, den, long):
     assert 20 < len({c for _, _, c in want}) < len(rows) - 20
 
 
+def test_shared_passages(spark):
+    """Large sets that share passages with many others, and some near copies of them."""
+    rng = np.random.default_rng(7)
+    passages = [[f"p{p}x{i}" for i in range(60)] for p in range(6)]
+    rows = []
+    for i in range(150):
+        text = [f"d{i}x{j}" for j in range(int(rng.integers(560, 900)))]
+        for p in rng.choice(6, rng.integers(1, 4), replace=False):
+            at = int(rng.integers(0, len(text)))
+            text[at:at] = passages[p]
+        rows.append((i, " ".join(text)))
+        if i % 3 == 0:
+            for at in rng.choice(len(text), int(rng.integers(5, 40)), replace=False):
+                text[at] = "x"
+            rows.append((1000 + i, " ".join(text)))
+    want = brute(rows, 4, 85, 100)
+    assert 150 <= len({c for _, _, c in want}) < len(rows) - 10
+    assert rows_of(similarity_groups(frame(spark, rows, 5), 4, 85, 100), "doc_id", "n_shingles", "component_id") == want
+
+
 def test_odd_rows(spark):
     for docs in (frame(spark), clashing(spark)):
         assert rows_of(similarity_groups(docs, 4, 85, 100), "doc_id", "n_shingles", "component_id") == brute(ODD, 4, 85, 100)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from siltstone.llm import decontam, exact_dedup, langid, ngram_join, packing
 from siltstone.llm.common import written
-from siltstone.llm.queries import TOKENIZERS
+from siltstone.llm.queries import WORD_BPE
 
 #: SQL can't express the classifier, nor the packing.
 ORACLE_SQL = None
@@ -49,7 +49,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents, packed into sequences of 4096 tokens."""
-    return packing.pack(docs, f"{TOKENIZERS}/word_bpe_49k.json", end_id=1, size=4096)
+    return packing.pack(docs, WORD_BPE, end_id=1, size=4096)
 
 
 STAGES = [

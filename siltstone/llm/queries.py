@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import os
-
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import scratch
 
-#: The folder of the public vocabularies.
-TOKENIZERS = os.environ.get("SILTSTONE_TOKENIZERS", "/opt/tokenizers")
+#: The public vocabularies' files.
+BYTE_BPE = str(public_tokenizers.path("byte_bpe_50k.json"))
+WORD_BPE = str(public_tokenizers.path("word_bpe_49k.json"))
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,7 +42,7 @@ def op4_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siltstone.llm.token_records import read_token_records, write_token_records
 
     folder = scratch(spark, "token-records")
-    write_token_records(_table(spark, sf_dir, "documents"), folder, f"{TOKENIZERS}/byte_bpe_50k.json", end_id=2)
+    write_token_records(_table(spark, sf_dir, "documents"), folder, BYTE_BPE, end_id=2)
     return read_token_records(spark, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
@@ -67,14 +67,14 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siltstone.llm.packing import pack
 
-    return pack(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json", end_id=1, size=4096)
+    return pack(_table(spark, sf_dir, "documents"), WORD_BPE, end_id=1, size=4096)
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Starts with an empty cache, so that a run's figures don't hang on earlier runs."""
     from siltstone.llm.token_counts import token_counts
 
-    return token_counts(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json", scratch(spark, "count-cache"), limit=1024)
+    return token_counts(_table(spark, sf_dir, "documents"), BYTE_BPE, scratch(spark, "count-cache"), limit=1024)
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

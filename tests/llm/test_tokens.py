@@ -7,20 +7,19 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from siltstone.llm.encoding import MemoEncoder
+from siltstone.llm.encoding import _WHOLE, MemoEncoder
 from siltstone.llm.packing import best_fit, local_search, pack
-from siltstone.llm.queries import TOKENIZERS
+from siltstone.llm.queries import BYTE_BPE as BYTE
+from siltstone.llm.queries import WORD_BPE as WORD
 from siltstone.llm.token_counts import token_counts
 from siltstone.llm.token_records import deserialize, fetch_records, frame as framed, read_frame, read_token_records, serialize, write_token_records
 from tests.llm.cases import ODD, clashing, empty, rows_of, sample
 
-BYTE, WORD = f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/word_bpe_49k.json"
-
 TRICKY = [
     "", " ", "  ", "\n", "\n\n", " \n ", "a", " a", "a ", "a  b", "a\nb", "a \nb", "a\n b", ".", ",", " .", "a.", "a .", "a. b", "a.b", "a..b", "...", "a, b,c ,d",
     "don't we'll I'M 'S 's", "x's y 's", "3.14 1,000,000 v2.0.1", "e.g., i.e.", "!.", "!,a", "a!.b", "_._", "\t.\t", "tab\tbed", "a\r\nb", "nbsp x", " wide", "é.è",
     "<|endoftext|>", "a <|endoftext|> b", "<|endoftext|>.", "x<|y", "<|", "|>", "İstanbul ǅ ß ẞ ΑΣ ΑΣ. ΑΣ a", "日本語。テキスト.", "😀.😀", "á.b́", "½.½", "²,²", "Ⅷ.", "a\x00b", "\x00", " \x00", "\x00 .",
-    "MIXED Case, Words.", "http://a.b/c?d=e,f", "a" * 5000, ". " * 300, "\n" * 300, " " * 300, "ab " * 3000, "​.​", "ﬁ ﬂ", "﻿.x", "٣.٤", "a b", "a\x1cb", "a\x85b",
+    "İ.", "A \x00", "a \x00b c", "x İ. y", "MIXED Case, Words.", "http://a.b/c?d=e,f", "a" * 5000, ". " * 300, "\n" * 300, " " * 300, "ab " * 3000, "​.​", "ﬁ ﬂ", "﻿.x", "٣.٤", "a b", "a\x1cb", "a\x85b",
 ]
 
 
@@ -45,6 +44,28 @@ def test_encoder_random_texts():
             assert ids.tolist() == lib.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_every_character(path):
+    """Each code point around stops, commas, blanks and letters: by pieces where the text is plain, else it goes whole."""
+    lib, own = Tokenizer.from_file(path), MemoEncoder(path)
+    plain = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and not _WHOLE.search(chr(c))]
+    assert len(plain) == 203 and not set(plain) & {"\0", "\t", "\r", "\x85", "\xa0", "\xad", "\u0130"}
+    forms = ["{0}.", "{0},", " {0}", "{0} ", ".{0}", "a{0}", "{0}a", "1{0}.", "a {0}.b", ",{0},", "{0}{0}", "{0}\n{0}", "\n{0}.", "'{0}", "{0}'s a"]
+    texts = [f.format(c) for c in plain for f in forms] + [a + b for a in plain for b in plain]
+    for text, ids, e in zip(texts, own.encode(texts), lib.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert ids.tolist() == e.ids, repr(text)
+
+
+def test_random_plain_and_odd_characters():
+    rng = np.random.default_rng(9)
+    alphabet = [chr(c) for c in range(0x2100) if not 0xD800 <= c < 0xE000] + list("ab .,\n'") * 600
+    texts = ["".join(rng.choice(alphabet, rng.integers(1, 12))) for _ in range(8_000)]
+    for path in (BYTE, WORD):
+        lib, own = Tokenizer.from_file(path), MemoEncoder(path)
+        for text, ids, e in zip(texts, own.encode(texts), lib.encode_batch(texts, add_special_tokens=False), strict=True):
+            assert ids.tolist() == e.ids, repr(text)
+
+
 def test_memo_is_bounded():
     own = MemoEncoder(BYTE, max_pieces=10)
     lib = Tokenizer.from_file(BYTE)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+import heapq
 import zlib
 
 import numpy as np
@@ -56,76 +57,103 @@ def best_fit(lengths: np.ndarray, size: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], lengths: np.ndarray, size: int, patience: int = 64, pair_bins: int = 256) -> list[list[int]]:
-    """Empties underfull bins: documents of the emptiest are moved to others, or swapped one for one or one for two.
-
-    Each step takes tokens from the emptiest bin to one that is at least as full, so the sum of squared fills
-    rises and the search ends. A bin that no step helps is set aside until the next step; the search also ends
-    after `patience` such bins in a row, or when the room left in all bins together is less than one bin. Swaps
-    for two are looked for in the pair_bins roomiest bins.
+def _sums(lengths: list[int], size: int) -> list[int]:
+    """0, and the lengths of one or two of the documents together, each once, below size."""
+    own = sorted(set(lengths))
+    twice = {2 * x for x in own if lengths.count(x) > 1}
+    return sorted({0, *own, *twice, *(x + y for i, x in enumerate(own) for y in own[:i])} - set(range(size, 2 * size + 1)))
+
+
+class _Open:
+    """Underfull bins by what they can give: for each sum of up to two of their documents, the roomiest bin that has it."""
+
+    def __init__(self, size: int):
+        self.size = size
+        self.heaps: list[list[tuple[int, int, int]]] = [[] for _ in range(size)]
+        self.room = np.full(size, -1, np.int64)
+        self.state: dict[int, tuple[int, list[int]]] = {}
+        self.rooms: list[tuple[int, int]] = []
+        self.changes = 0
+
+    def add(self, b: int, room: int, lengths: list[int]) -> None:
+        self.changes += 1
+        sums = _sums(lengths, self.size)
+        self.state[b] = (self.changes, sums, room)
+        bisect.insort(self.rooms, (room, b))
+        for x in sums:
+            heapq.heappush(self.heaps[x], (-room, b, self.changes))
+            self.room[x] = max(self.room[x], room)
+
+    def remove(self, b: int) -> None:
+        _, sums, room = self.state.pop(b)
+        self.rooms.pop(bisect.bisect_left(self.rooms, (room, b)))
+        for x in sums:
+            heap = self.heaps[x]
+            while heap and self.state.get(heap[0][1], (0,))[0] != heap[0][2]:
+                heapq.heappop(heap)
+            self.room[x] = -heap[0][0] if heap else -1
+
+    def best(self, out: int) -> tuple[int, int, int] | None:
+        """(gain, bin, sum that comes back) of the most tokens that a bin can take for documents of `out` tokens."""
+        low = max(0, out - self.rooms[-1][0]) if self.rooms else out
+        fits = np.flatnonzero(self.room[low:out] >= np.arange(out - low, 0, -1))
+        if not len(fits):
+            return None
+        back = low + int(fits[0])
+        # without anything in return: where the least room is left
+        return out - back, self.heaps[back][0][1] if back else self.rooms[bisect.bisect_left(self.rooms, (out, -1))][1], back
+
+
+def _pick(items: list[int], lengths: list[int], total: int) -> list[int]:
+    """Up to two of items whose lengths add up to total."""
+    if not total:
+        return []
+    if total in lengths:
+        return [items[lengths.index(total)]]
+    where = {x: i for i, x in enumerate(lengths)}
+    return next([items[i], items[where[total - x]]] for i, x in enumerate(lengths) if where.get(total - x, i) != i)
+
+
+def local_search(bins: list[list[int]], lengths: np.ndarray, size: int) -> list[list[int]]:
+    """Empties underfull bins: one or two documents of a bin go to a fuller one, for none, one or two of that bin's.
+
+    Bins give in the order of their fill, the emptiest first, and only to those that are still to come in the order, so each
+    step raises the sum of squared fills. Passes go on until one finds no step, or the room left in all bins together
+    is less than one bin.
     """
-    bin_of = np.zeros(len(lengths), np.int64)
-    for k, b in enumerate(bins):
-        bin_of[b] = k
-    fill = np.bincount(bin_of, weights=lengths, minlength=len(bins)).astype(np.int64)
-    items = np.flatnonzero(fill[bin_of] < size)  # full bins stay as they are
-    done = np.zeros(len(bins), bool)
+    held = [list(b) for b in bins]
+    fill = [int(lengths[b].sum()) for b in held]
+    of = lengths.tolist()
     while True:
-        open_ = np.flatnonzero((fill > 0) & (fill < size))
-        if len(open_) < 2 or (size - fill[open_]).sum() < size or done[open_].sum() >= min(len(open_), patience):
+        order = sorted((k for k in range(len(held)) if 0 < fill[k] < size), key=lambda k: (fill[k], k))
+        if len(order) < 2 or sum(size - fill[k] for k in order) < size:
+            break
+        rest, steps = _Open(size), 0
+        for k in order[1:]:
+            rest.add(k, size - fill[k], [of[i] for i in held[k]])
+        for k in order:
+            if k in rest.state:
+                rest.remove(k)
+            if fill[k] >= size:
+                continue
+            while held[k] and rest.rooms:
+                own = [of[i] for i in held[k]]
+                found = [(rest.best(out), out) for out in _sums(own, size)[1:]]
+                (gain, to, back), out = max((x for x in found if x[0]), default=((0, 0, 0), 0))
+                if not gain:
+                    break
+                give, take = _pick(held[k], own, out), _pick(held[to], [of[i] for i in held[to]], back)
+                held[k] = [i for i in held[k] if i not in give] + take
+                held[to] = [i for i in held[to] if i not in take] + give
+                fill[k] -= gain
+                fill[to] += gain
+                rest.remove(to)
+                if fill[to] < size:
+                    rest.add(to, size - fill[to], [of[i] for i in held[to]])
+                steps += 1
+        if not steps:
             break
-        free = open_[~done[open_]]
-        victim = int(free[np.argmin(fill[free])])
-        step = _step(victim, bin_of, fill, lengths, size, items, pair_bins)
-        if step is None:
-            done[victim] = True
-            continue
-        done[:] = False
-        k, out, back = step
-        bin_of[out], bin_of[back] = k, victim
-        moved = int(lengths[out] - lengths[back].sum())
-        fill[k] += moved
-        fill[victim] -= moved
-    order = np.argsort(bin_of, kind="stable")
-    return [b.tolist() for b in np.split(order, np.flatnonzero(np.diff(bin_of[order])) + 1)] if len(order) else []
-
-
-def _step(victim: int, bin_of: np.ndarray, fill: np.ndarray, lengths: np.ndarray, size: int, items: np.ndarray, pair_bins: int) -> tuple[int, int, list[int]] | None:
-    """The move or swap of the largest gain: bin, the victim's document for it, the documents that come back for that."""
-    open_ = np.flatnonzero((fill >= fill[victim]) & (fill < size))
-    open_ = open_[open_ != victim]
-    own = items[bin_of[items] == victim]
-    if not len(open_) or not len(own):
-        return None
-    rooms = size - fill[open_]
-    small = own[lengths[own] <= rooms.max()]
-    if len(small):  # the longest that fits anywhere, to where it leaves the least room
-        a = int(small[np.argmax(lengths[small])])
-        fits = np.flatnonzero(rooms >= lengths[a])
-        best, act = int(lengths[a]), (int(open_[fits[np.argmin(rooms[fits])]]), a, [])
-    else:
-        best, act = 0, None
-    others = items[(fill[bin_of[items]] < size) & (fill[bin_of[items]] >= fill[victim]) & (bin_of[items] != victim)]
-    sizes, slack = lengths[others], size - fill[bin_of[others]]
-    for a in own[np.unique(lengths[own], return_index=True)[1]].tolist():
-        gain = lengths[a] - sizes
-        gain = np.where((gain > 0) & (gain <= slack), gain, 0)
-        if len(gain) and gain.max() > best:
-            j = int(gain.argmax())
-            best, act = int(gain[j]), (int(bin_of[others[j]]), a, [int(others[j])])
-    if act is None:
-        for k in open_[np.argsort(-rooms, kind="stable")][:pair_bins].tolist():
-            mine = others[bin_of[others] == k]
-            if len(mine) > 1:
-                pairs = lengths[mine][:, None] + lengths[mine][None, :]
-                pairs[np.tril_indices(len(mine))] = size + 1
-                for a in own.tolist():
-                    gain = lengths[a] - pairs
-                    gain = np.where((gain > 0) & (gain <= size - fill[k]), gain, 0)
-                    if gain.max() > best:
-                        x, y = np.unravel_index(gain.argmax(), gain.shape)
-                        best, act = int(gain[x, y]), (k, a, [int(mine[x]), int(mine[y])])
-    return act
+    return [b for b in held if b]
 
 
 def _packer(size: int, round_: int):
@@ -153,30 +181,31 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, size: int = 4096, bl
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: a row for each piece of each document.
 
     A document is its ids and end_id; only one longer than size is cut. Pieces are dealt into even blocks of
-    about `block` rows and packed there; the bins that stay underfull are pooled, dealt and packed again, until
-    one block holds them all, so that only the very last bins can be underfull. A null text is the single
-    end_id. Repeated rows, and rows of one id, are packed one by one; a null doc_id stays null; other columns are
-    ignored; an empty table gives no rows.
+    about `block` rows and packed there, so that a task's work is bounded; the bins that stay underfull are pooled, dealt and
+    packed again, until one block holds them all or a round doesn't lower their number (then they stay as they were). A null
+    text is the single end_id. Repeated rows, and rows of one id, are packed one by one; a null doc_id stays null; other
+    columns are ignored; an empty table gives no rows.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     left = written(rows.mapInArrow(_cutter(tokenizer_path, end_id, size), _PIECES), "pieces")
-    closed, n, round_ = [], left.count(), 0
+    closed, n, round_, before, under = [], left.count(), 0, None, None
     while True:
         blocks = max(1, -(-n // block))
         dealt = left.withColumn("block", F.pmod(F.xxhash64("uid", F.lit(round_)), F.lit(blocks)))
         if blocks > 1:
             dealt = dealt.repartition(blocks, "block")
         packed = written(dealt.groupBy("block").applyInPandas(_packer(size, round_), _PACKED), "packed")
+        bins = packed.where("offset = 0")
+        if before is not None and bins.count() >= before:
+            closed.append(under)
+            break
         if blocks == 1:
             closed.append(packed)
             break
         closed.append(packed.where(F.col("fill") == size))
-        left = packed.where(F.col("fill") < size).select(*left.columns)
-        again = left.count()
-        if again > 0.9 * n:  # pieces that leave every bin underfull: packing them anew gains nothing
-            closed.append(packed.where(F.col("fill") < size))
-            break
-        n, round_ = again, round_ + 1
+        under = packed.where(F.col("fill") < size)
+        left = under.select(*left.columns)
+        n, before, round_ = left.count(), bins.where(F.col("fill") < size).count(), round_ + 1
     out = closed[0]
     for more in closed[1:]:
         out = out.unionByName(more)

@@ -167,6 +167,55 @@ def test_local_search_empties_bins():
         assert len(bins) <= len(start)
 
 
+def least_bins(lengths, size):
+    """The exact optimum, by trying every bin for the longest first."""
+    best = len(lengths)
+
+    def deal(i, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if i == len(lengths):
+            best = len(rooms)
+            return
+        for r in sorted(set(rooms)):
+            if r >= lengths[i]:
+                rest = list(rooms)
+                rest.remove(r)
+                deal(i + 1, [*rest, r - lengths[i]])
+        deal(i + 1, [*rooms, size - lengths[i]])
+
+    lengths = sorted(lengths, reverse=True)
+    deal(0, [])
+    return best
+
+
+def test_local_search_against_optimum():
+    rng = np.random.default_rng(2)
+    found = best = start = 0
+    for _ in range(150):
+        lengths = rng.integers(8, 40, rng.integers(2, 13))
+        first = best_fit(lengths, 60)
+        bins = local_search([list(b) for b in first], lengths, 60)
+        assert sorted(i for b in bins for i in b) == list(range(len(lengths)))
+        found, best, start = found + len(bins), best + least_bins(lengths.tolist(), 60), start + len(first)
+    assert best <= found <= start
+    assert found - best <= 0.01 * best
+
+
+@pytest.mark.parametrize(("low", "high"), [(1300, 2300), (1, 4096), (1, 40), (900, 1100)])
+def test_local_search_is_quick(low, high):
+    import time
+
+    lengths = np.random.default_rng(4).integers(low, high, 20_000)
+    first, began = best_fit(lengths, 4096), time.time()
+    bins = local_search([list(b) for b in first], lengths, 4096)
+    assert time.time() - began < 60
+    assert sorted(i for b in bins for i in b) == list(range(20_000))
+    assert max(int(lengths[b].sum()) for b in bins) <= 4096
+    assert len(bins) <= len(first)
+
+
 def test_counts(spark, tmp_path):
     docs = sample(spark).select("doc_id", "text")
     lib = Tokenizer.from_file(BYTE)

@@ -22,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
     jsc_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
     if jsc_dir.isDefined():
         return jsc_dir.get().rsplit("/", 1)[0]
+    if not spark.sparkContext.master.startswith(("local[", "local*")) and spark.sparkContext.master != "local":
+        raise ValueError("on a cluster, spark.checkpoint.dir must name a folder that driver and executors share")
     own = "file://" + tempfile.mkdtemp(prefix="siltstone-")
     spark.sparkContext.setCheckpointDir(own)
     return own

@@ -235,8 +235,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, bl
     """doc_id, n_words, word_spans (merged stretches of hit words), items (ids, sorted as strings) of each row of docs.
 
     The benchmark is the stated query set. It is dealt by item into blocks of about block_bytes of text at most;
-    each block in turn goes to all workers and is searched in all documents. With several blocks the finds are
-    put together by a digest of the text. Null texts have no words; null item ids are left out; repeated items count
+    each block in turn goes to all workers and is searched in all documents. With several blocks distinct texts are
+    written once, searched by each, and the finds put together by a digest of the text. Null texts have no words; null item ids are left out; repeated items count
     once, repeated rows of docs are all returned; only doc_id, item_id and text are looked at.
     """
     spark = docs.sparkSession
@@ -244,6 +244,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, bl
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = written(rows.select(_digest().alias("doc_id"), "text").dropDuplicates(["doc_id"]), "distinct-texts") if blocks > 1 else None
     parts = []
     for k in range(blocks):
         own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
@@ -251,7 +252,6 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, bl
         shared = spark.sparkContext.broadcast(windows)
         if blocks == 1:
             return rows.mapInArrow(_searcher(shared, pa.int64()), "doc_id long, " + _FOUND)
-        texts = rows.select(_digest().alias("doc_id"), "text").dropDuplicates(["doc_id"])
         found = texts.mapInArrow(_searcher(shared, pa.string()), "doc_id string, " + _FOUND)
         parts.append(written(found.where(F.size("items") > 0), "contamination"))
     return _joined(rows, parts)

@@ -74,11 +74,15 @@ def exact_dedup(docs: DataFrame, keep: str = "min") -> DataFrame:
 
 
 def keep_distinct(docs: DataFrame, keep: str = "min") -> DataFrame:
-    """The rows of docs that stay, all columns. Rows with the same id and text count as one."""
-    rows = written(digests(docs.select("doc_id", "text")).drop("text").withColumn("row", F.monotonically_increasing_id()), "digests")
-    stay = merge_runs(rows, keep).select(*[F.col(c).alias(f"_{c}") for c in _KEY], F.col("best.doc_id").alias("_keep"))
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    keyed = digests(docs.withColumnsRenamed({c: f"other{i}" for i, c in enumerate(others)}))
-    same = [F.col(c) == F.col(f"_{c}") for c in _KEY] + [F.col("doc_id").eqNullSafe(F.col("_keep"))]
-    out = keyed.join(stay, same, "left_semi").dropDuplicates([*_KEY, "doc_id"]).drop(*_KEY)
-    return out.withColumnsRenamed({f"other{i}": c for i, c in enumerate(others)})
+    """The rows of docs that stay (see exact_dedup()), all columns. Rows with the same id and text count as one.
+
+    Rows are numbered once; only digests are grouped, and only numbers say which rows go. Null and empty texts are one
+    group; other columns may have any names; an empty table stays empty.
+    """
+    named = {c: f"column{i}" for i, c in enumerate(docs.columns)}
+    of = {name: c for c, name in named.items()}
+    numbered = written(docs.withColumnsRenamed(named).withColumn("row", F.monotonically_increasing_id()), "numbered")
+    own = numbered.select(F.col(named["doc_id"]).alias("doc_id"), F.col(named["text"]).alias("text"), "row")
+    rows = written(digests(own).drop("text"), "digests")
+    stay = merge_runs(rows, keep).select(F.col("best.row").alias("row"))
+    return numbered.join(written(stay, "staying"), "row", "left_semi").drop("row").withColumnsRenamed(of)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+
+import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,13 +44,16 @@ def words_line(text: str | None) -> bytes:
 
 
 class NoticeFinder:
-    """Compiled notices. A notice with k edits allowed is cut into k + 1 seeds, one of which must stand unedited."""
+    """Compiled notices. A notice with k edits allowed is cut into k + 1 seeds, one of which must stand unedited.
+
+    One automaton finds the seeds of all notices in one pass over a text, however many notices there are.
+    """
 
     def __init__(self, notices: dict[str, str] = NOTICES, edit_every: int = EDIT_EVERY):
         import regex
 
         self.notices = []
-        self.seeds: dict[bytes, list[tuple[int, int]]] = {}
+        seeds: dict[str, list[tuple[int, int]]] = {}
         for n, (phrase, label) in enumerate(notices.items()):
             body = phrase.encode()
             k = len(body) // edit_every
@@ -54,17 +61,19 @@ class NoticeFinder:
             self.notices.append((len(body), k, label, fuzzy))
             cuts = [round(i * len(body) / (k + 1)) for i in range(k + 2)]
             for a, b in zip(cuts, cuts[1:], strict=False):
-                self.seeds.setdefault(body[a:b], []).append((n, a))
+                seeds.setdefault(body[a:b].decode("latin-1"), []).append((n, b))
+        self.automaton = ahocorasick.Automaton()
+        for seed, uses in seeds.items():
+            self.automaton.add_word(seed, uses)
+        if seeds:
+            self.automaton.make_automaton()
 
     def find(self, line: bytes) -> list[tuple[str, int, int, int, int]]:
         """(label, first byte, end byte, edits, notice length) of each notice in the line; overlapping ones once, the best."""
         places: dict[int, set[int]] = {}
-        for seed, uses in self.seeds.items():
-            at = line.find(seed)
-            while at >= 0:
-                for n, a in uses:
-                    places.setdefault(n, set()).add(at - a)
-                at = line.find(seed, at + 1)
+        for last, uses in self.automaton.iter(line.decode("latin-1")) if self.notices else ():
+            for n, b in uses:
+                places.setdefault(n, set()).add(last + 1 - b)
         out = []
         for n, starts in places.items():
             size, k, label, fuzzy = self.notices[n]
@@ -85,18 +94,19 @@ class NoticeFinder:
 def scan(finder: NoticeFinder, text: str | None) -> tuple:
     """n_words, n_base, first_word, last_word, base_labels, labels, score, spans."""
     line = words_line(text)
+    blanks = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
     base: list[tuple[int, str]] = []
     for phrase, label in BASE.items():
         needle = b" " + phrase.encode() + b" "
         at = line.find(needle)
         while at >= 0:
-            base.append((line.count(b" ", 0, at), label))
+            base.append((int(np.searchsorted(blanks, at)), label))
             at = line.find(needle, at + 1)
     fuzzy = finder.find(line)
     starts = [w for w, _ in base]
     labels = {x for _, x in base}
     score = max([1.0 * bool(base), *(1 - edits / size for _, _, _, edits, size in fuzzy)])
-    spans = [(a0 := line.count(b" ", 0, a) - 1, a0 + line.count(b" ", a, b) + 1, label, edits) for label, a, b, edits, _ in fuzzy]
+    spans = [(int(np.searchsorted(blanks, a)) - 1, int(np.searchsorted(blanks, b)), label, edits) for label, a, b, edits, _ in fuzzy]
     return (
         max(0, line.count(b" ") - 1), len(base), min(starts, default=None), max(starts, default=None),
         ",".join(sorted(labels)), ",".join(sorted(labels | {x[0] for x in fuzzy})), score,
@@ -104,22 +114,41 @@ def scan(finder: NoticeFinder, text: str | None) -> tuple:
     )
 
 
-def _scanner(batches):
-    finder = NoticeFinder()
-    for b in batches:
-        for i in range(0, b.num_rows, 1000):
-            part = b.slice(i, 1000)
-            rows = [(d, *scan(finder, t)) for d, t in zip(part["doc_id"].to_pylist(), part["text"].to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _OUT.types, strict=True)], schema=_OUT)
+def _scanner(notices, edit_every):
+    def run(batches):
+        finder = _finder(notices, edit_every)
+        for b in batches:
+            for i in range(0, b.num_rows, 1000):
+                part = b.slice(i, 1000)
+                rows = [(d, *scan(finder, t)) for d, t in zip(part["doc_id"].to_pylist(), part["text"].to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _OUT.types, strict=True)], schema=_OUT)
+
+    return run
+
+
+@functools.lru_cache(maxsize=2)
+def _finder(notices: tuple[tuple[str, str], ...], edit_every: int) -> NoticeFinder:
+    """One per worker process, for all its tasks."""
+    return NoticeFinder(dict(notices), edit_every)
+
+
+def notice_table(table: DataFrame, most_bytes: int = 16 << 20) -> dict[str, str]:
+    """Notices from a table (notice, label): their words, lower-cased (A-Z). Null or wordless ones are left out; of repeated ones the
+    least label counts. They go to every worker, so more than most_bytes of them are an error."""
+    rows = table.where(F.col("notice").isNotNull() & F.col("label").isNotNull()).groupBy("notice").agg(F.min("label").alias("label"))
+    if (rows.agg(F.sum(F.octet_length("notice"))).first()[0] or 0) > most_bytes:
+        raise ValueError(f"more than {most_bytes} bytes of notices")
+    found = sorted((words_line(r["notice"]).strip().decode(), r["label"]) for r in rows.toLocalIterator())
+    return {notice: label for notice, label in reversed(found) if notice}
 
 
-def license_scan(docs: DataFrame) -> DataFrame:
+def license_scan(docs: DataFrame, notices: dict[str, str] = NOTICES, edit_every: int = EDIT_EVERY) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans: a row for each row of docs.
 
     n_base and the words count exact base phrases; labels adds those of the edited notices. score is 1 less the
     share of edited characters of the best find, 0 without one. spans lists label:first word:end word:edits of the
-    notices. Null and empty texts have no words, no finds, and null first and last words. Repeated rows and
+    notices (phrase -> label, see notice_table; a phrase of n characters may have n // edit_every edits). Null and empty texts have no words, no finds, and null first and last words. Repeated rows and
     null ids are kept as they are; other columns are ignored; long texts are searched whole.
     """
     schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans string"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scanner, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scanner(tuple(notices.items()), edit_every), schema)

@@ -9,7 +9,11 @@ from __future__ import annotations
 
 import json
 import math
+import os
+import random
+import time
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,19 +41,52 @@ def latest(spark: SparkSession, root: str) -> tuple[int, list[dict]]:
 
 
 def commit(spark: SparkSession, root: str, base: int, shards: list[dict]) -> int:
-    """Makes shards the version after base. A reader sees the old or the new manifest, never part of one."""
+    """Makes shards the version after base; Conflict if another writer has. A reader sees the old or the new manifest, never part of one.
+
+    The manifest is written under a trial name, then gets its final one in a step that fails where that name is taken: a
+    hard link on a local file system, a rename without overwriting on HDFS. Object stores have no such step and are refused.
+    """
     version = base + 1
     fs, final = _fs(spark, f"{root}/manifest/v{version:08d}.json")
     _, trial = _fs(spark, f"{root}/manifest/_trial-{uuid.uuid4().hex}")
+    scheme = fs.getUri().getScheme()
+    if scheme not in ("file", "hdfs", "viewfs"):
+        raise ValueError(f"no atomic commit on {scheme}")
     out = fs.create(trial, False)
     out.write("".join(json.dumps(s) + "\n" for s in shards).encode())
     out.close()
-    if fs.exists(final) or not fs.rename(trial, final):
+    try:
+        if scheme == "file":
+            os.link(trial.toUri().getPath(), final.toUri().getPath())
+        else:
+            jvm = spark._jvm.org.apache.hadoop.fs
+            none = spark.sparkContext._gateway.new_array(jvm.Options.Rename, 0)
+            jvm.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(trial, final, none)
+    except FileExistsError:
+        raise Conflict(f"version {version} exists") from None
+    except Exception as e:
+        if "FileAlreadyExists" in str(e):
+            raise Conflict(f"version {version} exists") from None
+        raise
+    finally:
         fs.delete(trial, False)
-        raise Conflict(f"version {version} exists")
     return version
 
 
+def update(spark: SparkSession, root: str, change: Callable[[list[dict]], list[dict] | None], tries: int = 20) -> int:
+    """Commits change(live shards); after a conflict again, on top of the other writer's version. None: nothing to commit."""
+    for k in range(tries):
+        base, live = latest(spark, root)
+        shards = change(live)
+        if shards is None:
+            return base
+        try:
+            return commit(spark, root, base, shards)
+        except Conflict:
+            time.sleep(random.random() * 0.05 * (k + 1))
+    raise Conflict(f"{tries} commits in a row met another writer's")
+
+
 def _files(spark: SparkSession, folder: str, level: int) -> list[dict]:
     """A manifest entry for each file that a job wrote."""
     fs, p = _fs(spark, folder)
@@ -65,53 +102,68 @@ def tier(n_bytes: int, target: int, growth: int = 4) -> int:
 
 
 def append(docs: DataFrame, root: str, arrival: str | None = None) -> int:
-    """Adds docs as new small shards, a file from each input partition (and each value of the column arrival)."""
+    """Adds docs as new small shards, a file from each input partition; each value of the column arrival is a commit of its own."""
     spark = docs.sparkSession
-    base, live = latest(spark, root)
     folder = f"{root}/shards/{uuid.uuid4().hex[:12]}"
     if arrival is None:
         docs.write.parquet(folder)
-        new = _files(spark, folder, 0)
+        lots = [folder]
     else:
         docs.write.partitionBy(arrival).parquet(folder)
         fs, p = _fs(spark, folder)
-        new = [f for s in fs.listStatus(p) if s.isDirectory() for f in _files(spark, s.getPath().toString(), 0)]
-    return commit(spark, root, base, live + new)
+        lots = sorted(s.getPath().toString() for s in fs.listStatus(p) if s.isDirectory())
+    version = latest(spark, root)[0]
+    for lot in lots:
+        new = _files(spark, lot, 0)
+        version = update(spark, root, lambda live, new=new: live + new)
+    return version
 
 
 def compact(spark: SparkSession, root: str, schema: str, target: int = 128 << 20, min_runs: int = 4) -> int:
-    """Merges shards of similar size into files of about the target size, and commits the next version.
+    """Merges shards of similar size into files of about the target size, tier by tier until none has min_runs, each in a commit of its own.
 
-    A tier with fewer than min_runs shards waits for more. Files are put together without a shuffle. Shards of
-    the old version stay on disk for its readers; expire() removes them.
+    Files are put together without a shuffle. Shards of older versions stay on disk for their readers; expire()
+    removes them. A merge whose shards another writer has replaced meanwhile is given up.
     """
-    base, live = latest(spark, root)
-    tiers: dict[int, list[dict]] = {}
-    for s in live:
-        tiers.setdefault(tier(s["bytes"], target), []).append(s)
-    kept, changed = tiers.pop(0, []), False
-    for _, runs in sorted(tiers.items()):
-        if len(runs) < min_runs:
-            kept += runs
-            continue
+    while True:
+        version, live = latest(spark, root)
+        tiers: dict[int, list[dict]] = {}
+        for s in live:
+            tiers.setdefault(tier(s["bytes"], target), []).append(s)
+        tiers.pop(0, None)
+        # the smallest shards first
+        runs = next((r for _, r in sorted(tiers.items(), reverse=True) if len(r) >= min_runs), None)
+        if runs is None:
+            return version
         n = max(1, round(sum(r["bytes"] for r in runs) / target))
         folder = f"{root}/shards/{uuid.uuid4().hex[:12]}"
         spark.read.schema(schema).parquet(*[r["path"] for r in runs]).coalesce(n).write.parquet(folder)
-        kept += _files(spark, folder, 1 + max(r["level"] for r in runs))
-        changed = True
-    return commit(spark, root, base, kept) if changed else base
+        new, gone = _files(spark, folder, 1 + max(r["level"] for r in runs)), {r["path"] for r in runs}
 
+        def replaced(now: list[dict], new=new, gone=gone) -> list[dict] | None:
+            return [s for s in now if s["path"] not in gone] + new if gone <= {s["path"] for s in now} else None
 
-def expire(spark: SparkSession, root: str) -> int:
-    """Deletes shard files that the newest version doesn't hold; gives their number."""
-    _, live = latest(spark, root)
-    keep = {s["path"] for s in live}
+        update(spark, root, replaced)
+
+
+def expire(spark: SparkSession, root: str, age_s: float = 86_400) -> int:
+    """Deletes shard files that the newest version doesn't hold and that are older than age_s seconds; gives their number.
+
+    Younger ones may be what a writer has yet to commit, or what a reader of an older version is at.
+    """
+    before = (time.time() - age_s) * 1000
     fs, p = _fs(spark, f"{root}/shards")
     gone, found = 0, fs.listFiles(p, True)
+    old = []
     while found.hasNext():
-        f = found.next().getPath()
-        if f.getName().startswith("part-") and f.toString() not in keep:
-            fs.delete(f, False)
+        f = found.next()
+        if f.getPath().getName().startswith("part-") and f.getModificationTime() <= before:
+            old.append(f.getPath())
+    _, live = latest(spark, root)  # after listing, so that what was committed meanwhile is kept
+    keep = {s["path"] for s in live}
+    for path in old:
+        if path.toString() not in keep:
+            fs.delete(path, False)
             gone += 1
     return gone
 
@@ -128,7 +180,7 @@ def read_shards(spark: SparkSession, root: str, schema: str) -> DataFrame:
 def shard_documents(docs: DataFrame, root: str, arrivals: int = 4, target: int = 128 << 20) -> DataFrame:
     """doc_id, n_bytes, text_sha256, shard, manifest_version of each row, read back from the compacted shards.
 
-    docs arrive in `arrivals` lots, dealt by a hash of doc_id and text (so a hot id or source is spread, and
+    docs arrive in `arrivals` lots (a commit each), dealt by a hash of doc_id and text (so a hot id or source is spread, and
     repeated rows all stay), then are compacted. Null ids and texts stay null (n_bytes and digest too); an
     empty table gives no rows. Clashing column names don't matter: only doc_id and text are stored.
     """

@@ -36,11 +36,11 @@ def _counter(path: str):
 
 
 def _cached(spark, folder: str) -> DataFrame | None:
-    """The cache so far; a text that two runs counted at once is there twice."""
+    """The cache so far, or None; a text that two runs counted at once is there twice."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(folder)
     if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
         return None
-    return spark.read.schema(_CACHE).parquet(folder).dropDuplicates(["digest"])
+    return spark.read.schema(_CACHE).parquet(folder)
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, cache: str, limit: int = 1024) -> DataFrame:
@@ -57,12 +57,14 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache: str, limit: int =
     text = F.coalesce("text", F.lit(""))
     keyed = docs.select("doc_id", F.unhex(F.sha2(text, 256)).alias("digest"), text.alias("text"))
     rows = written(keyed.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes")), "count-rows")
-    distinct = keyed.select("digest", "text").dropDuplicates(["digest"])
-    known = _cached(spark, folder)
-    missing = distinct if known is None else distinct.join(known, "digest", "left_anti")
-    missing.mapInArrow(_counter(tokenizer_path), _CACHE).write.mode("append").parquet(folder)
     sizes = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n_rows"))
-    counts = written(sizes.join(_cached(spark, folder), "digest"), "count-groups")
+    known, missing = _cached(spark, folder), keyed.select("digest", "text")
+    if known is not None:
+        # digests alone meet the cache; only texts that it lacks are moved
+        lacking = written(sizes.select("digest").join(known.select("digest"), "digest", "left_anti"), "count-misses")
+        missing = missing.join(lacking, "digest", "left_semi")
+    missing.dropDuplicates(["digest"]).mapInArrow(_counter(tokenizer_path), _CACHE).write.mode("append").parquet(folder)
+    counts = written(sizes.join(_cached(spark, folder), "digest").dropDuplicates(["digest"]), "count-groups")
     return join_hot(rows, counts, ["digest"], "n_rows", rows.count()).select(
         "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
     )

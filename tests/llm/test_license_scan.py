@@ -64,3 +64,57 @@ def test_odd_rows(spark):
     for r in got.where("doc_id <= 2").collect():
         assert (r.n_words, r.n_base, r.first_word, r.last_word, r.labels, r.score) == (0, 0, None, None, "", 0.0)
     assert license_scan(empty(spark)).count() == 0
+
+
+def test_long_repetitive_text_takes_linear_time():
+    import time
+
+    from siltstone.llm.license_scan import scan
+
+    finder, took = NoticeFinder(), []
+    for n in (4_000, 16_000):
+        began = time.time()
+        got = scan(finder, "all rights reserved and cc by " * n)
+        took.append(time.time() - began)
+        assert got[:4] == (6 * n, 2 * n, 0, 6 * n - 2)
+    assert took[1] < 10 * took[0] + 0.5
+
+
+def test_fuzzy_labels_against_every_place():
+    """A notice with edits is found where, and only where, some stretch of the text is within the bound."""
+    import numpy as np
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    phrase = "redistribution and use in source"
+    finder, rng, seen = NoticeFinder({phrase: "bsd"}), np.random.default_rng(3), set()
+    most = len(phrase) // 12
+    for _ in range(150):
+        text = list(phrase)
+        for _ in range(int(rng.integers(0, 5))):
+            at, what = int(rng.integers(0, len(text))), rng.integers(0, 3)
+            text[at : at + (what != 1)] = [] if what == 0 else [str(rng.choice(list("abcz")))]
+        line = words_line("before it " + "".join(text) + " after it")
+        blanks = [i for i, c in enumerate(line) if c == 32]
+        near = min(distance(line[a + 1 : b], phrase.encode()) for i, a in enumerate(blanks) for b in blanks[i + 1 :] if abs(b - a - 1 - len(phrase)) <= most) if len(blanks) > 1 else 99
+        found = finder.find(line)
+        assert bool(found) == (near <= most), line
+        seen.add(bool(found))
+    assert seen == {True, False}
+
+
+def test_notices_from_a_table(spark):
+    from siltstone.llm.license_scan import notice_table
+
+    table = spark.createDataFrame([("Do What You Like, please!", "free"), (None, "x"), ("...", "none"), ("do what you like please", "also")], "notice string, label string")
+    notices = notice_table(table)
+    assert notices == {"do what you like please": "also"}
+    docs = spark.createDataFrame([(1, "You may do what you lik please."), (2, "nothing")], "doc_id long, text string")
+    assert [r.labels for r in license_scan(docs, notices).orderBy("doc_id").collect()] == ["also", ""]
+    assert [r.labels for r in license_scan(docs, {}).orderBy("doc_id").collect()] == ["", ""]

@@ -42,12 +42,14 @@ from siltstone.llm.common import give_back, join_hot, written
 #: Counters of the frequency sketch: a fixed size, whatever the corpus.
 SKETCH_BITS = 22
 _BLOCK_BITS = 16
-#: The most matches that a prefix may ask for; sets of LARGE shingles or more ask for a 64th of their size.
-MATCHES, LARGE = 8, 512
-#: The longest list that a large set stays in, if enough of its lists are that short.
+#: The most matches that a prefix may ask for; sets of LARGE shingles or more ask for a 64th of their size, and differences from a
+#: centre for DEEP_MATCHES.
+MATCHES, LARGE, DEEP_MATCHES = 8, 512, 64
+#: The longest list that a large set, or a difference, stays in, if enough of its lists are that short.
 SHORT = 16
-#: A list with more sets than this is described anew, by differences from a centre.
-LONG = 128
+#: A list with more sets than this is described anew, by differences from a centre; DEEP: the same for lists of differences,
+#: most of whose pairs need so many matches that few of them meet.
+LONG, DEEP = 16, 64
 #: Members of a group that one task looks at together when it seeks the centre.
 _SLICE = 5000
 
@@ -280,13 +282,14 @@ def _first_entries(prefixes: DataFrame, num: int, den: int) -> DataFrame:
 def _chosen(entries: DataFrame, num: int = 0, den: int = 0) -> DataFrame:
     """The entries within the prefix of each set's own k matches, with k and left: how many lists beyond SHORT the set has left.
 
-    Only with num and den (entries of the sets themselves) do large sets leave lists. Their partners' k is a 64th of num/den of
-    their own size at least, so they share that many entries, and more of these than the set leaves; null: it leaves none.
+    A set leaves them (else left is null) if they are fewer than the entries that it surely shares with a partner. With num
+    and den (entries of the sets themselves) these are a 64th of num/den of its size, if that is large; of differences it
+    is the overlap that any partner needs, DEEP_MATCHES at most.
     """
     reach = [F.col("d") - F.col("need") + k for k in range(1, MATCHES + 1)]
     sums = [F.sum(F.when(F.col("pos") < reach[k], F.col("df")).otherwise(0)).alias(f"df{k}") for k in range(MATCHES)]
     one = [F.sum(F.when(F.col("pos") < reach[k], 1).otherwise(0)).alias(f"own{k}") for k in range(MATCHES)]
-    most = F.floor(F.col("n") / 64)
+    most = F.floor(F.col("n") / 64) if den else F.lit(DEEP_MATCHES).cast("long")
     busy = F.sum(F.when((F.col("pos") < F.col("d") - F.col("need") + most) & (F.col("df") > SHORT), 1).otherwise(0)).alias("busy")
     per_set = entries.groupBy("gid", "sid").agg(F.first("n").alias("n"), F.first("need").alias("need"), busy, *sums, *one)
     # an entry costs 1, a verification about a twentieth of a set's size; k matches leave a k-th of the entries as candidates at most
@@ -294,8 +297,9 @@ def _chosen(entries: DataFrame, num: int = 0, den: int = 0) -> DataFrame:
     allowed = [F.when(F.col("need") > k, cost[k]) for k in range(MATCHES)]
     least = F.least(*allowed)
     choice = F.coalesce(*[F.when(allowed[k] == least, F.lit(k + 1)) for k in range(MATCHES)], F.lit(1)).cast("long")
-    left = F.lit(None).cast("long")
-    if den:
+    if not den:
+        choice, left = most, F.when(F.col("busy") < F.least(most, F.col("need")), F.col("busy"))
+    else:
         choice = F.when(F.col("n") >= LARGE, most).otherwise(choice)
         partner = F.ceil(F.col("n") * num / den)
         left = F.when((partner >= LARGE) & (F.col("busy") < F.floor(partner / 64)), F.col("busy"))
@@ -419,7 +423,7 @@ def _difference_prefixes(batches):
         for i in range(0, b.num_rows, 500):
             part, out = b.slice(i, 500), []
             for row in zip(*(part[c].to_pylist() for c in ("gid", "sid", "n", "d", "s", "need", "tokens")), strict=True):
-                tokens = np.frombuffer(row[-1], np.int64)[: max(0, row[3] - row[5] + MATCHES)]
+                tokens = np.frombuffer(row[-1], np.int64)[: max(0, row[3] - row[5] + DEEP_MATCHES)]
                 out.append((tokens, *row[:-1]))
             lengths = np.array([len(o[0]) for o in out])
             if lengths.sum():
@@ -458,7 +462,7 @@ def _described_anew(entries: DataFrame, texts: DataFrame, classes, size: int, nu
     return written(star, "star-links"), written(lists, "lists")
 
 
-def similarity_groups(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5, long: int = LONG) -> DataFrame:
+def similarity_groups(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5, long: int = LONG, deep: int = DEEP) -> DataFrame:
     """doc_id, n_shingles, component_id: a row for each row of docs.
 
     Two documents link if the Jaccard similarity of their shingle sets is num/den or more; component_id is the
@@ -466,14 +470,14 @@ def similarity_groups(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5
     (A-Z only), words being parted by ASCII white space; fewer words are one shingle. Documents without words,
     null texts too, have an empty set and link with nothing. Repeated rows get the same component; a null
     doc_id never names a group that has another id. Other columns are ignored; an empty table gives no rows.
-    Pairs are listed only in lists of up to `long` sets; longer ones are described anew, without loss of a link.
+    Pairs are listed only in lists of up to `long` sets (`deep` in lists of differences); longer ones are described anew, without loss of a link.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     every = written(rows.mapInArrow(_sets(size), _SETS), "shingle-sets")
     sets = _numbered(every)
     classes = docs.sparkSession.sparkContext.broadcast(frequency_classes(every))
     texts = sets.where(F.col("text").isNotNull()).select("sid", "text")
-    prefixes = texts.mapInArrow(_prefixes(size, num, den, classes), _PREFIX)
+    prefixes = written(texts.mapInArrow(_prefixes(size, num, den, classes), _PREFIX), "prefixes")
     lists = written(_chosen(written(_first_entries(prefixes, num, den), "entries"), num, den), "lists")
     # the texts that may have a partner, each once
     some = written(texts.join(lists.select("sid").distinct(), "sid").dropDuplicates(["sid"]), "candidate-texts")
@@ -488,6 +492,7 @@ def similarity_groups(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5
         more = not far.isEmpty()
         if more:
             star, lists = _described_anew(far, some, classes, size, num, den)
+            long = deep
             new = new.unionByName(star)
         if not new.isEmpty():
             links = links.unionByName(new)

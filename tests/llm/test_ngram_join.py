@@ -67,8 +67,8 @@ def test_made_up_chains(spark):
     rows += [(n + i, "alpha beta gamma delta epsilon " + f"tail{i % 3}") for i in range(40)]
     rows += [(n + 50 + i, f"one {i % 2}") for i in range(8)]
     docs = frame(spark, rows, 5)
-    for size, num, den, long in ((4, 85, 100, 128), (2, 1, 2, 4)):
-        assert rows_of(similarity_groups(docs, size, num, den, long), "doc_id", "n_shingles", "component_id") == brute(rows, size, num, den)
+    for size, num, den, long in ((4, 85, 100, 16), (2, 1, 2, 4)):
+        assert rows_of(similarity_groups(docs, size, num, den, long, 2 * long), "doc_id", "n_shingles", "component_id") == brute(rows, size, num, den)
 
 
 def near_copies(rng, first, n, size, edits):
@@ -86,13 +86,13 @@ def near_copies(rng, first, n, size, edits):
     return rows
 
 
-@pytest.mark.parametrize(("size", "num", "den", "long"), [(4, 85, 100, 12), (5, 4, 5, 128)])
-def test_near_copies_around_a_hub(spark, size, num, den, long):
+@pytest.mark.parametrize(("size", "num", "den", "long", "deep"), [(4, 85, 100, 12, 12), (5, 4, 5, 16, 64)])
+def test_near_copies_around_a_hub(spark, size, num, den, long, deep):
     rng = np.random.default_rng(11)
     rows = near_copies(rng, 0, 300, 120, (2, 7)) + near_copies(rng, 1_000_000, 80, 40, (0, 3)) + near_copies(rng, 2_000_000, 60, 200, (0, 20))
     docs = frame(spark, rows, 5)
     want = brute(rows, size, num, den)
-    assert rows_of(similarity_groups(docs, size, num, den, long), "doc_id", "n_shingles", "component_id") == want
+    assert rows_of(similarity_groups(docs, size, num, den, long, deep), "doc_id", "n_shingles", "component_id") == want
     assert 20 < len({c for _, _, c in want}) < len(rows) - 20
 
 

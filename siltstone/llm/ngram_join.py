@@ -11,10 +11,7 @@ the two hubs that it shares the most prefix shingles with (a hub: the set of a l
 common). Only candidates that these links leave in different groups are verified one by one; those inside one
 group are linked already.
 
-Large sets ask for as many matches as a 64th of their size. Where fewer of a set's prefix shingles than that have lists
-beyond SHORT (a passage that many documents share), any partner must meet it in the other lists too, so it leaves the longer ones.
-
-Another shingle that many sets have in their prefix has a long list, whose pairs are never listed. Its members are described
+A shingle that many sets have in their prefix has a long list, whose pairs are never listed. Its members are described
 anew, by how each differs from a centre c (the shingles that most members have). With d(a) the number of shingles in
 just one of a and c, and m(a, b) the number that the differences of a and b have in common, a and b differ in
 d(a) + d(b) - 2 m(a, b) shingles, and link if that is at most (1 - t) / (1 + t) of their summed sizes x + y. So with
@@ -42,14 +39,10 @@ from siltstone.llm.common import give_back, join_hot, written
 #: Counters of the frequency sketch: a fixed size, whatever the corpus.
 SKETCH_BITS = 22
 _BLOCK_BITS = 16
-#: The most matches that a prefix may ask for; sets of LARGE shingles or more ask for a 64th of their size, and differences from a
-#: centre for DEEP_MATCHES.
-MATCHES, LARGE, DEEP_MATCHES = 8, 512, 64
-#: The longest list that a large set, or a difference, stays in, if enough of its lists are that short.
-SHORT = 16
-#: A list with more sets than this is described anew, by differences from a centre; DEEP: the same for lists of differences,
-#: most of whose pairs need so many matches that few of them meet.
-LONG, DEEP = 16, 64
+#: The most matches that a prefix may ask for.
+MATCHES = 8
+#: A list with more sets than this is described anew, by differences from a centre.
+LONG = 128
 #: Members of a group that one task looks at together when it seeks the centre.
 _SLICE = 5000
 
@@ -144,13 +137,16 @@ def _added(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def frequency_classes(sets: DataFrame) -> np.ndarray:
-    """For each counter 0 where its shingles are about as common as most, then one more for each doubling."""
+    """For each counter 0 where its shingles are about as common as most, then one more for each doubling of what is beyond that.
+
+    A counter that many rare shingles fall on comes to the mean, give or take its root: three times that tells apart.
+    """
     counts = np.zeros(1 << SKETCH_BITS, np.int64)
     merged = sets.where(F.col("block").isNotNull()).select("block", "counts").groupBy("block").applyInPandas(_added, "block int, counts binary")
     for r in merged.toLocalIterator():
         counts[r["block"] << _BLOCK_BITS : (r["block"] + 1) << _BLOCK_BITS] = np.frombuffer(zlib.decompress(r["counts"]), np.int64)
-    usual = max(1.0, 4 * counts.mean())
-    return np.where(counts > usual, np.floor(np.log2(np.maximum(counts, 1) / usual)) + 1, 0).astype(np.uint8)
+    beyond = (counts - counts.mean()) / (1 + 3 * counts.mean() ** 0.5)
+    return np.where(beyond > 1, np.floor(np.log2(np.maximum(beyond, 1))) + 1, 0).astype(np.uint8)
 
 
 def rare_first(tokens: np.ndarray, classes: np.ndarray) -> np.ndarray:
@@ -170,7 +166,7 @@ def _prefixes(size: int, num: int, den: int, shared):
                 for sid, text in zip(part["sid"].to_pylist(), part["text"].to_pylist(), strict=True):
                     own = shingle_set(unpack.decompress(text), size)
                     need = -(-num * len(own) // den)
-                    p = min(len(own), len(own) - need + max(MATCHES, len(own) // 64))
+                    p = min(len(own), len(own) - need + MATCHES)
                     out.append((rare_first(own, classes)[:p].view(np.int64), sid, len(own)))
                 if out:
                     lengths = np.array([len(t) for t, _, _ in out])
@@ -263,8 +259,8 @@ def _numbered(sets: DataFrame) -> DataFrame:
 def _first_entries(prefixes: DataFrame, num: int, den: int) -> DataFrame:
     """Entries of the sets themselves, each once, in the lists of two sets or more, with df (the sets in the list).
 
-    Shingles of class 0 have at most a millionth of all shingles behind them, so their lists are even enough to be counted
-    where they lie. The others are counted before they are shuffled, and joined with their counts however hot they are.
+    The counters of class 0 stay near the mean of all counters, a four-millionth of all shingles, so the lists of their shingles
+    are even enough to be counted where they lie. The others are counted before they are shuffled, and joined with their counts however hot they are.
     """
     by_token = Window.partitionBy("token")
     rare = prefixes.where(~F.col("common")).withColumn("df", F.count(F.lit(1)).over(by_token)).where("df > 1").drop("df")
@@ -279,33 +275,20 @@ def _first_entries(prefixes: DataFrame, num: int, den: int) -> DataFrame:
     )
 
 
-def _chosen(entries: DataFrame, num: int = 0, den: int = 0) -> DataFrame:
-    """The entries within the prefix of each set's own k matches, with k and left: how many lists beyond SHORT the set has left.
-
-    A set leaves them (else left is null) if they are fewer than the entries that it surely shares with a partner. With num
-    and den (entries of the sets themselves) these are a 64th of num/den of its size, if that is large; of differences it
-    is the overlap that any partner needs, DEEP_MATCHES at most.
-    """
+def _chosen(entries: DataFrame) -> DataFrame:
+    """The entries within the prefix of each set's own k matches, with k."""
     reach = [F.col("d") - F.col("need") + k for k in range(1, MATCHES + 1)]
     sums = [F.sum(F.when(F.col("pos") < reach[k], F.col("df")).otherwise(0)).alias(f"df{k}") for k in range(MATCHES)]
     one = [F.sum(F.when(F.col("pos") < reach[k], 1).otherwise(0)).alias(f"own{k}") for k in range(MATCHES)]
-    most = F.floor(F.col("n") / 64) if den else F.lit(DEEP_MATCHES).cast("long")
-    busy = F.sum(F.when((F.col("pos") < F.col("d") - F.col("need") + most) & (F.col("df") > SHORT), 1).otherwise(0)).alias("busy")
-    per_set = entries.groupBy("gid", "sid").agg(F.first("n").alias("n"), F.first("need").alias("need"), busy, *sums, *one)
+    per_set = entries.groupBy("gid", "sid").agg(F.first("n").alias("n"), F.first("need").alias("need"), *sums, *one)
     # an entry costs 1, a verification about a twentieth of a set's size; k matches leave a k-th of the entries as candidates at most
     cost = [F.col(f"df{k}") + (F.col(f"df{k}") - F.col(f"own{k}")) / (k + 1) * F.col("n") / 20 for k in range(MATCHES)]
     allowed = [F.when(F.col("need") > k, cost[k]) for k in range(MATCHES)]
     least = F.least(*allowed)
-    choice = F.coalesce(*[F.when(allowed[k] == least, F.lit(k + 1)) for k in range(MATCHES)], F.lit(1)).cast("long")
-    if not den:
-        choice, left = most, F.when(F.col("busy") < F.least(most, F.col("need")), F.col("busy"))
-    else:
-        choice = F.when(F.col("n") >= LARGE, most).otherwise(choice)
-        partner = F.ceil(F.col("n") * num / den)
-        left = F.when((partner >= LARGE) & (F.col("busy") < F.floor(partner / 64)), F.col("busy"))
-    chosen = per_set.select("gid", "sid", choice.alias("k"), left.alias("left"))
+    choice = F.coalesce(*[F.when(allowed[k] == least, F.lit(k + 1)) for k in range(MATCHES)], F.lit(1))
+    chosen = per_set.select("gid", "sid", choice.alias("k"))
     kept = entries.join(chosen, ["gid", "sid"]).where(F.col("pos") < F.col("d") - F.col("need") + F.col("k"))
-    return kept.where(F.col("left").isNull() | (F.col("df") <= SHORT)).select(*_ENTRIES, "df", "k", "left")
+    return kept.select(*_ENTRIES, "df", "k")
 
 
 def _fits(x: str, y: str, num: int, den: int) -> Column:
@@ -338,7 +321,7 @@ def _mixed(lists: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _cross_pairs(entries: DataFrame, done: list[DataFrame], num: int, den: int) -> DataFrame:
     """Candidates in different groups, from lists of a bounded length, that haven't been verified yet."""
-    columns = ("sid", "n", "d", "s", "pos", "k", "left", "root")
+    columns = ("sid", "n", "d", "s", "pos", "k", "root")
     one = entries.select("gid", "token", *[F.col(c).alias(f"{c}_a") for c in columns])
     two = entries.select("gid", "token", *[F.col(c).alias(f"{c}_b") for c in columns])
     k = F.least("k_a", "k_b")
@@ -346,8 +329,8 @@ def _cross_pairs(entries: DataFrame, done: list[DataFrame], num: int, den: int)
     early = (F.col("pos_a") < F.col("d_a") - overlap + k) & (F.col("pos_b") < F.col("d_b") - overlap + k)
     needed = (F.col("sid_a") < F.col("sid_b")) & (F.col("root_a") != F.col("root_b")) & (F.col("s_a") + F.col("s_b") > 0)
     met = one.join(two, ["gid", "token"]).where(needed & _fits("n_a", "n_b", num, den) & early)
-    met = met.select("gid", F.col("sid_a").alias("a"), F.col("sid_b").alias("b"), (F.least(k, overlap) - F.coalesce(F.least("left_a", "left_b"), F.lit(0))).alias("asked"))
-    enough = met.groupBy("gid", "a", "b").agg(F.count(F.lit(1)).alias("shared"), F.first("asked").alias("asked")).where("shared >= asked")
+    met = met.select("gid", F.col("sid_a").alias("a"), F.col("sid_b").alias("b"), k.alias("k"), overlap.alias("overlap"))
+    enough = met.groupBy("gid", "a", "b").agg(F.count(F.lit(1)).alias("shared"), F.first("k").alias("k"), F.first("overlap").alias("o")).where("shared >= least(k, o)")
     new = enough.select("a", "b").distinct()
     for pairs in done:
         new = new.join(pairs.select("a", "b"), ["a", "b"], "left_anti")
@@ -423,7 +406,7 @@ def _difference_prefixes(batches):
         for i in range(0, b.num_rows, 500):
             part, out = b.slice(i, 500), []
             for row in zip(*(part[c].to_pylist() for c in ("gid", "sid", "n", "d", "s", "need", "tokens")), strict=True):
-                tokens = np.frombuffer(row[-1], np.int64)[: max(0, row[3] - row[5] + DEEP_MATCHES)]
+                tokens = np.frombuffer(row[-1], np.int64)[: max(0, row[3] - row[5] + MATCHES)]
                 out.append((tokens, *row[:-1]))
             lengths = np.array([len(o[0]) for o in out])
             if lengths.sum():
@@ -462,7 +445,7 @@ def _described_anew(entries: DataFrame, texts: DataFrame, classes, size: int, nu
     return written(star, "star-links"), written(lists, "lists")
 
 
-def similarity_groups(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5, long: int = LONG, deep: int = DEEP) -> DataFrame:
+def similarity_groups(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5, long: int = LONG) -> DataFrame:
     """doc_id, n_shingles, component_id: a row for each row of docs.
 
     Two documents link if the Jaccard similarity of their shingle sets is num/den or more; component_id is the
@@ -470,7 +453,7 @@ def similarity_groups(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5
     (A-Z only), words being parted by ASCII white space; fewer words are one shingle. Documents without words,
     null texts too, have an empty set and link with nothing. Repeated rows get the same component; a null
     doc_id never names a group that has another id. Other columns are ignored; an empty table gives no rows.
-    Pairs are listed only in lists of up to `long` sets (`deep` in lists of differences); longer ones are described anew, without loss of a link.
+    Pairs are listed only in lists of up to `long` sets; longer ones are described anew, without loss of a link.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     every = written(rows.mapInArrow(_sets(size), _SETS), "shingle-sets")
@@ -478,7 +461,7 @@ def similarity_groups(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5
     classes = docs.sparkSession.sparkContext.broadcast(frequency_classes(every))
     texts = sets.where(F.col("text").isNotNull()).select("sid", "text")
     prefixes = written(texts.mapInArrow(_prefixes(size, num, den, classes), _PREFIX), "prefixes")
-    lists = written(_chosen(written(_first_entries(prefixes, num, den), "entries"), num, den), "lists")
+    lists = written(_chosen(written(_first_entries(prefixes, num, den), "entries")), "lists")
     # the texts that may have a partner, each once
     some = written(texts.join(lists.select("sid").distinct(), "sid").dropDuplicates(["sid"]), "candidate-texts")
     checked = [written(verify(_hub_pairs(lists, num, den), some, size, num, den), "hub-links")]
@@ -492,7 +475,6 @@ def similarity_groups(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5
         more = not far.isEmpty()
         if more:
             star, lists = _described_anew(far, some, classes, size, num, den)
-            long = deep
             new = new.unionByName(star)
         if not new.isEmpty():
             links = links.unionByName(new)

@@ -36,6 +36,14 @@ def money_millions(text: Column) -> Column:
     return amount * scale
 
 
+def money_value(text: Column) -> Column:
+    """An amount that text starts with, after $ and without commas: millions for a unit with m, thousands of them with b, else as it stands."""
+    plain = F.trim(F.regexp_replace(text, "[,$]", ""))
+    amount = F.regexp_extract(plain, r"^([\d.]+)\s*([a-zA-Z]*)", 1).try_cast("double")
+    unit = F.lower(F.substring(F.regexp_extract(plain, r"^([\d.]+)\s*([a-zA-Z]*)", 2), 1, 1))
+    return F.when(unit == "b", amount * 1000).otherwise(amount)
+
+
 def half_life(age: Column, half: float) -> Column:
     """1 at age 0 or less, halved with each `half` of age."""
     return F.exp(-F.ln(F.lit(2.0)) * F.greatest(age, F.lit(0.0)) / half)

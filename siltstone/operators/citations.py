@@ -18,13 +18,14 @@ def folded(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(plain), r"\s+", " "))
 
 
-def quote_status(quote: Column, text: Column) -> Column:
+def quote_status(quote: Column, text: Column, loose_ends: bool = False) -> Column:
     """match, not_found, or why a quote can't be checked: no_quote, no_chunk_text, too_short.
 
-    The parts of a quote between ellipses must stand in the text in their order.
+    The parts of a quote between ellipses must stand in the text in their order; a quote of one part must stand there as it
+    is, with ellipses at its ends, unless loose_ends lets these stand for nothing.
     """
     q, t = folded(F.coalesce(quote, F.lit(""))), folded(F.coalesce(text, F.lit("")))
-    parts = F.filter(F.split(q, r"\s*\.{3,}\s*"), lambda x: F.length(F.trim(x)) > 0)
+    parts = F.filter(F.split(q, r"\s*\.{3,}\s*" if loose_ends else r"\s*\.\.\.\s*"), lambda x: F.length(F.trim(x)) > 0)
 
     def step(at: Column, part: Column) -> Column:
         hit = F.call_function("locate", part, t, at)
@@ -34,7 +35,7 @@ def quote_status(quote: Column, text: Column) -> Column:
     return (
         F.when(F.length(q) == 0, "no_quote").when(F.length(t) == 0, "no_chunk_text")
         .when(F.length(F.replace(q, F.lit(" "), F.lit(""))) < MIN_QUOTE, "too_short")
-        .when(end > 0, "match").otherwise("not_found")
+        .when(F.when(F.lit(loose_ends) | (F.size(parts) > 1), end > 0).otherwise(F.call_function("locate", q, t) > 0), "match").otherwise("not_found")
     )
 
 

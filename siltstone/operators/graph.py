@@ -5,17 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.shared import settled
+
 
 def both_ways(edges: DataFrame) -> DataFrame:
     """Each edge in both directions, once."""
     return edges.select("src", "dst").union(edges.select("dst", "src")).distinct()
 
 
-def pagerank(edges: DataFrame, rounds: int, damping: float = 0.85) -> DataFrame:
-    """node, rank after so many rounds; what nodes without outgoing edges hold is spread over all nodes.
+def pagerank(edges: DataFrame, rounds: int, damping: float = 0.85, tolerance: float | None = None) -> DataFrame:
+    """node, rank after so many rounds, or after the first that changes ranks by tolerance a node at most, all told.
 
-    One join and one aggregate a round. Lineage grows with the rounds: long runs should checkpoint between calls.
+    What nodes without outgoing edges hold is spread over all nodes. Each round's ranks are a table in the shared folder, so
+    plans don't grow with the rounds.
     """
+    edges = settled(edges.select("src", "dst", "weight"), "graph-edges")
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
     n = F.broadcast(nodes.agg(F.count(F.lit(1)).alias("_n")))
     out = edges.groupBy("src").agg(F.sum("weight").alias("_out"))
@@ -25,18 +29,25 @@ def pagerank(edges: DataFrame, rounds: int, damping: float = 0.85) -> DataFrame:
         sent = share.join(ranks, share.src == ranks.node).groupBy("dst").agg(F.sum(F.col("share") * F.col("rank")).alias("_in"))
         lost = ranks.join(out, ranks.node == out.src, "left_anti").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("_lost"))
         new = (1 - damping) / F.col("_n") + damping * (F.coalesce("_in", F.lit(0.0)) + F.col("_lost") / F.col("_n"))
-        ranks = nodes.join(sent, nodes.node == sent.dst, "left").join(n).join(F.broadcast(lost)).select("node", new.alias("rank"))
+        ranks = ranks.withColumnRenamed("rank", "_old")
+        ranks = ranks.join(sent, ranks.node == sent.dst, "left").join(n).join(F.broadcast(lost)).select("node", "_old", new.alias("rank"))
+        step = settled(ranks, "ranks")
+        ranks = step.select("node", "rank")
+        if tolerance is not None:
+            moved, count = step.agg(F.sum(F.abs(F.col("rank") - F.col("_old"))), F.count(F.lit(1))).first()
+            if (moved or 0.0) <= tolerance * count:
+                break
     return ranks
 
 
 def neighbourhood(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     """node, hops of all nodes within `depth` edges of the start nodes, edges counting in both directions."""
-    way = both_ways(edges)
+    way = settled(both_ways(edges), "both-ways")
     seen = start.select("node", F.lit(0).alias("hops")).distinct()
     front = seen
     for k in range(1, depth + 1):
         near = front.join(way, front.node == way.src).select(F.col("dst").alias("node")).distinct()
-        front = near.join(seen.select("node"), "node", "left_anti").withColumn("hops", F.lit(k))
+        front = settled(near.join(seen.select("node"), "node", "left_anti").withColumn("hops", F.lit(k)), "front")
         seen = seen.unionByName(front)
     return seen
 

@@ -98,9 +98,9 @@ def threshold_streak(df: DataFrame, keys: Sequence[str], order: str, value: str,
 
 
 def change_pct(df: DataFrame, keys: Sequence[str], order: str, value: str, threshold: float) -> DataFrame:
-    """keys, pct, fired: change from the first to the last value; up by threshold or, if that is negative, down by it. Base 0: null, not fired."""
+    """keys, pct, fired: change from the first to the last value, as a share of the first; up by threshold or, if that is negative, down by it. First 0: null, not fired."""
     ends = df.groupBy(*keys).agg(F.min_by(value, order).alias("a"), F.max_by(value, order).alias("b"))
-    pct = F.when(F.col("a") != 0, (F.col("b") - F.col("a")) / F.abs("a") * 100)
+    pct = F.when(F.col("a") != 0, (F.col("b") - F.col("a")) / F.col("a") * 100)
     fired = pct >= threshold if threshold >= 0 else pct <= threshold
     return ends.select(*keys, pct.alias("pct"), F.coalesce(fired, F.lit(False)).alias("fired"))
 
@@ -147,6 +147,19 @@ def rolling_correlation(a: DataFrame, b: DataFrame, order: str, value: str, wind
     return pair.select(order, F.when(full, F.coalesce(F.corr("_a", "_b").over(w), F.lit(0.0))).alias("corr"))
 
 
+def aligned_correlation(a: DataFrame, b: DataFrame, order: str, value: str, window: int = 90) -> DataFrame:
+    """order, corr of the log returns of two series of values, taken between the times that both have.
+
+    A step with a value that isn't positive is left out. Null until there are `window` returns, 0 if undefined.
+    """
+    pair = a.select(order, F.col(value).alias("_x")).join(b.select(order, F.col(value).alias("_y")), order)
+    w = Window.partitionBy(F.lit(0)).orderBy(order)
+    sound = (F.col("_x") > 0) & (F.col("_y") > 0) & (F.lag("_x").over(w) > 0) & (F.lag("_y").over(w) > 0)
+    steps = pair.select(order, *[F.when(sound, F.ln(F.col(c) / F.lag(c).over(w))).alias(r) for c, r in (("_x", "_a"), ("_y", "_b"))]).where("_a is not null")
+    last = w.rowsBetween(1 - window, 0)
+    return steps.select(order, F.when(F.count(F.lit(1)).over(last) == window, F.coalesce(F.corr("_a", "_b").over(last), F.lit(0.0))).alias("corr"))
+
+
 def correlation_matrix(df: DataFrame, key: str, order: str, value: str, window: int = 90) -> DataFrame:
     """a, b, corr for each pair of series, over the last `window` rows of each, matched by order."""
     last = latest_n(df, [key], [F.desc(order)], window)
@@ -163,11 +176,11 @@ def every_kth_back(df: DataFrame, keys: Sequence[str], order: str, k: int, perio
     return rows.where((F.col("_back") % k == 0) & (F.col("_back") < k * periods)).withColumn("back", (F.col("_back") / k).cast("int")).drop("_back")
 
 
-def cycle_phase(df: DataFrame, keys: Sequence[str], order: str, spread: str, window: int = 252, dead: float = 0.1) -> DataFrame:
+def cycle_phase(df: DataFrame, keys: Sequence[str], order: str, spread: str, window: int = 252, dead: float = 0.1, wide: float = 1.0) -> DataFrame:
     """keys, spread, trend, was_inverted, phase of each spread series' end.
 
-    Inverted now: late. Not inverted but lately so: recession if the spread rises, else late. Never inverted in the window:
-    early if it rises, mid otherwise. A change within `dead` isn't a trend.
+    Inverted now: late. Rising after an inversion in the window: recession. Rising and above `wide`: early. Otherwise mid.
+    A change of less than `dead` isn't a trend.
     """
     w = Window.partitionBy(*keys).orderBy(F.desc(order))
     last = df.withColumn("_back", F.row_number().over(w) - 1).where(F.col("_back") <= window)
@@ -175,11 +188,12 @@ def cycle_phase(df: DataFrame, keys: Sequence[str], order: str, spread: str, win
         F.min_by(spread, "_back").alias("spread"), F.max_by(spread, "_back").alias("_first"), F.bool_or(F.col(spread) <= 0).alias("was_inverted")
     )
     delta = F.col("spread") - F.col("_first")
-    trend = F.when(delta > dead, "rising").when(delta < -dead, "falling").otherwise("flat")
+    trend = F.when(F.abs(delta) < dead, "flat").when(delta > 0, "rising").otherwise("falling")
     phase = (
         F.when(F.col("spread") <= 0, "late")
-        .when(F.col("was_inverted"), F.when(trend == "rising", "recession").otherwise("late"))
-        .otherwise(F.when(trend == "rising", "early").otherwise("mid"))
+        .when(F.col("was_inverted") & (trend == "rising"), "recession")
+        .when((F.col("spread") > wide) & (trend == "rising"), "early")
+        .otherwise("mid")
     )
     return ends.select(*keys, "spread", trend.alias("trend"), "was_inverted", phase.alias("phase"))
 

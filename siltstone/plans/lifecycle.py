@@ -120,7 +120,7 @@ def quote_verify(spark, sf_dir):
         .when(kind == 2, F.concat(some(1, 6), F.lit(" zzz "), some(9, 6))).otherwise(F.get("w", F.lit(0)))
     )
     rows = table(spark, sf_dir, "documents").withColumn("w", w)
-    return rows.select("doc_id", citations.quote_status(quote, F.col("text")).alias("reason"))
+    return rows.select("doc_id", citations.quote_status(quote, F.col("text"), loose_ends=True).alias("reason"))
 
 
 _HREF = 'href="([^"]*)"'
@@ -173,3 +173,23 @@ def beam_search(spark, sf_dir):
     first = vectors.where("vec_id = 0").select("embedding").first()["embedding"]
     found, rejected = search.beam_search(edges, vectors, "vec_id", "embedding", first, prune=0.0, quality=None)
     return found.withColumn("reason", F.lit(None).cast("string")).unionByName(rejected)
+
+
+@query(f"""
+    WITH d AS (SELECT doc_id, text, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+    q AS (SELECT doc_id, text, CASE doc_id % 4 WHEN 0 THEN array_to_string(w[1:12], '  ') WHEN 1 THEN array_to_string(w[1:6], ' ') || ' ... ' || array_to_string(w[9:14], ' ')
+        WHEN 2 THEN '... ' || array_to_string(w[1:9], ' ') ELSE w[1] END AS quote FROM d),
+    n AS (SELECT doc_id, trim(regexp_replace(lower(coalesce(quote, '')), '\\s+', ' ', 'g')) AS q, trim(regexp_replace(lower(coalesce(text, '')), '\\s+', ' ', 'g')) AS t FROM q),
+    p AS (SELECT *, list_filter(regexp_split_to_array(q, '\\s*\\.\\.\\.\\s*'), lambda x: len(trim(x)) > 0) AS p FROM n),
+    e AS (SELECT *, instr(t, p[1]) AS e1 FROM p)
+    SELECT doc_id, CASE WHEN q = '' THEN 'no_quote' WHEN t = '' THEN 'no_chunk_text' WHEN len(replace(q, ' ', '')) < 12 THEN 'too_short'
+        WHEN CASE WHEN len(p) > 1 THEN e1 > 0 AND instr(substr(t, e1 + len(p[1])), p[2]) > 0 ELSE instr(t, q) > 0 END THEN 'match' ELSE 'not_found' END AS reason FROM e""")
+def quote_check(spark, sf_dir):
+    """Quotes cut out of each document: whole, of two parts, with an ellipsis in front, and a single word."""
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), "[ \t\n\r]+"), lambda x: x != "")
+    rows = table(spark, sf_dir, "documents").withColumn("w", words)
+    cut = lambda a, n, by=" ": F.array_join(F.slice("w", a, n), by)
+    kind = F.col("doc_id") % 4
+    two, open_ = F.concat(cut(1, 6), F.lit(" ... "), cut(9, 6)), F.concat(F.lit("... "), cut(1, 9))
+    quote = F.when(kind == 0, cut(1, 12, "  ")).when(kind == 1, two).when(kind == 2, open_).otherwise(F.get("w", F.lit(0)))
+    return rows.select("doc_id", citations.quote_status(quote, F.col("text")).alias("reason"))

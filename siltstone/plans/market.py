@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.functions import market as symbols
 from siltstone.operators import accuracy, timeseries, trading
 from siltstone.streaming import events as streams
 
@@ -379,3 +380,34 @@ def set_operations(spark, sf_dir):
 @query("SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
 def cube_rollup(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
+
+
+@query("""
+    WITH d AS (SELECT DISTINCT event_type, CAST(ts AS DATE) AS day FROM events),
+    c AS (SELECT event_type, day, CASE event_type WHEN 'click' THEN 'crypto' WHEN 'view' THEN ' Stock ' WHEN 'error' THEN 'etf' END AS asset FROM d)
+    SELECT event_type, day FROM c WHERE asset IS NULL OR asset = 'crypto' OR isodow(day) < 6""")
+def trading_days(spark, sf_dir):
+    days = table(spark, sf_dir, "events").select("event_type", F.to_date("ts").alias("day")).distinct()
+    asset = F.when(F.col("event_type") == "click", "crypto").when(F.col("event_type") == "view", " Stock ").when(F.col("event_type") == "error", "etf")
+    return days.where(symbols.is_trading_day(asset, F.col("day"))).select("event_type", "day")
+
+
+@query("""
+    WITH s AS (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN p_size || 'x-usd' WHEN 1 THEN ' p' || p_size || 'USDT' WHEN 2 THEN 'spy' WHEN 3 THEN 'XETH' ELSE p_brand END AS symbol FROM part),
+    u AS (SELECT p_partkey, upper(trim(symbol)) AS s FROM s)
+    SELECT p_partkey, CASE WHEN s LIKE '%-USD' THEN 'crypto' WHEN s = 'SPY' THEN 'etf' WHEN s LIKE '__%USDT' AND len(s) > 5 THEN 'crypto' ELSE 'stock' END AS asset FROM u""")
+def asset_classes(spark, sf_dir):
+    size, key = F.col("p_size").cast("string"), F.col("p_partkey") % 5
+    symbol = F.when(key == 0, F.concat(size, F.lit("x-usd"))).when(key == 1, F.concat(F.lit(" p"), size, F.lit("USDT"))).when(key == 2, "spy").when(key == 3, "XETH").otherwise(F.col("p_brand"))
+    return table(spark, sf_dir, "part").select("p_partkey", symbols.asset_class(symbol, ("SPY",)).alias("asset"))
+
+
+@query(f"""
+    WITH {_DAILY}, j AS (SELECT a.day, a.total AS x, b.total AS y FROM daily a JOIN daily b ON a.day = b.day WHERE a.event_type = 'click' AND b.event_type = 'view'),
+    r AS (SELECT day, ln(x / lag(x) OVER (ORDER BY day)) AS p, ln(y / lag(y) OVER (ORDER BY day)) AS q FROM j)
+    SELECT day, CASE WHEN count(*) OVER w = 10 THEN round(coalesce(corr(p, q) OVER w, 0), 4) END AS corr FROM r WHERE p IS NOT NULL
+    WINDOW w AS (ORDER BY day ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)""")
+def aligned_corr(spark, sf_dir):
+    d = daily(spark, sf_dir)
+    got = timeseries.aligned_correlation(d.where("event_type = 'click'"), d.where("event_type = 'view'"), "day", "total", 10)
+    return got.select("day", F.round("corr", 4).alias("corr"))

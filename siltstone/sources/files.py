@@ -14,9 +14,15 @@ OPTIONS = ("date", "ticker", "company", "age", "fv", "signal", "conviction", "co
 
 
 def read_tsv(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
-    """A tab-separated table without a header, all columns as trimmed strings; short rows end in nulls, rows without a ticker go."""
-    rows = spark.read.csv(path, sep="\t", schema=", ".join(f"`{c}` string" for c in columns), mode="PERMISSIVE", quote="")
-    return rows.select(*[F.trim(c).alias(c) for c in columns]).where(F.length("ticker") > 0)
+    """A tab-separated table without a header, all columns as trimmed strings, tickers in upper case; rows that are short or have no ticker go."""
+    parts = spark.read.text(path).select(F.split("value", "\t", -1).alias("_parts")).where(F.size("_parts") >= len(columns))
+    rows = parts.select(*[F.trim(F.get("_parts", F.lit(i))).alias(c) for i, c in enumerate(columns)])
+    return rows.withColumn("ticker", F.upper("ticker")).where(F.length("ticker") > 0)
+
+
+def read_tsv_with_header(spark: SparkSession, path: str) -> DataFrame:
+    """A tab-separated table whose first line names its columns, all as strings."""
+    return spark.read.csv(path, sep="\t", header=True, quote="")
 
 
 def read_holdings(spark: SparkSession, path: str) -> DataFrame:

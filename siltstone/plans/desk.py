@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siltstone.functions import rules
-from siltstone.operators import desk, retrieval
+from siltstone.operators import desk, notes, retrieval
+from siltstone.plans import documents
 from siltstone.plans.market import _DAILY, daily, query, table
 
 
@@ -253,3 +254,76 @@ def recall_delta(spark, sf_dir):
 @query("SELECT event_id, event_type FROM events WHERE lower(trim(event_type)) = 'purchase'")
 def name_timeline(spark, sf_dir):
     return desk.timeline(table(spark, sf_dir, "events").select("event_id", "event_type"), "event_type", " Purchase ")
+
+
+_ASKED = ("AAPL earnings last week", "compare MSFT and AAPL books since May 2026", "GDP growth 2025", "notes lately", "aapl outlook")
+
+
+@query("""
+    SELECT event_id, (['AAPL', 'MSFT,AAPL', '', '', ''])[k] AS tickers, (['filing', 'book,book_chapter', '', 'note', ''])[k] AS kinds,
+           ([DATE '2026-05-01', DATE '2026-05-01', DATE '2025-01-01', DATE '2026-04-15', NULL])[k] AS since FROM (SELECT event_id, CAST(event_id % 5 + 1 AS INT) AS k FROM events)""")
+def query_anchors(spark, sf_dir):
+    asked = F.get(F.array(*[F.lit(q) for q in _ASKED]), (F.col("event_id") % 5).cast("int"))
+    a = notes.anchors(F.col("asked"), ("AAPL", "MSFT"), F.lit("2026-05-15").cast("date"))
+    rows = table(spark, sf_dir, "events").select("event_id", asked.alias("asked")).select("event_id", a.alias("a"))
+    return rows.select("event_id", F.array_join("a.tickers", ",").alias("tickers"), F.array_join("a.kinds", ",").alias("kinds"), F.col("a.since").alias("since"))
+
+
+@query("""
+    WITH r AS (SELECT doc_id, source, lang, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC NULLS LAST, doc_id DESC) - 1 AS p FROM documents),
+    w AS (SELECT doc_id, CAST(p AS INT) AS place, CASE WHEN doc_id % 50 = 0 OR source IS NULL THEN 1 WHEN lang = 'de' THEN CASE p WHEN 0 THEN 1 WHEN 1 THEN 0.5 ELSE 0 END
+          WHEN p < 5 THEN ([1.0, 0.6, 0.45, 0.35, 0.25])[p + 1] ELSE 0.2 END::DOUBLE AS weight FROM r) SELECT * FROM w WHERE weight > 0""")
+def kind_decay(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars")
+    got = notes.decayed(docs, "source", [F.desc_nulls_last("n_chars"), F.desc("doc_id")], "lang", F.col("doc_id") % 50 == 0, 0.2, {"de": ((1.0, 0.5), 0.0)})
+    return got.select("doc_id", "place", "weight")
+
+
+@query(f"""
+    WITH fields AS (SELECT doc_id, concat_ws(' ', lang, source, text) AS text FROM documents), {documents._bm25_sql().replace("FROM documents", "FROM fields")}
+    SELECT doc_id, round(score, 4) AS score, round(1 / (1 + score), 4) AS lexical_score FROM bm""")
+def lexical_fields(spark, sf_dir):
+    got = notes.lexical(table(spark, sf_dir, "documents"), "doc_id", ["lang", "source", "text"], documents._TERMS)
+    return got.select("doc_id", F.round("score", 4).alias("score"), F.round("lexical_score", 4).alias("lexical_score"))
+
+
+@query("SELECT source, doc_id, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC NULLS LAST, doc_id DESC) AS r FROM documents) WHERE r = 1")
+def best_chunk(spark, sf_dir):
+    return notes.best_per(table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars"), "source", "n_chars", "doc_id")
+
+
+@query("SELECT doc_id, item_id FROM documents d, benchmark b WHERE length(substr(b.text, 1, 40)) >= 3 AND contains(lower(d.text), lower(substr(b.text, 1, 40)))")
+def title_mentions(spark, sf_dir):
+    titles = table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 40).alias("title"))
+    return notes.mentions(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", titles, "item_id", "title")
+
+
+@query("SELECT o_orderstatus AS kind, count(*) AS n FROM orders GROUP BY ROLLUP (o_orderstatus)")
+def edge_counts(spark, sf_dir):
+    return notes.edge_counts(table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("kind")), "kind")
+
+
+@query("""
+    SELECT count(*) AS n_nodes, count(DISTINCT CASE WHEN c_custkey % 4 > 0 THEN c_nationkey END) AS n_clusters, count(CASE WHEN c_custkey % 3 > 0 THEN 1 END) AS n_ranked,
+           (SELECT count(*) FROM orders) AS n_edges FROM customer""")
+def graph_health(spark, sf_dir):
+    nodes = table(spark, sf_dir, "customer").select(F.when(F.col("c_custkey") % 4 > 0, F.col("c_nationkey")).alias("cluster_id"), F.when(F.col("c_custkey") % 3 > 0, 1.0).alias("citation_rank"))
+    return notes.graph_health(nodes, table(spark, sf_dir, "orders"))
+
+
+@query("""
+    WITH s AS (SELECT user_id, event_type, sum(length(props)) AS w FROM events GROUP BY ALL)
+    SELECT user_id, event_type AS mode FROM s QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY w DESC, event_type DESC) = 1""")
+def weighted_mode(spark, sf_dir):
+    return notes.weighted_mode(table(spark, sf_dir, "events"), ["user_id"], "event_type", F.length("props"))
+
+
+@query()
+def sentence_split(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(notes.sentences(F.col("text"))).alias("at", "sentence"))
+
+
+@query()
+def heading_chunks(spark, sf_dir):
+    body = F.concat(F.lit("# "), F.coalesce("source", F.lit("")), F.lit("\n"), F.coalesce("text", F.lit("")), F.lit("\n## End\nthe end"))
+    return notes.heading_chunks(table(spark, sf_dir, "documents").select("doc_id", body.alias("body")), "doc_id", "body")

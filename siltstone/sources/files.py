@@ -61,3 +61,32 @@ def read_captions(spark: SparkSession, path: str) -> DataFrame:
     start = F.coalesce(g[1].try_cast("double"), F.lit(0.0)) * 3600 + g[2].cast("double") * 60 + g[3].cast("double")
     words = F.trim(F.regexp_replace(F.regexp_replace(g[4], "<[^>]*>", ""), r"\s+", " "))
     return blocks.select("path", start.alias("start_s"), words.alias("text")).where(F.length("text") > 0)
+
+
+def read_notes(spark: SparkSession, path: str) -> DataFrame:
+    """path, name, front (its simple "key: value" lines as a map), title, body, body_hash of Markdown files; a title defaults to the name without its end."""
+    text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(path, wholetext=True)
+    notes = text.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("name"), "value")
+    block = F.regexp_extract("value", r"(?s)\A---\r?\n(.*?)(?:\r?\n)?---[ \t]*(?:\r?\n|\z)", 1)
+    body = F.trim(F.regexp_replace("value", r"(?s)\A---\r?\n.*?---[ \t]*(?:\r?\n|\z)", ""), F.lit(" \t\r\n"))
+    lines = F.filter(F.split(block, r"\r?\n"), lambda x: x.rlike(r"^[A-Za-z_]\w*:"))
+    pair = F.transform(lines, lambda x: F.struct(F.regexp_extract(x, r"^(\w+):", 1).alias("key"), F.regexp_replace(F.trim(F.regexp_replace(x, r"^\w+:", "")), "^([\"'])(.*)\\1$", "$2").alias("value")))
+    # the last line of a key counts
+    front = F.aggregate(pair, F.create_map().cast("map<string,string>"), lambda m, p: F.map_concat(F.map_filter(m, lambda k, v: k != p["key"]), F.create_map(p["key"], p["value"])))
+    rows = notes.select("path", "name", front.alias("front"), body.alias("body"))
+    title = F.coalesce(F.nullif(F.try_element_at("front", F.lit("title")), F.lit("")), F.regexp_replace("name", r"\.md$", ""))
+    return rows.select("path", "name", "front", title.alias("title"), "body", F.substring(F.sha2("body", 256), 1, 16).alias("body_hash"))
+
+
+def read_feed(spark: SparkSession, path: str, atom: bool = False) -> DataFrame:
+    """title, link, published, summary of an RSS feed's items or an Atom feed's entries, all as strings."""
+    link = "struct<_href: string>" if atom else "string"
+    names = ("updated", "summary") if atom else ("pubDate", "description")
+    rows = spark.read.format("xml").option("rowTag", "entry" if atom else "item").schema(f"title string, link {link}, {names[0]} string, {names[1]} string").load(path)
+    return rows.select(F.trim("title").alias("title"), F.col("link._href" if atom else "link").alias("link"), F.col(names[0]).alias("published"), F.col(names[1]).alias("summary"))
+
+
+def latest_snapshot(rows: DataFrame, day: str) -> DataFrame:
+    """The rows of the newest snapshot, and the snapshots' days are their distinct values."""
+    newest = rows.agg(F.max(day).alias(day))
+    return rows.join(F.broadcast(newest), day)  # one row

@@ -5,6 +5,8 @@ from __future__ import annotations
 import string
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,13 +36,44 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/siltstone/{name}-{uuid.uuid4().hex[:12]}"
 
 
+#: Tables that a call of settled() has written so far.
+_OWN: ContextVar[list[str] | None] = ContextVar("own", default=None)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: cuts lineage and outlives any executor."""
+    """df as a table in the shared folder: cuts lineage and outlives any executor. Inside settled() it goes when that ends."""
     path = scratch(df.sparkSession, name)
+    if _OWN.get() is not None:
+        _OWN.get().append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settled(spark: SparkSession, name: str, made: Callable[[], DataFrame]) -> DataFrame:
+    """What made() returns as a table; the tables that it wrote on its way are removed, also where it fails."""
+    mine: list[str] = []
+    outer = _OWN.set(mine)
+    try:
+        df = made()
+        path = scratch(spark, name)
+        df.write.parquet(path)
+    finally:
+        _OWN.reset(outer)
+        for old in mine:
+            removed(spark, old)
+    if _OWN.get() is not None:
+        _OWN.get().append(path)
+    schema = df.schema
+    del df
+    spark._jvm.System.gc()  # so that the driver's cleaner drops the shuffle files of queries that are over
+    return spark.read.schema(schema).parquet(path)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z only. lower() does just that for a text of ASCII characters and is much faster."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(

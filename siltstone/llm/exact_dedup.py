@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import ascii_lower, join_hot, written
+from siltstone.llm.common import ascii_lower, join_hot, settled, written
 
 #: Runs that one merge takes in, as bits.
 FAN_BITS = 3
@@ -83,6 +83,5 @@ def keep_distinct(docs: DataFrame, keep: str = "min") -> DataFrame:
     of = {name: c for c, name in named.items()}
     numbered = written(docs.withColumnsRenamed(named).withColumn("row", F.monotonically_increasing_id()), "numbered")
     own = numbered.select(F.col(named["doc_id"]).alias("doc_id"), F.col(named["text"]).alias("text"), "row")
-    rows = written(digests(own).drop("text"), "digests")
-    stay = merge_runs(rows, keep).select(F.col("best.row").alias("row"))
-    return numbered.join(written(stay, "staying"), "row", "left_semi").drop("row").withColumnsRenamed(of)
+    stay = settled(docs.sparkSession, "staying", lambda: merge_runs(written(digests(own).drop("text"), "digests"), keep).select(F.col("best.row").alias("row")))
+    return numbered.join(stay, "row", "left_semi").drop("row").withColumnsRenamed(of)

@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import give_back, join_hot, written
+from siltstone.llm.common import give_back, join_hot, settled, written
 
 #: Counters of the frequency sketch: a fixed size, whatever the corpus.
 SKETCH_BITS = 22
@@ -210,9 +210,12 @@ def verify(pairs: DataFrame, texts: DataFrame, size: int, num: int, den: int) ->
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """sid, root: the group of each end of the edges (a, b), by contraction.
+    """sid, root: the group of each end of the edges (a, b), as a table."""
+    return settled(edges.sparkSession, "components", lambda: _components(edges))
 
-    In each round every node points to the least of its neighbours and itself, pointers are followed to their end,
+
+def _components(edges: DataFrame) -> DataFrame:
+    """By contraction. In each round every node points to the least of its neighbours and itself, pointers are followed to their end,
     and edges are drawn between the ends; nodes of one edge fall together, so rounds go with the logarithm.
     """
     edges = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "edges")
@@ -275,6 +278,11 @@ def _first_entries(prefixes: DataFrame, num: int, den: int) -> DataFrame:
     )
 
 
+def _first_lists(texts: DataFrame, size: int, num: int, den: int, classes) -> DataFrame:
+    prefixes = written(texts.mapInArrow(_prefixes(size, num, den, classes), _PREFIX), "prefixes")
+    return _chosen(written(_first_entries(prefixes, num, den), "entries"))
+
+
 def _chosen(entries: DataFrame) -> DataFrame:
     """The entries within the prefix of each set's own k matches, with k."""
     reach = [F.col("d") - F.col("need") + k for k in range(1, MATCHES + 1)]
@@ -316,7 +324,7 @@ def _mixed(lists: DataFrame, labels: DataFrame) -> DataFrame:
     """The entries, with root, of lists whose sets aren't all in one group; df is counted anew."""
     grouped = written(lists.drop("df").join(labels, "sid", "left").withColumn("root", F.coalesce("root", "sid")), "grouped-entries")
     mixed = grouped.groupBy("gid", "token").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("df")).where("x != y")
-    return written(join_hot(grouped, mixed.select("gid", "token", "df"), ["gid", "token"], "df", grouped.count()), "cross-entries")
+    return join_hot(grouped, mixed.select("gid", "token", "df"), ["gid", "token"], "df", grouped.count())
 
 
 def _cross_pairs(entries: DataFrame, done: list[DataFrame], num: int, den: int) -> DataFrame:
@@ -416,8 +424,8 @@ def _difference_prefixes(batches):
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], _ENTRIES)
 
 
-def _described_anew(entries: DataFrame, texts: DataFrame, classes, size: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b) with each group's nearest member, and the lists of the members' differences from the centre."""
+def _described_anew(entries: DataFrame, texts: DataFrame, classes, size: int, num: int, den: int) -> DataFrame:
+    """The lists of the members' differences from the centre, and in columns a and b links with each group's nearest member."""
     members = _members(entries)
     held = written(members.join(texts, "sid"), "member-texts")
     parts = held.select("gid", "part", "text").repartition("gid", "part").sortWithinPartitions("gid", "part")
@@ -442,7 +450,7 @@ def _described_anew(entries: DataFrame, texts: DataFrame, classes, size: int, nu
     spread = written(spread, "difference-entries")
     counts = written(spread.groupBy("gid", "token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "difference-counts")
     lists = _chosen(written(join_hot(spread, counts, ["gid", "token"], "df", spread.count()), "difference-lists"))
-    return written(star, "star-links"), written(lists, "lists")
+    return lists.unionByName(star, allowMissingColumns=True)
 
 
 def similarity_groups(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5, long: int = LONG) -> DataFrame:
@@ -455,27 +463,32 @@ def similarity_groups(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5
     doc_id never names a group that has another id. Other columns are ignored; an empty table gives no rows.
     Pairs are listed only in lists of up to `long` sets; longer ones are described anew, without loss of a link.
     """
+    return settled(docs.sparkSession, "similarity-groups", lambda: _similarity_groups(docs, size, num, den, long))
+
+
+def _similarity_groups(docs: DataFrame, size: int, num: int, den: int, long: int) -> DataFrame:
+    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     every = written(rows.mapInArrow(_sets(size), _SETS), "shingle-sets")
     sets = _numbered(every)
-    classes = docs.sparkSession.sparkContext.broadcast(frequency_classes(every))
+    classes = spark.sparkContext.broadcast(frequency_classes(every))
     texts = sets.where(F.col("text").isNotNull()).select("sid", "text")
-    prefixes = written(texts.mapInArrow(_prefixes(size, num, den, classes), _PREFIX), "prefixes")
-    lists = written(_chosen(written(_first_entries(prefixes, num, den), "entries")), "lists")
+    lists = settled(spark, "lists", lambda: _first_lists(texts, size, num, den, classes))
     # the texts that may have a partner, each once
     some = written(texts.join(lists.select("sid").distinct(), "sid").dropDuplicates(["sid"]), "candidate-texts")
-    checked = [written(verify(_hub_pairs(lists, num, den), some, size, num, den), "hub-links")]
+    checked = [settled(spark, "hub-links", lambda: verify(_hub_pairs(lists, num, den), some, size, num, den))]
     links = checked[0].where("linked").select("a", "b")
     labels = components(links)
     while True:
-        entries = _mixed(lists, labels)
+        entries = settled(spark, "cross-entries", lambda lists=lists, labels=labels: _mixed(lists, labels))
         found = verify(_cross_pairs(entries.where(F.col("df") <= long), checked, num, den), some, size, num, den)
         checked.append(written(found, "cross-links"))
         new, far = checked[-1].where("linked").select("a", "b"), entries.where(F.col("df") > long)
         more = not far.isEmpty()
         if more:
-            star, lists = _described_anew(far, some, classes, size, num, den)
-            new = new.unionByName(star)
+            anew = settled(spark, "described", lambda far=far: _described_anew(far, some, classes, size, num, den))
+            lists = anew.where("a IS NULL").drop("a", "b")
+            new = new.unionByName(anew.where("a IS NOT NULL").select("a", "b"))
         if not new.isEmpty():
             links = links.unionByName(new)
             labels = components(links)

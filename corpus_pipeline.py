@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm import decontam, exact_dedup, langid, ngram_join, packing
-from siltstone.llm.common import written
+from siltstone.llm.common import settled, written
 from siltstone.llm.queries import WORD_BPE
 
 #: SQL can't express the classifier, nor the packing.
@@ -35,6 +35,7 @@ def distinct_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     groups = ngram_join.similarity_groups(docs, size=5, num=4, den=5)
     gone = groups.groupBy("doc_id").agg(F.bool_and(F.col("component_id") != F.col("doc_id")).alias("gone")).where("gone").select("doc_id")
+    gone = written(gone, "gone")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
@@ -42,8 +43,8 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Drops documents that benchmark passages make up a twentieth of, or more. Each row is judged by its own text, whatever its id."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    found = decontam.decontaminate(rows.select(F.col("_row").alias("doc_id"), "text"), benchmark)
-    gone = found.where("contaminated").select(F.col("doc_id").alias("_row"))
+    own = rows.select(F.col("_row").alias("doc_id"), "text")
+    gone = settled(spark, "gone", lambda: decontam.decontaminate(own, benchmark).where("contaminated").select(F.col("doc_id").alias("_row")))
     return rows.join(gone, "_row", "left_anti").select(*docs.columns)
 
 

@@ -1,7 +1,9 @@
-"""The queries op1 to op10 with their production parameters, and SQL where SQL can express them."""
+"""The queries op1 to op13 with their production parameters, and SQL where SQL can express them."""
 
 from __future__ import annotations
 
+import zlib
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,7 +85,52 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_table(spark, sf_dir, "documents"), scratch(spark, "shards"), arrivals=4, target=128 << 20)
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_language_id, op3_exact_dedup, op4_token_records, op5_decontamination, op6_ngram_join, op7_license_scan, op8_best_fit_packing, op9_token_counts, op10_sharding)}
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from documents and labels that aren't held out; scores every document."""
+    from siltstone.llm import toxicity
+
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.fit(toxicity.training_rows(docs, _table(spark, sf_dir, "labels")))
+    return toxicity.predict(docs.select("doc_id", toxicity.held_out().alias("held_out"), "text"), model)
+
+
+def with_loops(doc_id: int | None, words: list[str]) -> list[str]:
+    """The words that the contract of op12 has looked at: a tenth of the documents get a tail that repeats. Without an id, the words stay."""
+    h = zlib.crc32(str(doc_id).encode())
+    n, g = len(words), h // 10
+    if doc_id is None or h % 10 or not n:
+        return words
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + (i - a) % p] for i in range(a, n)]
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the runs and of the collapsed words of every document, with its run of the greatest exponent."""
+    from siltstone.llm.periodic_runs import periodic_runs
+
+    found = periodic_runs(_table(spark, sf_dir, "documents"), least_length=6, exponent=4, edit=with_loops)
+    line = F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n")))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *[F.col(f"top.{c}").alias(c) for c in ("start", "length", "period")],
+        F.expr("(1000 * top.length) div top.period").alias("exponent_milli"),
+        F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the outputs, and of the texts rebuilt from the outputs."""
+    from siltstone.llm.fill_in_middle import fill_in_middle, restore
+
+    made = fill_in_middle(_table(spark, sf_dir, "documents"), unit="chars", salt="1", plain=10, spm=20)
+    back = restore(made.withColumn("output_sha256", F.sha2(F.col("output"), 256)))
+    return back.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", F.sha2(F.col("restored"), 256).alias("restored_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_language_id, op3_exact_dedup, op4_token_records, op5_decontamination, op6_ngram_join, op7_license_scan, op8_best_fit_packing, op9_token_counts, op10_sharding, op11_toxicity, op12_periodic_runs, op13_fill_in_middle)}
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -109,4 +156,24 @@ ORACLE = {
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(named, '')) AS items_sha256,
                coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
         FROM d LEFT JOIN hit USING (r) LEFT JOIN items USING (r)""",
+    "op13_fill_in_middle": """
+        WITH d AS (
+            SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+            FROM documents),
+        u AS (
+            SELECT doc_id, t, n, list_transform([1, 9, 17, 25], lambda k: CAST(concat('0x', substr(h, k, 8)) AS BIGINT)) AS u
+            FROM d),
+        f AS (
+            SELECT doc_id, t, n, least(u[1] % (n + 1), u[2] % (n + 1)) AS a, greatest(u[1] % (n + 1), u[2] % (n + 1)) AS b,
+                   CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR u[3] % 100 >= 90 THEN 'plain'
+                        WHEN u[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+            FROM u),
+        o AS (
+            SELECT *, CASE form WHEN 'plain' THEN t
+                                WHEN 'psm' THEN concat('<P>', substr(t, 1, a), '<S>', substr(t, b + 1), '<M>', substr(t, a + 1, b - a))
+                                ELSE concat('<S>', substr(t, b + 1), '<P>', substr(t, 1, a), '<M>', substr(t, a + 1, b - a)) END AS output
+            FROM f)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+               sha256(output) AS output_sha256, sha256(t) AS restored_sha256
+        FROM o""",
 }

@@ -140,8 +140,13 @@ class Windows:
             self.patterns[i, : len(w)] = w
         self.shortest = int(self.lengths.min()) if found else 0
 
+    def numbers(self, text: str | None) -> np.ndarray:
+        """A text's words by their numbers here; 0 for words that no window has."""
+        own, look = words(text), self.vocabulary.get
+        return np.fromiter((look(w, 0) for w in own), np.int32, len(own))
 
-def hits(windows: Windows, texts: list[list[bytes]]) -> dict[int, tuple[np.ndarray, set[str]]]:
+
+def hits(windows: Windows, texts: list[np.ndarray]) -> dict[int, tuple[np.ndarray, set[str]]]:
     """For each text with hits: which of its words are hit, and the items that do it.
 
     Words outside the windows can't be part of an occurrence, nor can a run of fewer words than the shortest
@@ -149,18 +154,18 @@ def hits(windows: Windows, texts: list[list[bytes]]) -> dict[int, tuple[np.ndarr
     """
     if not windows.shortest:
         return {}
-    look = windows.vocabulary.get
     sizes = np.array([len(t) for t in texts], np.int64)
-    row = np.fromiter((look(w, 0) for t in texts for w in t), np.int32, int(sizes.sum()))
+    row = np.concatenate([np.zeros(0, np.int32), *texts])
     starts = np.concatenate([[0], np.cumsum(sizes)])
     known = np.concatenate([[False], row > 0, [False]])
     edge = known[1:] != known[:-1]
     edge[starts] |= known[starts] | known[np.minimum(starts + 1, len(known) - 1)]
     cuts = np.flatnonzero(edge)  # a run never reaches over two texts
-    runs = [(a, b) for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False) if b - a >= windows.shortest and row[a] > 0]
-    if not runs:
+    a, b = cuts[:-1], cuts[1:]
+    long = (b - a >= windows.shortest) & known[a + 1]
+    a, b = a[long], b[long]
+    if not len(a):
         return {}
-    a, b = (np.array(x, np.int64) for x in zip(*runs, strict=True))
     lengths = b - a
     total = int((lengths + 1).sum())
     first = np.cumsum(lengths + 1) - lengths - 1
@@ -197,7 +202,7 @@ def merged_spans(hit: np.ndarray) -> list[tuple[int, int]]:
 
 
 #: Bytes of text that one shard's index takes in, at most (a single longer text is a shard of its own).
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 3 << 20
 
 _FOUND = "n_words long, word_spans array<struct<first:long,end:long>>, items array<string>"
 
@@ -221,7 +226,7 @@ def _searcher(shared, id_type):
                     yield done(windows, ids, texts)
                     ids, texts, size = [], [], 0
                 ids.append(b["doc_id"][i].as_py())
-                texts.append(words(text))
+                texts.append(windows.numbers(text))
                 size += len(text or "")
         if ids:
             yield done(windows, ids, texts)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import string
 import tempfile
 import uuid
@@ -99,6 +101,25 @@ def local_path(uri: str) -> str:
     return uri[len("file://") :] if uri.startswith("file://") else uri.removeprefix("file:")
 
 
+#: What operators keep in a reused worker from task to task, by operator: how to drop it.
+_KEPT: dict[str, Callable[[], None]] = {}
+
+
+def keeps(operator: str, drop: Callable[[], None]) -> None:
+    """Says that an operator keeps something in its workers, and how to drop it."""
+    _KEPT[operator] = drop
+
+
+def only(operator: str) -> None:
+    """At the start of a task: drops what other operators kept in this worker."""
+    for name, drop in _KEPT.items():
+        if name != operator:
+            drop()
+    give_back()
+
+
 def give_back() -> None:
-    """Returns Arrow's freed memory to the system: workers are reused, and what one stage held would weigh on the next."""
+    """Returns freed memory to the system: workers are reused, and what one stage held would weigh on the next."""
     pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)

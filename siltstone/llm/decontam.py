@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import give_back, join_hot, written
+from siltstone.llm.common import give_back, join_hot, only, written
 
 _WORDS = bytes(
     c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256)
@@ -218,6 +218,7 @@ def _searcher(shared, id_type):
         return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "word_spans", "items"])
 
     def run(batches):
+        only("windows")
         windows, ids, texts, size = shared.value, [], [], 0
         for b in batches:
             for i in range(b.num_rows):

@@ -14,6 +14,8 @@ import re
 
 import numpy as np
 
+from siltstone.llm.common import keeps
+
 #: Line ends, printable ASCII, Latin-1 without control characters and soft hyphens, and common Western marks.
 PLAIN = "\n\x20-\x7e\u00a1-\u00ac\u00ae-\u00ff\u0152\u0153\u2013\u2014\u2018-\u201e\u2026\u20ac"
 _WHOLE = re.compile(rf"[^{PLAIN}]|<\|")
@@ -157,3 +159,6 @@ class MemoEncoder:
 def encoder(path: str) -> MemoEncoder:
     """One encoder per worker process and vocabulary."""
     return MemoEncoder(path)
+
+
+keeps("tokens", encoder.cache_clear)

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.llm.common import give_back, only
+
 #: Hashed features of a vector, as bits.
 BITS = 12
 _SIZE = 1 << BITS
@@ -70,6 +72,7 @@ class Model:
 
 
 def _frequencies(batches):
+    only("languages")
     df, n = np.zeros(_SIZE, np.int64), 0
     for b in batches:
         for text in b["text"].to_pylist():
@@ -79,6 +82,7 @@ def _frequencies(batches):
             n += 1
     f = np.append(np.flatnonzero(df), -1)
     yield pa.RecordBatch.from_arrays([pa.array(f, pa.int64()), pa.array(np.append(df[f[:-1]], n), pa.int64())], ["feature", "n"])
+    give_back()
 
 
 def _clusters(k: int, idf: np.ndarray, slack: float):
@@ -141,12 +145,14 @@ def fit(train: DataFrame, per_lang: int = 400, clusters: int = 4, slack: float =
 
 def _predictor(model):
     def run(batches):
+        only("languages")
         own = model.value
         for b in batches:
             said = [own.predict(t) for t in b["text"].to_pylist()]
             lang, score, rejected = zip(*said, strict=True) if said else ((), (), ())
             new = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())]
             yield pa.RecordBatch.from_arrays([*b.columns, *new], [*b.schema.names, "lang_pred", "score", "rejected"])
+        give_back()
 
     return run
 

@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import give_back, join_hot, settled, written
+from siltstone.llm.common import give_back, join_hot, keeps, only, settled, written
 
 #: Counters of the frequency sketch: a fixed size, whatever the corpus.
 SKETCH_BITS = 22
@@ -64,6 +64,9 @@ class _Hashes(dict):
 _HASHES = _Hashes()
 
 
+keeps("shingles", _HASHES.clear)
+
+
 def _rest() -> None:
     """Empties the memo at the end of a task, for the stages that come after it in a reused worker."""
     _HASHES.clear()
@@ -97,6 +100,7 @@ def _sets(size: int):
     """A row for each document (its text only where the task hasn't yet seen the set), then the task's share of the sketch."""
 
     def run(batches):
+        only("shingles")
         sketch, seen = np.zeros(1 << SKETCH_BITS, np.int64), set()
         shift, pack = np.uint64(64 - SKETCH_BITS), zstandard.ZstdCompressor(level=1)
         for b in batches:
@@ -159,6 +163,7 @@ def _prefixes(size: int, num: int, den: int, shared):
     shift = np.uint64(64 - SKETCH_BITS)
 
     def run(batches):
+        only("shingles")
         classes, unpack = shared.value, zstandard.ZstdDecompressor()
         for b in batches:
             for i in range(0, b.num_rows, 500):
@@ -175,6 +180,7 @@ def _prefixes(size: int, num: int, den: int, shared):
                     columns = [tokens, np.repeat(np.array([s for _, s, _ in out], np.int64), lengths), np.repeat(np.array([n for _, _, n in out], np.int64), lengths), pos.astype(np.int32)]
                     common = classes[(tokens.view(np.uint64) >> shift).astype(np.int64)] > 0
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*columns, common)], ["token", "sid", "n", "pos", "common"])
+        _rest()
 
     return run
 
@@ -381,6 +387,7 @@ def _tally(size: int):
                 sets.append(shingle_set(unpack.decompress(text), size))
         if sets:
             yield counted()
+        _rest()
 
     return run
 
@@ -405,6 +412,7 @@ def _differences(size: int, num: int, den: int, shared):
                 if rows:
                     types = (*[pa.int64()] * 5, pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types, strict=True)], ["gid", "sid", "n", "d", "s", "tokens"])
+        _rest()
 
     return run
 

@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import written
+from siltstone.llm.common import give_back, only, written
 from siltstone.llm.encoding import encoder
 
 _PIECES = "uid long, doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -22,6 +22,7 @@ _PACKED = _PIECES + ", sequence_id long, offset long, fill long"
 
 def _cutter(path: str, end_id: int, size: int):
     def run(batches):
+        only("tokens")
         enc, uid = encoder(path), TaskContext.get().partitionId() << 40
         for b in batches:
             for i in range(0, b.num_rows, 512):
@@ -34,6 +35,7 @@ def _cutter(path: str, end_id: int, size: int):
                         uid += 1
                 types = (pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * 3)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types, strict=True)], ["uid", "doc_id", "piece", "start", "length", "ids_crc32"])
+        give_back()
 
     return run
 

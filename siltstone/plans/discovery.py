@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siltstone.functions import text
-from siltstone.operators import vector_index
+from siltstone.operators import names, stemmed, vector_index
 from siltstone.plans.market import query, table
 
 _COS = "list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))"
@@ -62,3 +62,35 @@ def cross_links(spark, sf_dir):
     """Links to suggest for every hundredth note, from its first chunk; other days of its own series don't count."""
     similar = vector_index.similar_nodes(_chunks(spark, sf_dir), "node", "ord", "vec_id", "embedding", 6, asked=lambda n: n.where(F.col("vec_id") % 100 == 0), exact=True)
     return vector_index.cross_links(similar, "node", text.temporal_pair, floor=0.3).withColumn("similarity", F.round("similarity", 5))
+
+
+#: A given table of stems, and a question that meets its stems.
+_STEMS = "('the', 'the'), ('them', 'the'), ('ing', 'ing'), ('ings', 'ing'), ('tion', 'tion'), ('tions', 'tion'), ('eau', 'eau'), ('eaux', 'eau'), ('ciones', 'cion'), ('cion', 'cion'), ('que', 'que'), ('keit', 'keit'), ('keiten', 'keit')"
+_QUESTION = ("The", "tions", "eau", "cion", "keit", "missing")
+
+
+@query(f"""
+    WITH s(word, stem) AS (VALUES {_STEMS}),
+    d AS (SELECT doc_id, regexp_extract_all(strip_accents(lower(coalesce(text, ''))), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents),
+    n AS (SELECT count(*) AS n_docs, sum(len(w)) AS total FROM d),
+    t AS (SELECT doc_id, len(w) AS length, stem, count(*) AS tf FROM (SELECT doc_id, w, unnest(w) AS word FROM d) JOIN s USING (word) WHERE stem IN ('the', 'tion', 'eau', 'cion', 'keit', 'miss') GROUP BY ALL),
+    f AS (SELECT stem, count(*) AS df FROM t GROUP BY stem)
+    SELECT doc_id, round(sum(greatest(ln((n_docs - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / (total / n_docs)))), 5) AS score
+    FROM t JOIN f USING (stem), n GROUP BY doc_id""")
+def bm25_given_stems(spark, sf_dir):
+    stems = spark.sql(f"SELECT * FROM VALUES {_STEMS} AS s(word, stem)")
+    return stemmed.bm25_stems(table(spark, sf_dir, "documents"), "doc_id", "text", _QUESTION, stems).withColumn("score", F.round("score", 5))
+
+
+@query()
+def bm25_stems_topk(spark, sf_dir):
+    """Stems of the documents' own words; the tests work it out anew."""
+    scored = stemmed.bm25_stems(table(spark, sf_dir, "documents"), "doc_id", "text", _QUESTION)
+    return scored.orderBy(F.desc(F.round("score", 5)), "doc_id").limit(20).withColumn("score", F.round("score", 5))
+
+
+@query()
+def near_duplicate_names(spark, sf_dir):
+    """Targets of the pages' links that look like one another; the tests compare all with all."""
+    targets = table(spark, sf_dir, "pages").select(F.explode(F.regexp_extract_all("html", F.lit('href="/([^"]*)"'), 1)).alias("name"))
+    return names.near_duplicates(targets, "name", 0.85)

@@ -27,16 +27,25 @@ _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x2
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 
-_PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
+_PERCENT = re.compile(r"%[0-9A-Fa-f]{2}(?:%[0-9A-Fa-f]{2})*")
 _ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}")
 #: Runs that only a line end and indentation part, as in base64 that is wrapped. It starts where a run does, so it takes linear time.
 _WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/_-]++)+")
 _STANDARD = bytes.maketrans(b"-_", b"+/")
-_MAGIC = re.compile(rb"\x1f\x8b|\x78[\x01\x5e\x9c\xda]|BZh|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
+#: The two bytes that zlib data starts with: method 8 with a window of up to 32 KB, no preset dictionary, a multiple of 31 together.
+_ZLIB = b"|".join(re.escape(bytes((m, f))) for m in range(0x08, 0x80, 0x10) for f in range(256) if (m << 8 | f) % 31 == 0 and not f & 0x20)
+_MAGIC = re.compile(rb"\x1f\x8b|BZh|\xfd7zXZ\x00|\x28\xb5\x2f\xfd|" + _ZLIB)
+#: Printable ASCII and blanks: what escapes are written in.
+_PRINTED = "\t\n\r" + "".join(map(chr, range(0x20, 0x7F)))
+#: Bytes as p (printed), 0 (zero) or x, and what any match of _WIDE looks like then.
+_KIND_OF = bytes(0x70 if chr(c) in _PRINTED else 0x30 if c == 0 else 0x78 for c in range(256))
+_WIDE_MARK = b"p0" * 13
+#: Characters that alternate with zero bytes, as ASCII ones do in UTF-16 of either byte order.
+_WIDE = re.compile("(?:[\t\n\r\x20-\x7e]\0){14,}|(?:\0[\t\n\r\x20-\x7e]){14,}")
 #: What decoded bytes must hold for a secret to come out of them: the shortest secret has 14 ASCII characters, and
 #: coded ones are longer; or the start of compressed data, or an escape.
-_WORTH = re.compile(rb"[\t\n\r\x20-\x7e]{14}|\x1f\x8b|\x78[\x01\x5e\x9c\xda]|BZh|\xfd7zXZ\x00|\x28\xb5\x2f\xfd|%[0-9A-Fa-f]{2}|\\[uUx]|&#")
+_WORTH = re.compile(rb"[\t\n\r\x20-\x7e]{14}|(?:[\t\n\r\x20-\x7e]\0){13}|%[0-9A-Fa-f]{2}|\\[uUx]|&#|" + _MAGIC.pattern)
 #: Unpacked data goes through in chunks of about so many bytes, cut where nothing encoded can be going on, that share OVERLAP.
 CHUNK, OVERLAP = 16 << 20, 64 << 10
 #: Bytes that can stand in something encoded, or in the blanks between its lines.
@@ -48,7 +57,8 @@ Span = tuple[str, int, int]
 def find_secrets(text: str) -> list[Span]:
     """(kind, start, end) by start, then kind: leftmost non-overlapping matches of each kind that are long enough."""
     found = []
-    if ":" in text or "=" in text:
+    low = text.lower() if ":" in text or "=" in text else ""
+    if any(word in low for word in ("password", "passwd", "secret", "token", "apikey", "api_key")):
         found += [(m.start(), 0, m.end()) for m in _ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 8]
     if "AKIA" in text:
         found += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 16]
@@ -81,7 +91,7 @@ class _Input:
 def _member(source: _Input) -> Iterator[bytes]:
     """What the gzip, zlib, bzip2, xz or zstd data at the front of source holds, in pieces; raises where it is unsound or ends early."""
     head = source.peek(6)
-    if head[:2] == b"\x1f\x8b" or head[:1] == b"\x78":
+    if head[:2] == b"\x1f\x8b" or (head[0] & 0x8F == 0x08 and head[:4] != b"\x28\xb5\x2f\xfd"):
         d = zlib.decompressobj(47)
         while not d.eof:
             data = d.unconsumed_tail or source.read()
@@ -150,97 +160,132 @@ def _after(stream: Iterator[bytes], n: int) -> Iterator[bytes]:
 
 
 class Layer:
-    """A decoded text; start and end: where in the original each of its characters comes from.
+    """A decoded text, and where in the layer around it each of its characters comes from.
 
+    Stretches of the text map evenly: what starts at character child[i] starts at parent[i] there, and each of its characters takes
+    width[i] of those. In base64 width is None: four characters make three bytes, from parent[0] on, and
+    lines are the stretches of the encoded characters, if line ends part them. place: the one original place of all characters, in unpacked data.
     rest gives the bytes that follow a chunk of unpacked data.
     """
 
-    def __init__(self, text: str, start: np.ndarray, end: np.ndarray, rest: Callable[[], Iterator[bytes]] | None = None):
-        self.text, self.start, self.end, self.rest = text, start, end, rest
+    def __init__(self, text: str, around: Layer | None = None, place: tuple[int, int] | None = None, rest: Callable[[], Iterator[bytes]] | None = None):
+        self.text, self.around, self.rest = text, around, rest
+        self.place = place or (around.place if around else None)
+        self.child = self.parent = self.width = None
 
-    @property
-    def place(self) -> tuple[int, int] | None:
-        """The place of all characters, if it is one (arrays without a stride)."""
-        return self.span(0, 1) if self.text and self.start.strides == self.end.strides == (0,) else None
-
-    def span(self, a: int, b: int) -> tuple[int, int]:
-        if self.start.strides == self.end.strides == (0,):
-            b = a + 1
-        return int(self.start[a:b].min()), int(self.end[a:b].max())
+    def evenly(self, child: list[int], parent: list[int], width: list[int]) -> Layer:
+        if not self.place:
+            self.child, self.parent, self.width = (np.array(x, np.int64) for x in (child, parent, width))
+        return self
 
+    def from_base64(self, child: np.ndarray, parent: np.ndarray) -> Layer:
+        if not self.place:
+            self.child, self.parent = child, parent
+        return self
 
-def _at_place(data: bytes, place: tuple[int, int], rest: Callable[[], Iterator[bytes]] | None = None) -> Layer:
-    return Layer(data.decode("latin-1"), *(np.broadcast_to(np.int64(x), len(data)) for x in place), rest)
+    def span(self, a: int, b: int) -> tuple[int, int]:
+        """The original place of characters a to b."""
+        layer = self
+        while not layer.place and layer.around is not None:
+            if layer.width is None:  # encoded characters a to b, then where these are
+                a, b = a * 8 // 6, ((b - 1) * 8 + 7) // 6 + 1
+            i, j = np.searchsorted(layer.child, (a, b - 1), side="right") - 1
+            w = (1, 1) if layer.width is None else (int(layer.width[i]), int(layer.width[j]))
+            a, b = int(layer.parent[i]) + (a - int(layer.child[i])) * w[0], int(layer.parent[j]) + (b - int(layer.child[j])) * w[1]
+            layer = layer.around
+        return layer.place or (a, b)
 
 
-def _of_bytes(data: bytes, start: np.ndarray, end: np.ndarray) -> Layer:
-    """A layer of data, whose bytes come from start to end.
+def _bytes_layer(data: bytes, around: Layer) -> Layer:
+    """A layer of data.
 
     Each byte is a character of its own: all patterns are of ASCII characters, which are the same bytes in UTF-8 and
     in most other encodings. So what else the data holds, text or not, doesn't hide a secret.
     """
-    return Layer(data.decode("latin-1"), start, end)
+    return Layer(data.decode("latin-1"), around)
+
+
+def _replaced(layer: Layer, matches: list[tuple[int, int, str, int]]) -> Layer:
+    """The layer with each (a, b, text, width) put in place of its characters a to b; each new character comes from width of them."""
+    text, child, parent, widths, at, n = [], [], [], [], 0, 0
+    for a, b, new, width in matches:
+        for part, start, w in ((layer.text[at:a], at, 1), (new, a, width)):
+            if part:
+                text.append(part)
+                child.append(n)
+                parent.append(start)
+                widths.append(w)
+                n += len(part)
+        at = b
+    if at < len(layer.text):
+        text.append(layer.text[at:])
+        child.append(n)
+        parent.append(at)
+        widths.append(1)
+    return Layer("".join(text), layer).evenly(child, parent, widths)
 
 
-def _replaced(layer: Layer, matches: list[tuple[int, int, str, np.ndarray, np.ndarray]]) -> Layer:
-    """The layer with each (a, b, text, start, end) put in place of its characters a to b."""
-    text, start, end, at = [], [], [], 0
-    for a, b, new, new_start, new_end in matches:
-        text += [layer.text[at:a], new]
-        start += [layer.start[at:a], new_start]
-        end += [layer.end[at:a], new_end]
-        at = b
-    if layer.place:
-        return _at_place("".join([*text, layer.text[at:]]).encode("latin-1", "replace"), layer.place)
-    return Layer("".join([*text, layer.text[at:]]), np.concatenate([*start, layer.start[at:]]), np.concatenate([*end, layer.end[at:]]))
+def _in_print(text: str, a: int, b: int) -> bool:
+    """Whether a to b lies in 14 printed characters or more, as all of an escaped secret or payload does; in binary data an escape comes up by chance."""
+    before, after = text[max(0, a - 14) : a], text[b : b + 14]
+    return b - a + len(before) - len(before.rstrip(_PRINTED)) + len(after) - len(after.lstrip(_PRINTED)) >= 14
 
 
-def _percent(layer: Layer) -> list[Layer]:
-    inside = []
-    for m in _PERCENT.finditer(layer.text):
-        a, b = m.span()
-        new = _of_bytes(bytes.fromhex(m.group().replace("%", "")), layer.start[a:b:3], layer.end[a + 2 : b : 3])
-        inside.append((a, b, new.text, new.start, new.end))
-    return [_replaced(layer, inside)] if inside else []
+def _percent(layer: Layer) -> Iterator[Layer]:
+    found = (m for m in _PERCENT.finditer(layer.text) if _in_print(layer.text, m.start(), m.end()))
+    inside = [(m.start(), m.end(), bytes.fromhex(m.group().replace("%", "")).decode("latin-1"), 3) for m in found]
+    if inside:
+        yield _replaced(layer, inside)
 
 
-def _escapes(layer: Layer) -> list[Layer]:
+def _escapes(layer: Layer) -> Iterator[Layer]:
     inside = []
     for m in _ESCAPE.finditer(layer.text):
-        a, b = m.span()
         n = int(m.group(m.lastindex), 10 if m.lastindex == 6 else 16)
-        if n < 0x110000 and not 0xD800 <= n < 0xE000:
-            inside.append((a, b, chr(n), layer.start[a : a + 1], layer.end[b - 1 : b]))
-    return [_replaced(layer, inside)] if inside else []
+        if n < 0x110000 and not 0xD800 <= n < 0xE000 and _in_print(layer.text, m.start(), m.end()):
+            inside.append((m.start(), m.end(), chr(n), m.end() - m.start()))
+    if inside:
+        yield _replaced(layer, inside)
 
 
-def _base64(layer: Layer) -> list[Layer]:
+def _wide(layer: Layer) -> Iterator[Layer]:
+    if "\0" not in layer.text or _WIDE_MARK not in layer.text.encode("latin-1", "replace").translate(_KIND_OF):
+        return
+    inside = [(m.start(), m.end(), m.group().replace("\0", ""), 2) for m in _WIDE.finditer(layer.text)]
+    if inside:
+        yield _replaced(layer, inside)
+
+
+def _base64(layer: Layer) -> Iterator[Layer]:
     """What runs of base64's characters decode to, each run alone and joined with those on the next lines.
 
     Where in a run the payload starts isn't known (a path or a name may stand before it), so the run is decoded
     from each of its first four characters: one of these is in step with the payload.
     """
-    out = []
-    for m in (*_BASE64.finditer(layer.text), *_WRAPPED.finditer(layer.text)):
-        raw = m.group().encode()
-        body = raw.translate(_STANDARD, b" \t\r\n")
-        if len(body) < 16:
-            continue
-        at = None
-        for a in range(4):
-            part = body[a : len(body) - ((len(body) - a) % 4 == 1)]
-            data = binascii.a2b_base64(part + b"=" * (-len(part) % 4))
-            if not _WORTH.search(data):
-                continue
-            if layer.place:
-                out.append(_at_place(data, layer.place))
+    for pattern in (_BASE64, _WRAPPED):
+        for m in pattern.finditer(layer.text):
+            raw = m.group().encode()
+            body = raw.translate(_STANDARD, b" \t\r\n")
+            if len(body) < 16:
                 continue
-            if at is None:
-                at = m.start() + np.flatnonzero(np.frombuffer(raw, np.uint8) > 32)
-            n = np.arange(len(data))
-            first, last = a + n * 8 // 6, a + (n * 8 + 7) // 6
-            out.append(_of_bytes(data, layer.start[at[first]], layer.end[at[last]]))
-    return out
+            # where the lines of encoded characters start, in the body and in the layer
+            lines = [(0, 0)]
+            if len(raw) > len(body):
+                taken = 0
+                lines = []
+                for line in re.finditer(rb"[^ \t\r\n]+", raw):
+                    lines.append((taken, line.start()))
+                    taken += len(line.group())
+            child, parent = (np.array(x, np.int64) for x in zip(*lines, strict=True))
+            del raw
+            for a in range(4):
+                part = memoryview(body)[a : len(body) - ((len(body) - a) % 4 == 1)]
+                data = binascii.a2b_base64(part if len(part) % 4 == 0 else bytes(part) + b"=" * (-len(part) % 4))
+                inside = _bytes_layer(data, layer) if _WORTH.search(data) else None
+                del part, data
+                if inside:
+                    # the first line is entered at its character a
+                    yield inside.from_base64(np.maximum(child - a, 0), m.start() + parent + np.maximum(a - child, 0))
 
 
 def _compressed(layer: Layer) -> Iterator[Layer]:
@@ -248,31 +293,38 @@ def _compressed(layer: Layer) -> Iterator[Layer]:
 
     The layer's own characters are blanked where sound compressed data is: they are no text.
     """
-    data, at = layer.text.encode("latin-1", "replace"), 0
+    data, at, sound = layer.text.encode("latin-1", "replace"), 0, []
+    whole = memoryview(data)
     while m := _MAGIC.search(data, at):
         a = m.start()
 
         def opened(taken: list[int], a: int = a) -> Iterator[bytes]:
-            return _unpacked((p for part in ((data[a:],), layer.rest() if layer.rest else ()) for p in part), taken)
+            return _unpacked((p for part in ((whole[a:],), layer.rest() if layer.rest else ()) for p in part), taken)
 
         ends: list[int] = []
         some = any([bool(piece) for piece in opened(ends)]) if not layer.place else next((True for piece in opened(ends) if piece), False)
-        place = layer.place or layer.span(a, a + ends[-1] if ends else len(data))
         if some:
+            place = layer.place or layer.span(a, a + ends[-1] if ends else len(data))
             ends = []
             for chunk, end in _chunks(opened(ends)):
-                yield _at_place(chunk, place, None if end is None else lambda opened=opened, end=end: _after(opened([]), end))
+                yield Layer(chunk.decode("latin-1"), layer, place, None if end is None else lambda opened=opened, end=end: _after(opened([]), end))
         at = a + 1
         if ends:
             at = min(len(data), a + ends[-1])
-            layer.text = layer.text[:a] + "\0" * (at - a) + layer.text[at:]
+            sound.append((a, at))
+    if sound:
+        parts, last = [], 0
+        for a, b in sound:
+            parts += [layer.text[last:a], "\0" * (b - a)]
+            last = b
+        layer.text = "".join([*parts, layer.text[last:]])
 
 
 def _inner(layer: Layer, first: bool) -> Iterator[Layer]:
     """The layers right inside a layer; what is compressed comes first, and is blanked then."""
     if not first:
         yield from _compressed(layer)
-    for unwrap in (_percent, _escapes, _base64):
+    for unwrap in (_percent, _escapes, _wide, _base64):
         yield from unwrap(layer)
 
 
@@ -280,11 +332,11 @@ def scan(text: str | None) -> tuple[list[Span], list[Span]]:
     """Secrets of the text itself, and all of them with those of its inner layers, at the places they come from."""
     text = text or ""
     base = find_secrets(text)
-    coded = "%" in text or "\\" in text or "&#" in text
+    coded = "%" in text or "\\" in text or "&#" in text or "\0" in text
     if not coded and not _BASE64.search(text) and not _WRAPPED.search(text):
         return base, base
     found = set(base)
-    first = Layer(text, np.arange(len(text)), np.arange(1, len(text) + 1))
+    first = Layer(text)
     # Depth first, so that of unpacked data only one chunk of each level is held.
     work = [(first, _inner(first, True))]
     seen = {(0, len(text), hashlib.sha256(text.encode("utf-8", "replace")).digest())}
@@ -333,7 +385,8 @@ def secret_scan(docs: DataFrame) -> DataFrame:
     The counts and the digest are of the text's own secrets; spans (kind:start:end in code points, by start, then
     kind) adds those in inner layers, n_inner of them, each at the place that its characters were decoded from.
     Null counts as empty: no spans. Repeated rows and null ids are kept as they are; other columns are
-    ignored; long texts are searched whole.
+    ignored; long texts are searched whole, in time that grows with their length, and in memory of about a dozen times that
+    of the longest payload.
     """
     schema = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_inner long"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scanner, schema)

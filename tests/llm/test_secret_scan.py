@@ -159,3 +159,48 @@ def test_long_layers(monkeypatch):
     noise = "".join(hashlib.sha256(i.to_bytes(2)).hexdigest()[:30] + " " for i in range(1000))
     data = gzip.compress(b"some words, " * 50 + gzip.compress((noise + SECRET).encode()))
     assert {k for k, _, _ in inner(base64.b64encode(data).decode())} == {"assign"}
+
+
+def test_all_zlib_windows():
+    for bits in range(9, 16):
+        for level in (1, 6, 9):
+            z = zlib.compressobj(level, wbits=bits)
+            data = z.compress(f"é some filler {SECRET}".encode()) + z.flush()
+            assert {k for k, _, _ in inner("x " + base64.b64encode(data).decode() + " y")} == {"assign"}, (bits, level)
+
+
+def test_utf16():
+    for codec in ("utf-16-le", "utf-16-be", "utf-16"):
+        data = f"é {SECRET} ü".encode(codec)
+        text = "x " + base64.b64encode(data).decode() + " y"
+        assert {k for k, _, _ in inner(text)} == {"assign"}, codec
+        nested = base64.b64encode(gzip.compress(f"some {base64.b64encode(data).decode()} more".encode())).decode()
+        assert {k for k, _, _ in inner(nested)} == {"assign"}, codec
+    # each character is where its two bytes were
+    raw = "".join(c + "\0" for c in "words " + SECRET)
+    (kind, a, b), = inner("é" + raw)
+    assert kind == "assign" and raw.replace("\0", "")[(a - 1) // 2 : (b - 1) // 2] == SECRET
+
+
+def test_long_binary_payload():
+    """32 MB of base64 of random bytes, with a secret and a packed one inside: linear time, and a few copies of the text at a time."""
+    import random
+    import time
+    import tracemalloc
+
+    rng = random.Random(1)
+    half = rng.randbytes(12 << 20)
+    data = half + b"\0" + SECRET.encode() + b"\0" + half[: 6 << 20] + gzip.compress(f"{'x ' * 50}{SECRET}".encode()) + half[: 6 << 20]
+    text = "picture: " + base64.b64encode(data).decode() + " end"
+    took = []
+    for part in (text[: 8 << 20], text):
+        began = time.process_time()
+        found = inner(part)
+        took.append(time.process_time() - began)
+    assert len(found) == 2 and all(k == "assign" for k, _, _ in found)
+    assert took[1] < 60 and took[1] < 10 * took[0], took
+    tracemalloc.start()
+    inner(text[: 8 << 20])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 * (8 << 20), peak

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Sequence
 from functools import reduce
 
@@ -56,7 +57,8 @@ def resolve_links(edges: DataFrame, nodes: DataFrame, aliases: DataFrame | None
         named = edges.join(aliases.select(F.col("alias").alias("dst"), "canonical"), "dst", "left").withColumn("_name", F.coalesce("canonical", "dst")).drop("canonical")
 
     def stem(c: Column) -> Column:
-        return F.lower(F.regexp_replace(F.element_at(F.split(c, "/"), -1), r"(?<=.)\.[^.]*$", ""))
+        last = F.regexp_replace(F.element_at(F.split(c, "/"), -1), r"(?<=.)\.[^.]*$", "")
+        return F.translate(last, string.ascii_uppercase, string.ascii_lowercase)
 
     paths = nodes.select("path")
     exact = paths.select(F.col("path").alias("_name"), F.col("path").alias("_exact"))

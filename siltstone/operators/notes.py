@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import calendar
 from collections.abc import Mapping, Sequence
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from siltstone.operators.retrieval import LADDER, bm25, cosine, ladder_decay
 from siltstone.operators.timeseries import latest_n
@@ -26,7 +31,8 @@ PHRASE_DAYS = {
 #: Words before a full stop that ends no sentence (fixed values).
 ABBREVIATIONS = ("mr", "mrs", "ms", "dr", "st", "jr", "sr", "vs", "etc", "e.g", "i.e", "u.s", "u.k", "fig", "no", "vol", "approx", "inc", "ltd", "co", "corp", "p.s")
 
-_MONTH = r"(?i)\b(jan|feb|mar|apr|may|jun|jul|aug|sep)(?:t|uary|ruary|ch|il|e|y|ust|tember)?\s+(\d{4})\b|\b(oct|nov|dec)(?:ober|ember)?\s+(\d{4})\b"
+_MONTHS = {name.lower(): m for names in (calendar.month_name, calendar.month_abbr) for m, name in enumerate(names) if m} | {"sept": 9}
+_MONTH = rf"(?i)\b({'|'.join(sorted(_MONTHS, key=len, reverse=True))})\s+(\d{{4}})\b"
 
 
 def _quoted(word: str) -> str:
@@ -43,8 +49,8 @@ def anchors(text: Column, lexicon: Sequence[str], today: Column) -> Column:
     none = F.array().cast("array<string>")
     kinds = F.array_distinct(F.flatten(F.array(*[F.when(own.rlike(_quoted(w)), F.array(*[F.lit(k) for k in ks])).otherwise(none) for w, ks in KIND_WORDS.items()])))
     back = F.coalesce(*[F.when(own.rlike(_quoted(p)), F.lit(d)) for p, d in PHRASE_DAYS.items()])
-    name = F.initcap(F.concat(F.regexp_extract(own, _MONTH, 1), F.regexp_extract(own, _MONTH, 3)))
-    month = F.to_date(F.try_to_timestamp(F.concat_ws(" ", F.lit("1"), name, F.concat(F.regexp_extract(own, _MONTH, 2), F.regexp_extract(own, _MONTH, 4))), F.lit("d MMM yyyy")))
+    number = F.element_at(F.create_map(*[F.lit(x) for pair in _MONTHS.items() for x in pair]), F.lower(F.regexp_extract(own, _MONTH, 1)))
+    month = F.make_date(F.nullif(F.regexp_extract(own, _MONTH, 2).try_cast("int"), F.lit(0)), number, F.lit(1))
     said = F.least(F.date_sub(today, back), month)
     year = F.make_date(F.regexp_extract(own, r"\b(20\d{2})\b", 1).try_cast("int"), F.lit(1), F.lit(1))
     words = "|".join(sorted(map(str, (*KIND_WORDS, *PHRASE_DAYS)), key=len, reverse=True))
@@ -97,7 +103,7 @@ def sentences(text: Column) -> Column:
     """
     body = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " "))
     short = "|".join(a.replace(".", "[.]") for a in ABBREVIATIONS)
-    parts = F.split(body, rf"(?<=[.!?])(?<!(?:^|\s)(?i:{short})[.]) (?=[A-Z0-9$])")
+    parts = F.split(body, rf"(?<=[.!?])(?<!(?:^|\s)(?i:{short})[.]{{1,20}}) (?=[A-Z0-9$])")
     clean = F.transform(parts, lambda s: F.regexp_replace(s, r"\s+[.!?,;:\-—–]+\s*$", ""))
     return F.filter(clean, lambda s: (F.length(s) >= 3) & ~s.rlike(r"^[\s.!?,;:\-—–]+$"))
 
@@ -126,16 +132,48 @@ def heading_chunks(docs: DataFrame, doc_id: str, text: str, size: int = 600, ove
     return docs.select(doc_id, F.posexplode(F.flatten(F.transform(parts, windows))).alias("ord", "_c")).select(doc_id, "ord", "_c.section", "_c.chunk")
 
 
-def mentions(docs: DataFrame, doc_id: str, text: str, titles: DataFrame, title_id: str, title: str) -> DataFrame:
+def _mentioned(shared, id_type: pa.DataType):
+    def run(batches):
+        ids = shared.value
+        automaton = ahocorasick.Automaton()
+        for title in ids:
+            automaton.add_word(title, title)
+        automaton.make_automaton()
+        for b in batches:
+            rows, found = [], []
+            for k in range(b.num_rows):
+                text = b["_text"][k].as_py()
+                for title in {t for _, t in automaton.iter(text)} if text else ():
+                    rows += [k] * len(ids[title])
+                    found += ids[title]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(found, id_type)], [b.schema.names[0], "title_id"])
+
+    return run
+
+
+def mentions(docs: DataFrame, doc_id: str, text: str, titles: DataFrame, title_id: str, title: str, block_bytes: int = 4 << 20) -> DataFrame:
     """doc_id, title_id where the text holds the title, in any case; titles of under three characters are found nowhere.
 
-    A title can only be in a text that has its first three characters: those are the join's key, and then the whole title is looked for.
+    Titles are dealt into blocks of about block_bytes of text; each goes to all workers in turn, as one automaton that finds
+    all of its titles in one pass over a text. A title or piece that every text has is no more work than another. Null
+    texts and titles meet nothing; each pair comes once however often rows are repeated.
     """
+    spark = docs.sparkSession
     low = docs.select(doc_id, F.lower(text).alias("_text"))
-    names = titles.select(title_id, F.lower(title).alias("_title")).where(F.length("_title") >= 3)
-    starts = F.array_distinct(F.regexp_extract_all("_text", F.lit("(?s)(?=(...))"), 1))
-    met = low.select(doc_id, F.explode(starts).alias("_start")).join(names.withColumn("_start", F.substring("_title", 1, 3)), "_start")
-    return met.join(low, doc_id).where(F.contains("_text", "_title")).select(doc_id, title_id).distinct()
+    names = titles.select(title_id, F.lower(title).alias("_title")).where(F.length("_title") >= 3).distinct()
+    blocks = max(1, -(-(names.agg(F.sum(F.octet_length("_title") + 64)).first()[0] or 0) // block_bytes))
+    kind = titles.schema[title_id].dataType
+    schema = T.StructType([docs.schema[doc_id], T.StructField("title_id", kind)])
+    out = None
+    for k in range(blocks):
+        ids: dict[str, list] = {}
+        for r in names.where(F.pmod(F.xxhash64("_title"), F.lit(blocks)) == k).toLocalIterator():
+            ids.setdefault(r["_title"], []).append(r[title_id])
+        if not ids:
+            continue
+        part = low.mapInArrow(_mentioned(spark.sparkContext.broadcast(ids), to_arrow_type(kind)), schema)
+        out = part if out is None else out.unionByName(part)
+    return (spark.createDataFrame([], schema) if out is None else out).distinct().withColumnRenamed("title_id", title_id)
 
 
 def edge_counts(edges: DataFrame, kind: str) -> DataFrame:

@@ -40,11 +40,44 @@ def latest_in_day(df: DataFrame, keys: Sequence[str], ts: str, value: str) -> Da
     return df.groupBy(*keys, F.to_date(ts).alias("day")).agg(F.max_by(value, F.col(ts)).alias("last_value"))
 
 
+def last_so_far(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, out: str) -> DataFrame:
+    """df with out: the last value that isn't null among the rows of its group up to it, by the columns of order, however large a group is.
+
+    Rows are dealt by ranges of keys and order, and looked at within a range. What a range begins with is the end of those before it: of
+    the last values of two neighbouring ranges the later one counts if it is of the same group and not null, so one value
+    for each range is all that has to be passed on.
+    """
+    spark = df.sparkSession
+    rows = df.withColumn("_v", value).withColumn("_k", F.to_json(F.struct(*keys)))
+    dealt = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys, *order)
+    own = settled(dealt.withColumn("_p", F.spark_partition_id()), "ranges")
+    place = F.struct(*keys, *order)
+    known = F.max_by(F.struct("_k", "_v"), F.when(F.col("_v").isNotNull(), place))
+    ends = own.groupBy("_p").agg(F.min_by("_k", place).alias("first"), F.max_by("_k", place).alias("last"), known.alias("known"))
+    added, key, held = [], None, None
+    for r in sorted(ends.collect(), key=lambda r: r["_p"]):
+        before = held if r["first"] == key else None
+        if before is not None:
+            added.append((r["_p"], r["first"], before))
+        key = r["last"]
+        if r["known"] is not None and r["known"]["_k"] == key:
+            held = r["known"]["_v"]
+        elif r["first"] != key:
+            held = None
+        else:
+            held = before
+    schema = T.StructType([T.StructField("_p", T.IntegerType()), T.StructField("_k", T.StringType()), T.StructField("_before", own.schema["_v"].dataType)])
+    more = F.broadcast(spark.createDataFrame(added, schema))  # one row for each range at most
+    w = Window.partitionBy("_p", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    seen = own.withColumn(out, F.last("_v", ignorenulls=True).over(w)).join(more, ["_p", "_k"], "left")
+    return seen.withColumn(out, F.coalesce(out, "_before")).select(*df.columns, out)
+
+
 def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], ts: str, value: str, tolerance_s: int) -> DataFrame:
     """left with right_ts and right_value: the newest right row of the keys at or before ts, tolerance_s seconds at most.
 
-    Left rows without one are dropped; a right value of 0 counts. Both sides are put in one order by a single
-    exchange on the keys.
+    Left rows without one are dropped; a right value of 0 counts. Both sides are put in one order, and dealt by ranges of it (see last_so_far()), so
+    a key may hold any share of the rows.
     """
     names = left.columns
     l_rows = left.select(*names, F.lit(None).cast(right.schema[ts].dataType).alias("_rts"), F.lit(None).cast(right.schema[value].dataType).alias("_rval"), F.lit(1).alias("_side"))
@@ -52,8 +85,7 @@ def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], ts: str, v
         *[F.col(c) if c in keys or c == ts else F.lit(None).cast(left.schema[c].dataType).alias(c) for c in names],
         F.col(ts).alias("_rts"), F.col(value).alias("_rval"), F.lit(0).alias("_side"),
     )
-    w = Window.partitionBy(*keys).orderBy(F.col(ts), F.col("_side"), F.col("_rval")).rowsBetween(Window.unboundedPreceding, 0)
-    seen = l_rows.unionByName(r_rows).withColumn("_hit", F.last(F.when(F.col("_side") == 0, F.struct("_rts", "_rval")), ignorenulls=True).over(w))
+    seen = last_so_far(l_rows.unionByName(r_rows), keys, [ts, "_side", "_rval"], F.when(F.col("_side") == 0, F.struct("_rts", "_rval")), "_hit")
     near = F.unix_seconds(F.col(ts).cast("timestamp")) - F.unix_seconds(F.col("_hit._rts").cast("timestamp")) <= tolerance_s
     hit = seen.where((F.col("_side") == 1) & F.col("_hit").isNotNull() & near)
     return hit.select(*names, F.col("_hit._rts").alias("right_ts"), F.col("_hit._rval").alias("right_value"))

@@ -69,6 +69,22 @@ def test_mentions_equal_brute_force(spark):
     want = sorted((d, t) for d, x in docs for t, n in titles if x and n and len(n) >= 3 and n.lower() in x.lower())
     got = notes.mentions(spark.createDataFrame(docs, "d int, x string"), "d", "x", spark.createDataFrame(titles, "t int, n string"), "t", "n")
     assert sorted(map(tuple, got.collect())) == want
+    several = notes.mentions(spark.createDataFrame(docs, "d int, x string"), "d", "x", spark.createDataFrame(titles, "t int, n string"), "t", "n", block_bytes=100)
+    assert sorted(map(tuple, several.collect())) == want
+    none = notes.mentions(spark.createDataFrame(docs, "d int, x string"), "d", "x", spark.createDataFrame([(1, "AI")], "t int, n string"), "t", "n")
+    assert none.count() == 0 and none.columns == ["d", "t"]
+
+
+@pytest.mark.parametrize("text,since", [("mare 2024", "2024-01-01"), ("octember 2024", "2024-01-01"), ("junuary 2023", None), ("Sept 2024", "2024-09-01"), ("in SEPTEMBER 2023", "2023-09-01"), ("may 2022", "2022-05-01"), ("dec  2021", "2021-12-01"), ("marched 1999", None), ("mar 1999", "1999-03-01")])
+def test_months_by_their_names(spark, text, since):
+    got = spark.createDataFrame([(text,)], "t string").select(notes.anchors(F.col("t"), (), F.lit(TODAY)).alias("a")).first().a.since
+    year = since or (f"{text[-4:]}-01-01" if text[-4:].startswith("20") else None)
+    assert str(got) == str(year)
+
+
+def test_dots_behind_an_abbreviation(spark):
+    rows = spark.createDataFrame([("He said No.. Then he left. Yes... Then we ate.",)], "t string")
+    assert rows.select(notes.sentences(F.col("t")).alias("s")).first().s == ["He said No.. Then he left.", "Yes...", "Then we ate."]
 
 
 def test_notes_and_feeds(spark, tmp_path):

@@ -101,6 +101,18 @@ def local_path(uri: str) -> str:
     return uri[len("file://") :] if uri.startswith("file://") else uri.removeprefix("file:")
 
 
+#: Rows that go to and from Python together: with the usual ten thousand, texts of some kilobytes make batches of tens of
+#: megabytes, which are held several times over on both sides.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Has the session send whole texts to Python in batches of BATCH_ROWS at most."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 #: What operators keep in a reused worker from task to task, by operator: how to drop it.
 _KEPT: dict[str, Callable[[], None]] = {}
 

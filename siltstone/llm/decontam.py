@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import give_back, join_hot, only, written
+from siltstone.llm.common import give_back, join_hot, only, small_batches, written
 
 _WORDS = bytes(
     c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256)
@@ -246,6 +246,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, bl
     once, repeated rows of docs are all returned; only doc_id, item_id and text are looked at.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     items = benchmark.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))

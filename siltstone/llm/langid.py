@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import give_back, only
+from siltstone.llm.common import give_back, only, small_batches
 
 #: Hashed features of a vector, as bits.
 BITS = 12
@@ -119,6 +119,7 @@ def fit(train: DataFrame, per_lang: int = 400, clusters: int = 4, slack: float =
     has a bounded size.
     """
     spark = train.sparkSession
+    small_batches(spark)
     texts = train.select("lang", F.xxhash64("text", F.lit(3)).alias("a"), F.xxhash64("text", F.lit(5)).alias("b")).distinct()
     sizes = texts.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy("lang").limit(max_langs + 1).collect()
     if len(sizes) > max_langs:
@@ -164,6 +165,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     that centroid's farthest training text (with slack) is rejected but keeps its nearest language. Long texts
     count whole; repeated rows get the same answer; an empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     rest = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
     base = docs.select(*rest)
     if text_col != "text":

@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import give_back, join_hot, keeps, only, settled, written
+from siltstone.llm.common import give_back, join_hot, keeps, only, settled, small_batches, written
 
 #: Counters of the frequency sketch: a fixed size, whatever the corpus.
 SKETCH_BITS = 22
@@ -476,6 +476,7 @@ def similarity_groups(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5
 
 def _similarity_groups(docs: DataFrame, size: int, num: int, den: int, long: int) -> DataFrame:
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     every = written(rows.mapInArrow(_sets(size), _SETS), "shingle-sets")
     sets = _numbered(every)

@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import give_back, only, written
+from siltstone.llm.common import give_back, only, small_batches, written
 from siltstone.llm.encoding import encoder
 
 _PIECES = "uid long, doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -189,6 +189,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, size: int = 4096, bl
     columns are ignored; an empty table gives no rows.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    small_batches(docs.sparkSession)
     left = written(rows.mapInArrow(_cutter(tokenizer_path, end_id, size), _PIECES), "pieces")
     closed, n, round_, before, under = [], left.count(), 0, None, None
     while True:

@@ -36,12 +36,60 @@ def communities(edges: DataFrame, rounds: int = 20, seed: int = 42) -> DataFrame
     A round is three joins and two aggregates; nothing is gathered in one task. Community totals are pre-aggregated,
     so a hub or a huge community is one row wherever it is joined.
     """
+    way, degree, total = _graph(edges)
+    best, _ = _local_moves(way, degree, total, 0.0, rounds, seed)
+    return _named(best, best.select("node", "community"))
+
+
+def louvain(edges: DataFrame, rounds: int = 12, levels: int = 10, seed: int = 42, least_edges: int = 0) -> DataFrame:
+    """node, community (its smallest node) by local moves and merging in turn, until modularity stops rising.
+
+    On each level the communities of the last one are nodes: links between two of them are added up, and links inside stay
+    with them as a loop, which counts in their degree. Merging two communities can raise modularity where moving single nodes can't.
+    Graphs of fewer than least_edges pairs of nodes give no rows. Nothing is gathered in one task; a level has as many nodes as the last one
+    has communities.
+    """
+    way, degree, total = _graph(edges)
+    if least_edges and way.count() < 2 * least_edges:
+        return degree.select("node", F.col("node").alias("community")).limit(0)
+    member, inner, reached = degree.select("node", F.col("node").alias("community")), 0.0, None
+    for level in range(levels):
+        state, q = _local_moves(way, degree, total, inner, rounds, seed + 1000 * level)
+        if reached is not None and q <= reached + 1e-12:
+            break
+        reached = q
+        up = state.select(F.col("node").alias("community"), F.col("community").alias("_up"))
+        member = settled(member.join(up, "community").select("node", F.col("_up").alias("community")), "members")
+        a = state.select(F.col("node").alias("src"), F.col("community").alias("_a"))
+        b = state.select(F.col("node").alias("dst"), F.col("community").alias("_b"))
+        drawn = settled(way.join(a, "src").join(b, "dst").groupBy(F.col("_a").alias("src"), F.col("_b").alias("dst")).agg(F.sum("weight").alias("weight")), "merged-ways")
+        inner += drawn.where("src = dst").agg(F.coalesce(F.sum("weight"), F.lit(0)).cast("double").alias("x")).first()["x"]
+        way = drawn.where("src <> dst")
+        degree = settled(state.groupBy(F.col("community").alias("node")).agg(F.sum("degree").alias("degree")), "merged-degrees")
+        if way.isEmpty():
+            break
+    return _named(member, member)
+
+
+def _graph(edges: DataFrame) -> tuple[DataFrame, DataFrame, float | None]:
+    """Links both ways, degrees of the nodes, and their sum (null without links)."""
     way = settled(undirected(edges), "ways")
     degree = settled(way.groupBy("src").agg(F.sum("weight").cast("double").alias("degree")).withColumnRenamed("src", "node"), "degrees")
-    total = degree.agg(F.sum("degree").alias("m2")).first()["m2"]
+    return way, degree, degree.agg(F.sum("degree").alias("m2")).first()["m2"]
+
+
+def _named(members: DataFrame, state: DataFrame) -> DataFrame:
+    names = members.groupBy("community").agg(F.min("node").alias("_name"))
+    return state.join(names, "community").select("node", F.col("_name").alias("community"))
+
+
+def _local_moves(way: DataFrame, degree: DataFrame, total: float | None, inner: float, rounds: int, seed: int) -> tuple[DataFrame, float]:
+    """The best state (node, degree, community) of so many rounds, and its modularity; inner: the weight of loops, which no move changes."""
     state = settled(degree.withColumn("community", F.col("node")), "communities")
-    best, best_q = state, _modularity(way, state, total) if total else 0.0
-    for k in range(rounds if total else 0):
+    if not total:
+        return state, 0.0
+    best, best_q = state, _modularity(way, state, total) + inner / total
+    for k in range(rounds):
         sizes = state.groupBy("community").agg(F.sum("degree").alias("_size"))
         side = state.select(F.col("node").alias("dst"), "community")
         links = way.join(side, "dst").groupBy(F.col("src").alias("node"), "community").agg(F.sum("weight").alias("_in"))
@@ -58,12 +106,11 @@ def communities(edges: DataFrame, rounds: int = 20, seed: int = 42) -> DataFrame
         pick = options.groupBy("node").agg(F.max_by("community", F.struct(gain, F.col("community") == F.col("_own"))).alias("_new"), F.max(gain).alias("_gain"), stays.alias("_stay"))
         moves = pick.join(base, "node").where(F.col("_gain") > F.coalesce("_stay", F.round("_base", 9))).select("node", "_new")
         new = settled(state.join(moves, "node", "left").select("node", "degree", F.coalesce("_new", "community").alias("community")), "communities")
-        q = _modularity(way, new, total)
+        q = _modularity(way, new, total) + inner / total
         if q > best_q:
             best, best_q = new, q
         state = new
-    names = best.groupBy("community").agg(F.min("node").alias("_name"))
-    return best.join(names, "community").select("node", F.col("_name").alias("community"))
+    return best, best_q
 
 
 def _modularity(way: DataFrame, state: DataFrame, total: float) -> float:

@@ -6,7 +6,7 @@ import math
 import duckdb
 import pytest
 
-from siltstone.plans import desk, discovery, documents, lifecycle, market, streams  # noqa: F401
+from siltstone.plans import desk, discovery, documents, lifecycle, market, research, streams  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

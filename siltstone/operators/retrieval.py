@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.operators.timeseries import numbered
+from siltstone.shared import settled
 
 #: BM25's constants and the ladder of weights for the items of one group (fixed values).
 K1, B = 1.2, 0.75
@@ -26,12 +27,13 @@ def tokens(text: Column) -> Column:
 def bm25(docs: DataFrame, doc_id: str, text: str, terms: Sequence[str]) -> DataFrame:
     """doc_id, score of each document with one of the terms; terms that most documents hold count next to nothing.
 
-    Two passes over the documents and no shuffle of their tokens: one adds up the few corpus statistics (a single row,
-    which is broadcast), the other one scores.
+    Texts are split once, and none of their tokens is shuffled: the few counts of each document are written, and read for the
+    corpus statistics (a single row, which is broadcast) and for the scores.
     """
-    own = docs.select(doc_id, tokens(F.col(text)).alias("_t"))
+    # the generator keeps the split from being worked out anew for each term
+    own = docs.select(doc_id, F.explode(F.array(tokens(F.col(text)))).alias("_t"))
     tf = [(F.size("_t") - F.size(F.array_remove("_t", t))).alias(f"_tf{i}") for i, t in enumerate(terms)]
-    rows = own.select(doc_id, F.size("_t").alias("_len"), *tf)
+    rows = settled(own.select(doc_id, F.size("_t").alias("_len"), *tf), "term-counts")
     stats = rows.agg(F.count(F.lit(1)).alias("_n"), F.avg("_len").alias("_avg"), *[F.count_if(F.col(f"_tf{i}") > 0).alias(f"_df{i}") for i in range(len(terms))])
     score = F.lit(0.0)
     for i in range(len(terms)):

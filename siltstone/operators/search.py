@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.operators import notes
 from siltstone.operators.graph import both_ways
 from siltstone.operators.retrieval import cosine
 from siltstone.shared import settled
@@ -28,6 +29,46 @@ def hybrid_rerank(results: DataFrame, nodes: DataFrame, key: str, now: Column, n
     return met.select(*results.columns, score.alias("hybrid_score"))
 
 
+def composed(
+    chunks: DataFrame, nodes: DataFrame, hits: DataFrame, terms: Sequence[str], fields: Sequence[str], k: int, allowed: Column | None = None, least_terms: int = 2, weights: tuple[float, float] = (1.0, 0.5), c: int = 60, **decay
+) -> DataFrame:
+    """node, ord, similarity, decay_weight, score, lexical_only, place of the first k chunks for a question, by vectors and words together.
+
+    chunks: node, ord and the fields that words are looked for in. nodes: node and what allowed and decay need. hits: node, ord and
+    similarity of the nearest chunks, fetched beyond k (vector_index.overfetch). Both legs keep only nodes that are allowed, by the
+    question's anchors. Of the words' leg, max(4k, 24) chunks count, if the question has least_terms terms. Each leg's places make
+    the order, weight / (c + place); chunks that only words find come behind all others, with 1 / (1 + BM25) as similarity. The
+    decay (of notes.decayed: group, newest, kind, evergreen, floor, overrides) is worked out over all nodes of both legs,
+    and what it brings to zero goes; score is similarity times decay. The legs have as many rows as were fetched, whatever the tables hold.
+    """
+    known = nodes if allowed is None else nodes.where(allowed)
+    pool = settled(hits.select("node", "ord", "similarity").join(known, "node"), "vector-leg")
+    columns = [x for x in pool.columns if x not in ("node", "ord", "similarity")]
+
+    def weighed(rows: DataFrame) -> DataFrame:
+        return notes.decayed(rows.select("node", *columns).dropDuplicates(["node"]), **decay).select("node", F.col("weight").alias("decay_weight"))
+
+    first = pool.join(weighed(pool), "node").withColumn("score", F.col("similarity") * F.col("decay_weight"))
+    # from here on all tables are as short as what was fetched
+    one = Window.orderBy(F.desc("score"), "node", "ord")
+    placed = first.select("node", "ord", "similarity", (F.row_number().over(one) - 1).alias("_v"))
+    if len(terms) < least_terms:
+        out = first.select("node", "ord", "similarity", "decay_weight", "score", F.lit(False).alias("lexical_only"))
+        return out.withColumn("place", F.row_number().over(one)).where(F.col("place") <= k)
+    found = notes.lexical(chunks.select(F.struct("node", "ord").alias("_key"), *fields), "_key", list(fields), terms)
+    found = found.select("_key.node", "_key.ord", "score", "lexical_score").join(known, "node")
+    found = settled(found.orderBy(F.desc(F.round("score", 9)), "node", "ord").limit(max(4 * k, 24)), "word-leg")
+    words = found.select("node", "ord", "lexical_score", (F.row_number().over(Window.orderBy(F.desc(F.round("score", 9)), "node", "ord")) - 1).alias("_l"))
+    both = placed.join(words, ["node", "ord"], "full")
+    rrf = F.coalesce(weights[0] / (c + F.col("_v")), F.lit(0.0)) + F.coalesce(weights[1] / (c + F.col("_l")), F.lit(0.0))
+    again = weighed(pool.select("node", *columns).unionByName(found.select("node", *columns)))
+    similarity = F.coalesce("similarity", "lexical_score")
+    rows = both.withColumn("_rrf", F.round(rrf, 12)).join(again, "node")
+    rows = rows.select("node", "ord", similarity.alias("similarity"), "decay_weight", (similarity * F.col("decay_weight")).alias("score"), F.col("_v").isNull().alias("lexical_only"), "_rrf")
+    order = Window.orderBy("lexical_only", F.desc("_rrf"), "node", "ord")
+    return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).drop("_rrf")
+
+
 def beam_search(edges: DataFrame, vectors: DataFrame, node: str, vector: str, query: Sequence[float], seeds: int = 3, hops: int = 4, width: int = 5, prune: float = 0.5, target: int = 10, quality: float | None = 0.65) -> tuple[DataFrame, DataFrame]:
     """Two tables: found (node, similarity, hop) and rejected (node, similarity, hop, reason).
 

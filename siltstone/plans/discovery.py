@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siltstone.functions import text
-from siltstone.operators import names, stemmed, vector_index
+from siltstone.operators import names, search, stemmed, vector_index
+from siltstone.plans import documents
 from siltstone.plans.market import query, table
 
 _COS = "list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))"
@@ -94,3 +95,37 @@ def near_duplicate_names(spark, sf_dir):
     """Targets of the pages' links that look like one another; the tests compare all with all."""
     targets = table(spark, sf_dir, "pages").select(F.explode(F.regexp_extract_all("html", F.lit('href="/([^"]*)"'), 1)).alias("name"))
     return names.near_duplicates(targets, "name", 0.85)
+
+
+_PLACE_DAY = "DATE '2024-01-01' + CAST(n_chars % 400 AS INT)"
+
+
+@query(f"""
+    WITH {documents._bm25_sql()},
+    n AS (SELECT doc_id AS node, lang AS kind, source, {_PLACE_DAY} AS published, doc_id % 50 = 0 AS evergreen FROM documents WHERE lang IN ('en', 'de', 'fr') AND {_PLACE_DAY} >= DATE '2024-02-01'),
+    h AS (SELECT v.vec_id AS node, {_COS} AS s FROM embeddings v, embeddings q WHERE q.vec_id = 100 ORDER BY s DESC, node LIMIT 160),
+    pool AS (SELECT * FROM h JOIN n USING (node)),
+    w1 AS (SELECT node, CASE WHEN evergreen OR source IS NULL THEN 1 WHEN kind = 'de' THEN CASE r WHEN 1 THEN 1 WHEN 2 THEN 0.5 ELSE 0 END WHEN r <= 5 THEN ([1.0, 0.6, 0.45, 0.35, 0.25])[r] ELSE 0.2 END::DOUBLE AS w
+           FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY published DESC, node DESC) AS r FROM pool)),
+    v AS (SELECT node, s, row_number() OVER (ORDER BY s * w DESC, node) - 1 AS r FROM pool JOIN w1 USING (node) WHERE w > 0),
+    lex AS (SELECT doc_id AS node, score, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) - 1 AS r FROM bm JOIN n ON n.node = doc_id QUALIFY r < 40),
+    every AS (SELECT node, kind, source, published, evergreen FROM pool UNION SELECT n.* FROM n JOIN lex USING (node)),
+    w2 AS (SELECT node, CASE WHEN evergreen OR source IS NULL THEN 1 WHEN kind = 'de' THEN CASE r WHEN 1 THEN 1 WHEN 2 THEN 0.5 ELSE 0 END WHEN r <= 5 THEN ([1.0, 0.6, 0.45, 0.35, 0.25])[r] ELSE 0.2 END::DOUBLE AS w
+           FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY published DESC, node DESC) AS r FROM every)),
+    m AS (SELECT node, coalesce(v.s, 1 / (1 + abs(lex.score))) AS sim, v.r IS NULL AS lexical_only, round(coalesce(1.0::DOUBLE / (60 + v.r), 0) + coalesce(0.5::DOUBLE / (60 + lex.r), 0), 12) AS rrf FROM v FULL JOIN lex USING (node))
+    SELECT node, 0 AS ord, round(sim, 5) AS similarity, w AS decay_weight, round(sim * w, 5) AS score, lexical_only, CAST(row_number() OVER (ORDER BY lexical_only, rrf DESC, node) AS INT) AS place
+    FROM m JOIN w2 USING (node) WHERE w > 0 QUALIFY place <= 10""")
+def search_hybrid(spark, sf_dir):
+    """A question of words and a vector over all documents and vectors, with anchors, both legs, their fusion and decay."""
+    docs, vectors = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")
+    published = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("n_chars") % 400).cast("int"))
+    nodes = docs.select(F.col("doc_id").alias("node"), F.col("lang").alias("kind"), "source", published.alias("published"), (F.col("doc_id") % 50 == 0).alias("evergreen"))
+    chunks = docs.select(F.col("doc_id").alias("node"), F.lit(0).alias("ord"), "text")
+    asked = vectors.where("vec_id = 100").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    k = 10
+    hits = vector_index.search(vector_index.build(vectors, "vec_id", "embedding"), asked, vector_index.overfetch(k, anchored=True), exact=True)
+    hits = hits.select(F.col("id").alias("node"), F.lit(0).alias("ord"), "similarity")
+    allowed = F.col("kind").isin("en", "de", "fr") & (F.col("published") >= F.lit("2024-02-01").cast("date"))
+    how = {"group": "source", "newest": [F.desc("published"), F.desc("node")], "kind": "kind", "evergreen": F.col("evergreen"), "floor": 0.2, "overrides": {"de": ((1.0, 0.5), 0.0)}}
+    got = search.composed(chunks, nodes, hits, documents._TERMS, ["text"], k, allowed, **how)
+    return got.withColumns({c: F.round(c, 5) for c in ("similarity", "score")})

@@ -65,3 +65,69 @@ def test_copies_do_not_thin_the_sample(spark):
     train = spark.range(60_000).select(F.concat(F.lit("l"), F.col("id") % 20).alias("lang"), F.concat(F.lit("some words of "), F.sha2((F.col("id") % 20).cast("string"), 256)).alias("text"))
     model = langid.fit(train)
     assert sorted(set(model.langs)) == sorted(f"l{k}" for k in range(20))
+
+
+def plain_vector(text, idf):
+    """The TF-IDF vector, n-gram by n-gram in Python's whole numbers."""
+    import math
+    import re
+    from collections import Counter
+
+    kept = re.sub(" +", " ", "".join(c if c >= "\x80" or "a" <= c <= "z" else " " for c in text.lower()))
+    counts = Counter()
+    for n in (1, 2, 3):
+        for i in range(len(kept) - n + 1):
+            h = 0
+            for c in kept[i : i + n]:
+                h = (h * 31 + ord(c) * 0x9E3779B1) % 2**32
+            counts[((h ^ (h >> 15)) * 0x85EBCA6B) % 2**32 >> (32 - langid.BITS)] += 1
+    v = {k: math.log1p(c) * (idf[k] if idf is not None else 1.0) for k, c in counts.items()}
+    norm = math.sqrt(sum(x * x for x in v.values())) or 1.0
+    return {k: x / norm for k, x in v.items()}
+
+
+def test_vectors_nearest_centroids_and_rejection_by_brute_force(spark):
+    import math
+    from collections import Counter
+
+    docs = sample(spark)
+    train = langid.training_rows(docs)
+    model = langid.fit(train)
+    texts = [(r.lang, r.text) for r in train.collect()]
+    df = Counter(k for _, t in texts for k in plain_vector(t, None))
+    want = [math.log((1 + len(texts)) / (1 + df[k])) + 1 if df[k] else 0.0 for k in range(1 << langid.BITS)]
+    assert all(math.isclose(a, b, rel_tol=1e-9) or not df[k] for k, (a, b) in enumerate(zip(model.idf.tolist(), want, strict=True)))
+    centroids = [{k: x for k, x in enumerate(c.tolist()) if x} for c in model.centroids]
+
+    def near(text):
+        v = plain_vector(text, want)
+        return [sum(x * c.get(k, 0.0) for k, x in v.items()) for c in centroids]
+
+    # a centroid is the mean direction of the texts that are nearest to it among those of its language, and no farther from any of them than its floor says
+    for lang in sorted(set(model.langs)):
+        own = [j for j, x in enumerate(model.langs) if x == lang]
+        members = {j: [] for j in own}
+        for text in sorted({t for x, t in texts if x == lang}):
+            cos = near(text)
+            best = max(own, key=lambda j: cos[j])
+            members[best].append((cos[best], plain_vector(text, want)))
+        for j in own:
+            if members[j]:
+                assert model.floor[j] <= 0.5 * min(c for c, _ in members[j]) + 1e-4
+                mean = Counter()
+                for _, v in members[j]:
+                    mean.update(v)
+                norm = math.sqrt(sum(x * x for x in mean.values()))
+                assert sum(x / norm * centroids[j].get(k, 0.0) for k, x in mean.items()) > 0.98
+    odd = ["x", "zz top", "Ωμέγα και άλφα", "the " * 400, "12 a", "q" * 3000]
+    for text in [t for _, t in texts[:60]] + [r.text for r in docs.where(langid.held_out()).collect() if r.text] + odd:
+        cos = near(text)
+        best = max(range(len(cos)), key=lambda j: cos[j])
+        lang, score, rejected = model.predict(text)
+        if not langid.has_letter(text):
+            assert (lang, score, rejected) == ("und", 0.0, True)
+            continue
+        assert math.isclose(score, min(1.0, max(0.0, cos[best])), abs_tol=1e-4)
+        assert lang == model.langs[best] or sorted(cos)[-1] - sorted(cos)[-2] < 1e-4
+        floor = model.floor[best] * min(1.0, len(text) / langid.FULL) ** 0.5
+        assert rejected == (cos[best] < floor) or abs(cos[best] - floor) < 1e-4

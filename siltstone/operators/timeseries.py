@@ -1,7 +1,7 @@
 """Series operators: latest rows, as-of joins, gap filling, trailing windows and cross-sections.
 
-All take and return DataFrames; a window is always partitioned by the series' keys, so series are worked on side
-by side and one series is never spread over tasks.
+All take and return DataFrames. Windows are partitioned by the series' keys; last_so_far(), in_blocks(), numbered() and
+keep_min_gap() also deal a single series out by ranges or blocks of its rows.
 """
 
 from __future__ import annotations
@@ -168,28 +168,51 @@ def log_returns(df: DataFrame, keys: Sequence[str], order: str, value: str) -> D
     return df.withColumn("ret", F.when(old.isNull(), None).when((old > 0) & (F.col(value) > 0), F.ln(F.col(value) / old)).otherwise(0.0))
 
 
-def rolling_correlation(a: DataFrame, b: DataFrame, order: str, value: str, window: int = 90) -> DataFrame:
+def in_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[Column], window: int, block: int = 50_000) -> tuple[DataFrame, Window]:
+    """df dealt into blocks of rows in order, and the frame of a row's last `window` rows in it; a series of any length is spread over blocks.
+
+    Each block begins with the window - 1 rows before it, for which _ahead is true: they are there to be looked back at, and are to be left out then.
+    """
+    size = max(block, 2 * window)
+    rows = numbered(df, keys, order, "_n")
+    own = F.floor((F.col("_n") - 1) / size)
+    late = (F.col("_n") - 1) % size >= size - (window - 1)
+    at = F.explode(F.when(late, F.array(F.struct(own.alias("b"), F.lit(False).alias("a")), F.struct((own + 1).alias("b"), F.lit(True).alias("a")))).otherwise(F.array(F.struct(own.alias("b"), F.lit(False).alias("a")))))
+    dealt = rows.withColumn("_at", at).withColumns({"_block": F.col("_at.b"), "_ahead": F.col("_at.a")}).drop("_at")
+    return dealt, Window.partitionBy("_block", *keys).orderBy("_n")
+
+
+def _corr(a: str, b: str, w: Window) -> Column:
+    """The correlation of two columns over a frame; 0 where one of them doesn't vary there."""
+    return F.coalesce(F.try_divide(F.covar_pop(a, b).over(w), F.stddev_pop(a).over(w) * F.stddev_pop(b).over(w)), F.lit(0.0))
+
+
+def rolling_correlation(a: DataFrame, b: DataFrame, order: str, value: str, window: int = 90, block: int = 50_000) -> DataFrame:
     """order, corr of the two series' returns over the last `window` common rows; null until there are that many, 0 if undefined.
 
-    The pair is one series: it is ordered in one window.
+    The pair is one series, which goes in blocks of rows (see in_blocks()).
     """
-    pair = a.select(order, F.col(value).alias("_a")).join(b.select(order, F.col(value).alias("_b")), order)
-    w = Window.partitionBy(F.lit(0)).orderBy(order).rowsBetween(1 - window, 0)
-    full = F.count(F.lit(1)).over(w) == window
-    return pair.select(order, F.when(full, F.coalesce(F.corr("_a", "_b").over(w), F.lit(0.0))).alias("corr"))
+    pair = a.select(order, F.col(value).alias("_a")).join(b.select(order, F.col(value).alias("_b")), order).withColumn("_pair", F.lit(0))
+    rows, w = in_blocks(pair, ["_pair"], [F.col(order)], window, block)
+    last = w.rowsBetween(1 - window, 0)
+    full = F.count(F.lit(1)).over(last) == window
+    return rows.withColumn("corr", F.when(full, _corr("_a", "_b", last))).where("NOT _ahead").select(order, "corr")
 
 
-def aligned_correlation(a: DataFrame, b: DataFrame, order: str, value: str, window: int = 90) -> DataFrame:
+def aligned_correlation(a: DataFrame, b: DataFrame, order: str, value: str, window: int = 90, block: int = 50_000) -> DataFrame:
     """order, corr of the log returns of two series of values, taken between the times that both have.
 
     A step with a value that isn't positive is left out. Null until there are `window` returns, 0 if undefined.
     """
-    pair = a.select(order, F.col(value).alias("_x")).join(b.select(order, F.col(value).alias("_y")), order)
-    w = Window.partitionBy(F.lit(0)).orderBy(order)
+    pair = a.select(order, F.col(value).alias("_x")).join(b.select(order, F.col(value).alias("_y")), order).withColumn("_pair", F.lit(0))
+    rows, w = in_blocks(pair, ["_pair"], [F.col(order)], 2, block)
     sound = (F.col("_x") > 0) & (F.col("_y") > 0) & (F.lag("_x").over(w) > 0) & (F.lag("_y").over(w) > 0)
-    steps = pair.select(order, *[F.when(sound, F.ln(F.col(c) / F.lag(c).over(w))).alias(r) for c, r in (("_x", "_a"), ("_y", "_b"))]).where("_a is not null")
+    steps = rows.select(order, "_pair", "_ahead", *[F.when(sound, F.ln(F.try_divide(F.col(c), F.lag(c).over(w)))).alias(r) for c, r in (("_x", "_a"), ("_y", "_b"))])
+    steps = steps.where("NOT _ahead AND _a IS NOT NULL").drop("_ahead")
+    rows, w = in_blocks(steps, ["_pair"], [F.col(order)], window, block)
     last = w.rowsBetween(1 - window, 0)
-    return steps.select(order, F.when(F.count(F.lit(1)).over(last) == window, F.coalesce(F.corr("_a", "_b").over(last), F.lit(0.0))).alias("corr"))
+    corr = F.when(F.count(F.lit(1)).over(last) == window, _corr("_a", "_b", last))
+    return rows.withColumn("corr", corr).where("NOT _ahead").select(order, "corr")
 
 
 def correlation_matrix(df: DataFrame, key: str, order: str, value: str, window: int = 90) -> DataFrame:
@@ -197,8 +220,8 @@ def correlation_matrix(df: DataFrame, key: str, order: str, value: str, window:
     last = latest_n(df, [key], [F.desc(order)], window)
     x = last.select(F.col(key).alias("a"), F.col(order).alias("_o"), F.col(value).alias("_x"))
     y = last.select(F.col(key).alias("b"), F.col(order).alias("_o"), F.col(value).alias("_y"))
-    corr = F.when(F.col("a") == F.col("b"), 1.0).otherwise(F.coalesce(F.corr("_x", "_y"), F.lit(0.0)))
-    return x.join(y, "_o").groupBy("a", "b").agg(F.coalesce(F.corr("_x", "_y"), F.lit(0.0)).alias("_c")).select("a", "b", F.when(F.col("a") == F.col("b"), 1.0).otherwise(F.col("_c")).alias("corr"))
+    corr = F.coalesce(F.try_divide(F.covar_pop("_x", "_y"), F.stddev_pop("_x") * F.stddev_pop("_y")), F.lit(0.0))
+    return x.join(y, "_o").groupBy("a", "b").agg(corr.alias("_c")).select("a", "b", F.when(F.col("a") == F.col("b"), 1.0).otherwise(F.col("_c")).alias("corr"))
 
 
 def every_kth_back(df: DataFrame, keys: Sequence[str], order: str, k: int, periods: int) -> DataFrame:

@@ -38,3 +38,15 @@ def test_as_of_join_with_a_hot_key(spark):
     # every window is within a range
     for part in joined._jdf.queryExecution().executedPlan().toString().split("Window [")[1:]:
         assert "_p" in part.split("]")[1] or "_p#" in part
+
+
+def test_trailing_windows_over_blocks(spark):
+    rng = random.Random(3)
+    rows = [(t, rng.choice([rng.uniform(1, 9), rng.uniform(1, 9), 0.0]), rng.uniform(1, 9)) for t in range(700)]
+    df = spark.createDataFrame(rows, "t long, x double, y double").repartition(5)
+    a, b = df.select("t", F.col("x").alias("v")), df.select("t", F.col("y").alias("v"))
+    for corr in (timeseries.rolling_correlation, timeseries.aligned_correlation):
+        whole = {r.t: r["corr"] for r in corr(a, b, "t", "v", 20).collect()}
+        cut = {r.t: r["corr"] for r in corr(a, b, "t", "v", 20, block=60).collect()}
+        assert whole.keys() == cut.keys() and sum(c is not None for c in whole.values()) > 200
+        assert all(c == cut[t] or abs(c - cut[t]) < 1e-9 for t, c in whole.items())

@@ -76,6 +76,15 @@ def removed(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def file_row() -> Column:
+    """Names a row of a table that is read from Parquet files as it stands: a 128-bit digest of the file's path, and the place in the file.
+
+    For tables right from spark.read, or with columns or rows left out; other tables don't have it, or have it several times.
+    """
+    path = F.col("_metadata.file_path")
+    return F.struct(F.xxhash64(path).alias("a"), F.xxhash64(path, F.lit(1)).alias("b"), F.col("_metadata.row_index").alias("i"))
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z only. lower() does just that for a text of ASCII characters and is much faster."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(

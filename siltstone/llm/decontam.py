@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from siltstone.llm.common import give_back, join_hot, only, small_batches, written
 
@@ -250,7 +252,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, bl
     items = benchmark.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    named = isinstance(docs.schema["doc_id"].dataType, StructType)  # other names of rows than numbers stay as they are
+    rows = docs.select(F.col("doc_id") if named else F.col("doc_id").cast("long").alias("doc_id"), "text")
+    kind = rows.schema["doc_id"].dataType
     texts = written(rows.select(_digest().alias("doc_id"), "text").dropDuplicates(["doc_id"]), "distinct-texts") if blocks > 1 else None
     parts = []
     for k in range(blocks):
@@ -258,7 +262,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, bl
         windows = Windows([(r["item_id"], words(r["text"])) for r in own.toLocalIterator()], size)
         shared = spark.sparkContext.broadcast(windows)
         if blocks == 1:
-            return rows.mapInArrow(_searcher(shared, pa.int64()), "doc_id long, " + _FOUND)
+            return rows.mapInArrow(_searcher(shared, to_arrow_type(kind)), f"doc_id {kind.simpleString()}, " + _FOUND)
         found = texts.mapInArrow(_searcher(shared, pa.string()), "doc_id string, " + _FOUND)
         parts.append(written(found.where(F.size("items") > 0), "contamination"))
     return _joined(rows, parts)

@@ -73,15 +73,20 @@ def exact_dedup(docs: DataFrame, keep: str = "min") -> DataFrame:
     )
 
 
-def keep_distinct(docs: DataFrame, keep: str = "min") -> DataFrame:
+def keep_distinct(docs: DataFrame, keep: str = "min", row: str | None = None) -> DataFrame:
     """The rows of docs that stay (see exact_dedup()), all columns. Rows with the same id and text count as one.
 
-    Rows are numbered once; only digests are grouped, and only numbers say which rows go. Null and empty texts are one
-    group; other columns may have any names; an empty table stays empty.
+    row: a column that names each row once and is the same in every reading; it isn't returned. Without it, the rows are written with a
+    number. Only digests are grouped, and only row names say which rows go. Null and empty texts are one group; other columns may
+    have any names; an empty table stays empty.
     """
-    named = {c: f"column{i}" for i, c in enumerate(docs.columns)}
+    named = {c: f"column{i}" for i, c in enumerate(docs.columns) if c != row}
     of = {name: c for c, name in named.items()}
-    numbered = written(docs.withColumnsRenamed(named).withColumn("row", F.monotonically_increasing_id()), "numbered")
+    if row is None:
+        numbered = written(docs.withColumnsRenamed(named).withColumn("row", F.monotonically_increasing_id()), "numbered")
+    else:
+        numbered = docs.withColumnsRenamed({**named, row: "row"})
     own = numbered.select(F.col(named["doc_id"]).alias("doc_id"), F.col(named["text"]).alias("text"), "row")
     stay = settled(docs.sparkSession, "staying", lambda: merge_runs(written(digests(own).drop("text"), "digests"), keep).select(F.col("best.row").alias("row")))
-    return numbered.join(stay, "row", "left_semi").drop("row").withColumnsRenamed(of)
+    # nearly all rows stay, so their names are shuffled like the rows, at any size
+    return numbered.join(stay.hint("shuffle_hash"), "row", "left_semi").drop("row").withColumnsRenamed(of)

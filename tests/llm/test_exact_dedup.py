@@ -62,3 +62,20 @@ def test_native_plan(spark):
 def test_keep_is_checked(spark):
     with pytest.raises(ValueError):
         exact_dedup(empty(spark), "last")
+
+
+def test_rows_named_by_their_files(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from siltstone.llm.common import file_row
+    from siltstone.llm.exact_dedup import keep_distinct
+    from tests.llm.cases import clashing, rows_of
+
+    clashing(spark).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    named = docs.withColumn("_row", file_row())
+    assert named.select("_row").distinct().count() == docs.count()
+    got = keep_distinct(named, keep="max", row="_row")
+    assert got.columns == docs.columns
+    assert rows_of(got, "doc_id", "text") == rows_of(keep_distinct(docs, keep="max"), "doc_id", "text")
+    assert keep_distinct(named.where(F.lit(False)), row="_row").count() == 0

@@ -6,11 +6,12 @@ documents; the last one returns the packed pieces. Between stages the documents
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm import decontam, exact_dedup, langid, ngram_join, packing
-from siltstone.llm.common import settled, written
+from siltstone.llm.common import file_row, settled, written
 from siltstone.llm.queries import WORD_BPE
 
 #: SQL can't express the classifier, nor the packing.
@@ -23,9 +24,17 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).where(~F.col("rejected")).select(*docs.columns)
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with _row, a name of each row: its place in its file, as stages read what the one before wrote; other tables are written once with numbers."""
+    try:
+        return docs.withColumn("_row", file_row())
+    except AnalysisException:
+        return written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+
+
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each text, the one with the largest doc_id."""
-    return exact_dedup.keep_distinct(docs, keep="max").select(*docs.columns)
+    return exact_dedup.keep_distinct(_numbered(docs), keep="max", row="_row").select(*docs.columns)
 
 
 def distinct_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +51,7 @@ def distinct_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that benchmark passages make up a twentieth of, or more. Each row is judged by its own text, whatever its id."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    rows = _numbered(docs)
     own = rows.select(F.col("_row").alias("doc_id"), "text")
     gone = settled(spark, "gone", lambda: decontam.decontaminate(own, benchmark).where("contaminated").select(F.col("doc_id").alias("_row")))
     return rows.join(gone, "_row", "left_anti").select(*docs.columns)

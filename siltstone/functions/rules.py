@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A bar's columns, and short names for sets of them (fixed values).
 FIELDS = ("open", "high", "low", "close", "volume", "amount")
@@ -90,6 +91,24 @@ def content_key(columns: Sequence[str]) -> Column:
     return F.sha2(F.to_json(F.struct(*[F.col(c) for c in sorted(columns)])), 256)
 
 
+def _in_order(value: Column, kind: T.DataType) -> Column:
+    """The value with the names in all structs and the keys of all maps inside it in order."""
+    if isinstance(kind, T.StructType):
+        fields = [_in_order(value[f.name], f.dataType).alias(f.name) for f in sorted(kind.fields, key=lambda f: f.name)]
+        return F.when(value.isNotNull(), F.struct(*fields))
+    if isinstance(kind, T.MapType):
+        keys = F.array_sort(F.map_keys(value))
+        return F.map_from_arrays(keys, F.transform(keys, lambda k: _in_order(F.element_at(value, k), kind.valueType)))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: _in_order(x, kind.elementType))
+    return value
+
+
+def nested_key(df: DataFrame, columns: Sequence[str]) -> Column:
+    """As content_key(), for columns of df that may hold structs, maps and arrays: equal objects get one key, however their names are ordered."""
+    return F.sha2(F.to_json(F.struct(*[_in_order(F.col(c), df.schema[c].dataType).alias(c) for c in sorted(columns)])), 256)
+
+
 def severity(pairs: Column, contradicting: Column, stale: Column) -> Column:
     """high for a contradictory pair or two sources against, medium for one, low for stale ones alone, else none; nulls are 0."""
     p, c, s = (F.coalesce(x, F.lit(0)) for x in (pairs, contradicting, stale))

@@ -85,3 +85,12 @@ def test_order_of_urgency(spark):
     df = spark.createDataFrame(rows, "slug string, e timestamp_ntz")
     got = desk.most_urgent(desk.with_risk(df, "e", F.lit("2026-05-01").cast("timestamp")), "slug", 9).orderBy("place").collect()
     assert [(r.slug, r.days_left, r.at_risk) for r in got] == [("past", -1, True), ("a", 3, True), ("b", 3, True), ("late", 30, False), ("never", None, False)]
+
+
+def test_nested_keys_whatever_the_order_of_names(spark):
+    one = spark.sql("SELECT map('b', 1, 'a', 2) AS m, named_struct('y', array(named_struct('q', 1, 'p', 2)), 'x', 'v') AS s, 7 AS n")
+    two = spark.sql("SELECT 7 AS n, named_struct('x', 'v', 'y', array(named_struct('p', 2, 'q', 1))) AS s, map('a', 2, 'b', 1) AS m")
+    other = spark.sql("SELECT 7 AS n, named_struct('x', 'v', 'y', array(named_struct('p', 1, 'q', 2))) AS s, map('a', 2, 'b', 1) AS m")
+    none = spark.sql("SELECT 7 AS n, CAST(NULL AS struct<x: string>) AS s, CAST(NULL AS map<string, int>) AS m")
+    keys = [df.select(rules.nested_key(df, ["m", "s", "n"])).first()[0] for df in (one, two, other, none)]
+    assert keys[0] == keys[1] and len(set(keys)) == 3

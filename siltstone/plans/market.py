@@ -297,7 +297,15 @@ def corr_matrix(spark, sf_dir):
     return timeseries.correlation_matrix(r, "event_type", "day", "ret", 20).withColumn("corr", F.round("corr", 4))
 
 
-@query()
+@query("""
+    WITH RECURSIVE e AS (SELECT user_id, event_type, epoch_us(ts) AS t, event_id AS id FROM events),
+    kept AS (
+        SELECT user_id, event_type, min({'t': t, 'id': id}) AS k FROM e GROUP BY ALL
+        UNION ALL
+        SELECT e.user_id, e.event_type, min({'t': e.t, 'id': e.id}) FROM kept JOIN e ON e.user_id = kept.user_id AND e.event_type = kept.event_type AND e.t >= kept.k.t + 3600000000 GROUP BY ALL),
+    n AS (SELECT user_id, event_type, k.t AS t, k.id AS id, lead(k.t) OVER (PARTITION BY user_id, event_type ORDER BY k.t) AS following FROM kept)
+    SELECT n.user_id, n.event_type, make_timestamp(n.t) AS kept_ts, n.id AS kept_id, count(e.id) - 1 AS n_dropped
+    FROM n JOIN e ON e.user_id = n.user_id AND e.event_type = n.event_type AND (e.t > n.t OR e.t = n.t AND e.id >= n.id) AND (n.following IS NULL OR e.t < n.following) GROUP BY ALL""")
 def dedupe_window(spark, sf_dir):
     """Events of a user and type that lie an hour or more after the last one kept."""
     return timeseries.keep_min_gap(table(spark, sf_dir, "events"), ["user_id", "event_type"], "ts", "event_id", 3600)

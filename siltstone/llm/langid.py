@@ -181,4 +181,5 @@ def held_out() -> Column:
 
 
 def training_rows(docs: DataFrame) -> DataFrame:
+    """text and lang of the rows to learn from: not held out, none of id, text and lang null. Repeated rows are all there; fit() takes each text once."""
     return docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("text", "lang")

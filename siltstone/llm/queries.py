@@ -20,12 +20,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in every text, a row for each row: a null text is empty, null ids and repeated rows stay, other columns are ignored. An empty table gives no rows."""
     from siltstone.llm.secret_scan import secret_scan
 
     return secret_scan(_table(spark, sf_dir, "documents"))
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A language for each row, repeated rows alike: null texts and those without a letter get und and 0. Rows with a null id or language aren't learned from. An empty table gives no rows."""
     from siltstone.llm import langid
 
     docs = _table(spark, sf_dir, "documents")
@@ -35,12 +37,14 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each row: null and empty texts are one group; of rows with the same id and text one is kept; an id counts before none. An empty table gives no rows."""
     from siltstone.llm.exact_dedup import exact_dedup
 
     return exact_dedup(_table(spark, sf_dir, "documents"), keep="max")
 
 
 def op4_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lengths and checksums read back from the files, a row for each row by doc_id: a null text is its end id alone, null ids come first, repeated ids keep all their rows. An empty table gives no rows."""
     from siltstone.llm.token_records import read_token_records, write_token_records
 
     folder = scratch(spark, "token-records")
@@ -49,24 +53,28 @@ def op4_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of benchmark windows, a row for each row, by its own text: null texts have no words; benchmark rows without an id are left out, repeated items count once. An empty table gives no rows."""
     from siltstone.llm.decontam import decontaminate
 
     return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("word_spans")
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of each row: null and wordless texts link with nothing; repeated rows are in one group; a null id never names a group that has another id. An empty table gives no rows."""
     from siltstone.llm.ngram_join import similarity_groups
 
     return similarity_groups(_table(spark, sf_dir, "documents"), size=4, num=85, den=100)
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases and notices in every text, a row for each row: a null text has no words; repeated rows get the same answer. An empty table gives no rows."""
     from siltstone.llm.license_scan import license_scan
 
     return license_scan(_table(spark, sf_dir, "documents"))
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all rows in sequences: a null text is its end id alone; repeated rows are packed each; pieces of equal lengths go in any order. An empty table gives no rows."""
     from siltstone.llm.packing import pack
 
     return pack(_table(spark, sf_dir, "documents"), WORD_BPE, end_id=1, size=4096)
@@ -80,6 +88,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents read back from the shards, a row for each row, whatever is null in it. An empty table gives no rows."""
     from siltstone.llm.sharding import shard_documents
 
     return shard_documents(_table(spark, sf_dir, "documents"), scratch(spark, "shards"), arrivals=4, target=128 << 20)

@@ -19,7 +19,7 @@ ORACLE_SQL = None
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts without a letter and those that are far from every language's centroids."""
+    """Drops texts without a letter, null ones too, and those that are far from every language's centroids. Repeated rows fare alike; an empty table stays empty."""
     model = langid.fit(langid.training_rows(docs))
     return langid.predict(docs, model).where(~F.col("rejected")).select(*docs.columns)
 
@@ -33,7 +33,7 @@ def _numbered(docs: DataFrame) -> DataFrame:
 
 
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each text, the one with the largest doc_id."""
+    """Keeps one document of each text, the one with the largest doc_id: null and empty texts are one text, an id counts before none, of equal rows one stays."""
     return exact_dedup.keep_distinct(_numbered(docs), keep="max", row="_row").select(*docs.columns)
 
 
@@ -58,7 +58,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents, packed into sequences of 4096 tokens."""
+    """The pieces of the documents, packed into sequences of 4096 tokens. A null text is its end id alone; repeated rows are packed each."""
     return packing.pack(docs, WORD_BPE, end_id=1, size=4096)
 
 

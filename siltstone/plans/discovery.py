@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siltstone.functions import text
-from siltstone.operators import names, search, stemmed, vector_index
+from siltstone.operators import names, pages, search, stemmed, vector_index
 from siltstone.plans import documents
 from siltstone.plans.market import query, table
 
@@ -129,3 +129,9 @@ def search_hybrid(spark, sf_dir):
     how = {"group": "source", "newest": [F.desc("published"), F.desc("node")], "kind": "kind", "evergreen": F.col("evergreen"), "floor": 0.2, "overrides": {"de": ((1.0, 0.5), 0.0)}}
     got = search.composed(chunks, nodes, hits, documents._TERMS, ["text"], k, allowed, **how)
     return got.withColumns({c: F.round(c, 5) for c in ("similarity", "score")})
+
+
+@query()
+def page_texts(spark, sf_dir):
+    """Title, shown text and link targets of every page; the tests read the pages in another way."""
+    return pages.page_text(table(spark, sf_dir, "pages"), "page_id", "html")

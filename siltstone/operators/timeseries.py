@@ -76,17 +76,21 @@ def last_so_far(df: DataFrame, keys: Sequence[str], order: Sequence[str], value:
 def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], ts: str, value: str, tolerance_s: int) -> DataFrame:
     """left with right_ts and right_value: the newest right row of the keys at or before ts, tolerance_s seconds at most.
 
-    Left rows without one are dropped; a right value of 0 counts. Both sides are put in one order, and dealt by ranges of it (see last_so_far()), so
+    Left rows without one are dropped, null keys meet nothing; a right value of 0 counts, of rows at one time the greatest. The distance is that of
+    the times to the microsecond. Both sides are put in one order, and dealt by ranges of it (see last_so_far()), so
     a key may hold any share of the rows.
     """
-    names = left.columns
+    names, known = left.columns, F.lit(True)
+    for c in keys:
+        known = known & F.col(c).isNotNull()
+    left, right = left.where(known), right.where(known)
     l_rows = left.select(*names, F.lit(None).cast(right.schema[ts].dataType).alias("_rts"), F.lit(None).cast(right.schema[value].dataType).alias("_rval"), F.lit(1).alias("_side"))
     r_rows = right.select(
         *[F.col(c) if c in keys or c == ts else F.lit(None).cast(left.schema[c].dataType).alias(c) for c in names],
         F.col(ts).alias("_rts"), F.col(value).alias("_rval"), F.lit(0).alias("_side"),
     )
     seen = last_so_far(l_rows.unionByName(r_rows), keys, [ts, "_side", "_rval"], F.when(F.col("_side") == 0, F.struct("_rts", "_rval")), "_hit")
-    near = F.unix_seconds(F.col(ts).cast("timestamp")) - F.unix_seconds(F.col("_hit._rts").cast("timestamp")) <= tolerance_s
+    near = F.col(ts) - F.col("_hit._rts") <= F.make_dt_interval(secs=F.lit(tolerance_s))
     hit = seen.where((F.col("_side") == 1) & F.col("_hit").isNotNull() & near)
     return hit.select(*names, F.col("_hit._rts").alias("right_ts"), F.col("_hit._rval").alias("right_value"))
 

@@ -40,6 +40,17 @@ def test_as_of_join_with_a_hot_key(spark):
         assert "_p" in part.split("]")[1] or "_p#" in part
 
 
+def test_as_of_join_at_the_edge_of_the_tolerance(spark):
+    """Parts of a second count, null keys meet nothing."""
+    day, micro = datetime.timedelta(days=1), datetime.timedelta(microseconds=1)
+    left = [("a", T0 + day, 1), ("b", T0 + day + micro, 2), ("c", T0 + day + 700_000 * micro, 3), (None, T0, 4), ("d", None, 5), ("e", T0 + day, 6)]
+    right = [("a", T0, 1.0), ("b", T0, 2.0), ("c", T0, 3.0), (None, T0, 4.0), ("d", T0, 5.0), ("e", None, 6.0)]
+    for kind in ("timestamp", "timestamp_ntz"):
+        schema = f"k string, ts {kind}"
+        joined = timeseries.asof_join(spark.createDataFrame(left, schema + ", i int"), spark.createDataFrame(right, schema + ", v double"), ["k"], "ts", "v", 86_400)
+        assert [r.i for r in joined.collect()] == [1]
+
+
 def test_trailing_windows_over_blocks(spark):
     rng = random.Random(3)
     rows = [(t, rng.choice([rng.uniform(1, 9), rng.uniform(1, 9), 0.0]), rng.uniform(1, 9)) for t in range(700)]

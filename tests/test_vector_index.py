@@ -1,6 +1,10 @@
 """The vector index against a search through everything."""
 
+import tracemalloc
+from types import SimpleNamespace
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,3 +97,18 @@ def test_temporal_pairs_are_left_out(spark):
     similar = vector_index.similar_nodes(chunks, "node", "ord", "id", "v", 6, exact=True)
     links = {(r.node, r.other, r.place) for r in vector_index.cross_links(similar, "node", text.temporal_pair).collect()}
     assert links == {("2024-01-01-apple", "pear", 1), ("2024-01-02-apple", "pear", 1), ("pear", "2024-01-02-apple", 1), ("pear", "2024-01-01-apple", 2), ("plum", "pear", 1)}
+
+
+def _lists(x):
+    return pa.array(x.tolist(), pa.list_(pa.float64()))
+
+
+def test_a_task_gives_out_few_rows_at_once():
+    """However many lists a query looks at, and however many queries a batch has."""
+    rng = np.random.default_rng(1)
+    c, q = rng.normal(size=(300, 8)), rng.normal(size=(2000, 8))
+    c /= np.linalg.norm(c, axis=1, keepdims=True)
+    shared = SimpleNamespace(value=(c, np.full(300, 3.0)))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2000), pa.int64()), _lists(q), pa.nulls(2000, pa.float64())], ["query_id", "q", "least"])
+    sizes = [b.num_rows for b in vector_index._probes(shared, 0, -1.0)([batch])]
+    assert sum(sizes) == 600_000 and max(sizes) < 20_000

@@ -112,3 +112,29 @@ def test_a_task_gives_out_few_rows_at_once():
     batch = pa.RecordBatch.from_arrays([pa.array(range(2000), pa.int64()), _lists(q), pa.nulls(2000, pa.float64())], ["query_id", "q", "least"])
     sizes = [b.num_rows for b in vector_index._probes(shared, 0, -1.0)([batch])]
     assert sum(sizes) == 600_000 and max(sizes) < 20_000
+
+
+def _block_pairs(n, rng):
+    """n rows of a slice of 1024 vectors and a block of 32 queries, with a least similarity of 0.4 for every other query."""
+    slices, blocks = [], []
+    for _ in range(n):
+        slices += [{"rep": j, "v": v} for j, v in enumerate(rng.normal(size=(1024, 16)).tolist())]
+        blocks += [{"query_id": j, "q": v, "least": 0.4 if j % 2 else None} for j, v in enumerate(rng.normal(size=(32, 16)).tolist())]
+    vector = pa.list_(pa.float64())
+    rows = pa.array(slices, pa.struct([("rep", pa.int64()), ("v", vector)]))
+    queries = pa.array(blocks, pa.struct([("query_id", pa.int64()), ("q", vector), ("least", pa.float64())]))
+    cut = [pa.ListArray.from_arrays(pa.array(range(0, len(x) + 1, len(x) // n), pa.int32()), x) for x in (rows, queries)]
+    return pa.RecordBatch.from_arrays(cut, ["rows", "queries"])
+
+
+def test_blocks_are_read_where_they_lie():
+    """A batch of many blocks takes no more Python memory than one of few."""
+    rng, peaks = np.random.default_rng(2), []
+    for n in (2, 40):
+        batch = _block_pairs(n, rng)
+        tracemalloc.start()
+        for _ in vector_index._meet(5, None)([batch]):
+            pass
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 1.5 * peaks[0], peaks

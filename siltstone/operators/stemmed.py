@@ -14,6 +14,10 @@ from siltstone.operators.retrieval import B, K1
 from siltstone.shared import settled
 
 
+#: Counts that a task holds before it gives them out, but for those of one document.
+ROWS = 1 << 14
+
+
 def _counted(batches):
     for b in batches:
         ids, terms, n, lengths = [], [], [], []
@@ -22,8 +26,10 @@ def _counted(batches):
             ids += [k] * len(counts)
             terms += counts
             n += counts.values()
-            lengths += [sum(counts.values())] * len(counts)
-        yield pa.RecordBatch.from_arrays([b["id"].take(pa.array(ids, pa.int64())), pa.array(terms, pa.string()), pa.array(n, pa.int64()), pa.array(lengths, pa.int64())], ["id", "word", "n", "length"])
+            lengths += [counts.total()] * len(counts)
+            if len(ids) >= ROWS or (ids and k == b.num_rows - 1):
+                yield pa.RecordBatch.from_arrays([b["id"].take(pa.array(ids, pa.int64())), pa.array(terms, pa.string()), pa.array(n, pa.int64()), pa.array(lengths, pa.int64())], ["id", "word", "n", "length"])
+                ids, terms, n, lengths = [], [], [], []
 
 
 def word_counts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 import re
 from difflib import SequenceMatcher
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,6 +62,15 @@ def test_bm25_over_stems(spark):
         assert got.keys() == want.keys() and all(math.isclose(got[d], want[d]) for d in want)
 
 
+def test_counts_come_in_small_batches():
+    """However many texts a batch has; those of one text may be more."""
+    texts = [" ".join(f"w{i}x{j}" for j in range(500)) for i in range(300)] + [None, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(302), pa.int64()), pa.array(texts)], ["id", "text"])
+    out = list(stemmed._counted([batch]))
+    assert max(b.num_rows for b in out) < 20_000
+    assert [(r["id"], r["word"], r["n"], r["length"]) for b in out for r in b.to_pylist()] == [(i, f"w{i}x{j}", 1, 500) for i in range(300) for j in range(500)]
+
+
 def test_query_over_stems(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     want = sorted(((-round(s, 5), d) for d, s in plain_bm25(docs, discovery._QUESTION).items()))[:20]

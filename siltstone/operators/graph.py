@@ -9,8 +9,8 @@ from siltstone.shared import settled
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
-    """Each edge in both directions, once."""
-    return edges.select("src", "dst").union(edges.select("dst", "src")).distinct()
+    """Each edge in both directions; repeats stay, so no task has to hold the edges."""
+    return edges.select("src", "dst").union(edges.select("dst", "src"))
 
 
 def pagerank(edges: DataFrame, rounds: int, damping: float = 0.85, tolerance: float | None = None) -> DataFrame:
@@ -41,8 +41,11 @@ def pagerank(edges: DataFrame, rounds: int, damping: float = 0.85, tolerance: fl
 
 
 def neighbourhood(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
-    """node, hops of all nodes within `depth` edges of the start nodes, edges counting in both directions."""
-    way = settled(both_ways(edges), "both-ways")
+    """node, hops of all nodes within `depth` edges of the start nodes, edges counting in both directions.
+
+    Edges may repeat: only what a front meets is made distinct, so tasks hold nodes, never the edges.
+    """
+    way = both_ways(settled(edges.select("src", "dst"), "edges"))
     seen = start.select("node", F.lit(0).alias("hops")).distinct()
     front = seen
     for k in range(1, depth + 1):

@@ -167,6 +167,11 @@ def ancestor_folders(spark, sf_dir):
     return graph.ancestors(table(spark, sf_dir, "pages"), "url").groupBy("folder", "depth").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _sold(spark, sf_dir):
+    """Suppliers to the parts that they have sold, an edge for each line."""
+    return table(spark, sf_dir, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst"))
+
+
 def _edges(spark, sf_dir):
     """Suppliers to the parts that they have sold, by the number of lines."""
     sold = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.count(F.lit(1)).alias("weight"))
@@ -199,4 +204,4 @@ def pagerank(spark, sf_dir):
     SELECT 's1' AS node, 0 AS hops UNION ALL SELECT node, 1 FROM h1 UNION ALL SELECT node, 2 FROM h2""")
 def neighbourhood(spark, sf_dir):
     start = spark.range(1).select(F.lit("s1").alias("node"))
-    return graph.neighbourhood(_edges(spark, sf_dir), start, 2)
+    return graph.neighbourhood(_sold(spark, sf_dir), start, 2)

@@ -81,12 +81,14 @@ def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _nearest(k: int, exclude_self: bool):
     def run(batches):
         for batch in batches:
-            for r in batch.to_pylist():
-                ids, queries = np.array(r["ids"]), np.array(r["q_ids"])
+            # a row at a time, its coordinates read where they lie
+            for i in range(batch.num_rows):
+                ids, queries = (batch[c].slice(i, 1).flatten().to_numpy() for c in ("ids", "q_ids"))
+                dim, q_dim = batch["dim"][i].as_py(), batch["q_dim"][i].as_py()
                 order = np.argsort(ids, kind="stable")
                 ids, sim = ids[order], np.full((len(ids), len(queries)), -np.inf)
-                if r["dim"] == r["q_dim"] and r["dim"] >= 0:
-                    v, q = (np.frombuffer(r[c], "<f8").reshape(n, r["dim"]) for c, n in (("data", len(ids)), ("q_data", len(queries))))
+                if dim == q_dim and dim >= 0:
+                    v, q = (np.frombuffer(batch[c][i].as_buffer(), "<f8").reshape(n, dim) for c, n in (("data", len(ids)), ("q_data", len(queries))))
                     v = v[order]
                     with np.errstate(all="ignore"):
                         norms = np.sqrt((_norms(v))[:, None]) * np.sqrt(_norms(q)[None, :])

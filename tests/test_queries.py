@@ -134,3 +134,30 @@ def test_queries_of_a_search_are_not_broadcast(spark):
     # 35 apart are equal vectors: the first ids win; null ones have no similarity, and ids decide
     assert all(places[i, p + 1] == i % 35 + 35 * p for i in range(600) for p in range(3) if i % 35)
     assert [places[600, p] for p in (1, 2, 3)] == [places[601, p] for p in (1, 2, 3)] == [0, 1, 2]
+
+
+def test_blocks_of_a_search_are_read_where_they_lie():
+    """A batch of many pairs of blocks takes no more Python memory than one of few."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from siltstone.operators import retrieval
+
+    def pairs(n):
+        v, q = np.ones((1024, 16)).tobytes(), np.ones((16, 16)).tobytes()
+        ids, asked = pa.array([list(range(1024))] * n, pa.list_(pa.int64())), pa.array([list(range(16))] * n, pa.list_(pa.int64()))
+        dims = pa.array([16] * n, pa.int32())
+        return pa.RecordBatch.from_arrays([ids, dims, pa.array([v] * n), asked, dims, pa.array([q] * n)], ["ids", "dim", "data", "q_ids", "q_dim", "q_data"])
+
+    peaks = []
+    for n in (2, 40):
+        batch = pairs(n)
+        tracemalloc.start()
+        found = sum(b.num_rows for b in retrieval._nearest(5, True)([batch]))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        # of six ids, all zero to five, each query that is one of them leaves out itself
+        assert found == n * (16 * 6 - 6)
+    assert peaks[1] < 1.5 * peaks[0], peaks

@@ -138,3 +138,10 @@ def test_blocks_are_read_where_they_lie():
         peaks.append(tracemalloc.get_traced_memory()[1])
         tracemalloc.stop()
     assert peaks[1] < 1.5 * peaks[0], peaks
+
+
+def test_hits_below_the_least_that_counts_are_not_passed_on():
+    found = [r for b in vector_index._meet(50, None)([_block_pairs(1, np.random.default_rng(3))]) for r in b.to_pylist()]
+    assert sum(r["query_id"] % 2 == 0 for r in found) == 16 * 50
+    odd = [r["similarity"] for r in found if r["query_id"] % 2]
+    assert odd and min(odd) >= 0.4 and len(odd) < 16 * 50

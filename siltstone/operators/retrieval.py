@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.operators.timeseries import numbered
-from siltstone.shared import settled
+from siltstone.shared import settled, small_batches
 
 #: BM25's constants and the ladder of weights for the items of one group (fixed values).
 K1, B = 1.2, 0.75
@@ -118,6 +118,7 @@ def knn(vectors: DataFrame, vec_id: str, vector: str, queries: DataFrame, k: int
     queries (query_id, query) may be as many as the vectors: both go in blocks of bounded size, each pair of blocks
     meets in some task, and only a block's own top k for each query is exchanged. Ids are non-null whole numbers, and an id is one vector.
     """
+    small_batches(vectors.sparkSession)
     kind = "ids array<long>, dim int, data binary"
     mine = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).mapInArrow(_blocks(2048), kind)
     asked = queries.select(F.col("query_id").cast("long").alias("id"), F.col("query").cast("array<double>").alias("v")).mapInArrow(_blocks(256), kind)

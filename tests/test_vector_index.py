@@ -145,3 +145,21 @@ def test_hits_below_the_least_that_counts_are_not_passed_on():
     assert sum(r["query_id"] % 2 == 0 for r in found) == 16 * 50
     odd = [r["similarity"] for r in found if r["query_id"] % 2]
     assert odd and min(odd) >= 0.4 and len(odd) < 16 * 50
+
+
+def test_blocks_go_to_python_a_few_megabytes_at_once(spark, monkeypatch):
+    """However many blocks of queries a list meets."""
+
+    def sizes(k, floor):
+        def run(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64()), pa.array([0], pa.int64()), pa.array([float(b.nbytes)])], ["query_id", "rep", "similarity"])
+
+        return run
+
+    rows = spark.range(9000).select("id", F.array(*[F.rand(i) for i in range(64)]).alias("v"))
+    index = vector_index.build(rows, "id", "v", lists=1)
+    asked = rows.where("id < 2000").select(F.col("id").alias("query_id"), F.col("v").alias("q"), F.lit(None).cast("double").alias("least"), F.lit(0).alias("list"))
+    monkeypatch.setattr(vector_index, "_meet", sizes)
+    got = vector_index._hits(index, asked, 5, None).collect()
+    assert sum(r.query_id for r in got) == 5 * 8 and max(r.similarity for r in got) < 8e6, got

@@ -76,6 +76,12 @@ def removed(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def dropped(df: DataFrame) -> None:
+    """Removes a table of written() that nothing reads any more, before the settled() around it ends."""
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        removed(df.sparkSession, folder)
+
+
 def file_row() -> Column:
     """Names a row of a table that is read from Parquet files as it stands: a 128-bit digest of the file's path, and the place in the file.
 

@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import give_back, join_hot, keeps, only, settled, small_batches, written
+from siltstone.llm.common import dropped, give_back, join_hot, keeps, only, settled, small_batches, written
 
 #: Counters of the frequency sketch: a fixed size, whatever the corpus.
 SKETCH_BITS = 22
@@ -45,6 +45,8 @@ MATCHES = 8
 LONG = 128
 #: Members of a group that one task looks at together when it seeks the centre.
 _SLICE = 5000
+#: Pairs whose ends may be broadcast, if the texts are at least so many times as many.
+_FEW, _FEWER = 1 << 18, 16
 
 _SETS = "doc_id long, n long, sig binary, text binary, block int, counts binary"
 _PREFIX = "token long, sid long, n long, pos int, common boolean"
@@ -209,10 +211,15 @@ def _verifier(size: int, num: int, den: int):
 
 
 def verify(pairs: DataFrame, texts: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """pairs (a, b) with linked: whether den * intersection >= num * union."""
+    """pairs (a, b) with linked: whether den * intersection >= num * union. For few pairs only their own texts are shuffled."""
+    pairs = written(pairs.select("a", "b"), "pairs")
+    n = pairs.count()
+    if n <= _FEW and n * _FEWER <= texts.count():
+        ends = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
+        texts = texts.join(F.broadcast(ends), "sid", "left_semi")
     one = texts.select(F.col("sid").alias("a"), F.col("text").alias("text_a"))
     two = texts.select(F.col("sid").alias("b"), F.col("text").alias("text_b"))
-    return pairs.select("a", "b").join(one, "a").join(two, "b").mapInArrow(_verifier(size, num, den), "a long, b long, linked boolean")
+    return pairs.join(one, "a").join(two, "b").mapInArrow(_verifier(size, num, den), "a long, b long, linked boolean")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -286,7 +293,9 @@ def _first_entries(prefixes: DataFrame, num: int, den: int) -> DataFrame:
 
 def _first_lists(texts: DataFrame, size: int, num: int, den: int, classes) -> DataFrame:
     prefixes = written(texts.mapInArrow(_prefixes(size, num, den, classes), _PREFIX), "prefixes")
-    return _chosen(written(_first_entries(prefixes, num, den), "entries"))
+    entries = written(_first_entries(prefixes, num, den), "entries")
+    dropped(prefixes)
+    return _chosen(entries)
 
 
 def _chosen(entries: DataFrame) -> DataFrame:
@@ -484,7 +493,11 @@ def _similarity_groups(docs: DataFrame, size: int, num: int, den: int, long: int
     texts = sets.where(F.col("text").isNotNull()).select("sid", "text")
     lists = settled(spark, "lists", lambda: _first_lists(texts, size, num, den, classes))
     # the texts that may have a partner, each once
-    some = written(texts.join(lists.select("sid").distinct(), "sid").dropDuplicates(["sid"]), "candidate-texts")
+    some = settled(spark, "candidate-texts", lambda: texts.join(lists.select("sid").distinct(), "sid").dropDuplicates(["sid"]))
+    # of the documents only their numbers are needed from here on
+    numbers = sets.select("doc_id", "n", "sid").unionByName(every.where(F.col("sig").isNull() & F.col("n").isNotNull()).select("doc_id", "n"), allowMissingColumns=True)
+    numbers = written(numbers, "set-numbers")
+    dropped(every)
     checked = [settled(spark, "hub-links", lambda: verify(_hub_pairs(lists, num, den), some, size, num, den))]
     links = checked[0].where("linked").select("a", "b")
     labels = components(links)
@@ -503,15 +516,15 @@ def _similarity_groups(docs: DataFrame, size: int, num: int, den: int, long: int
             labels = components(links)
         if not more:
             break
-    own = sets.select("doc_id", "n", "sid").join(labels, "sid", "left").select("doc_id", "n", F.coalesce("root", "sid").alias("root"))
+    own = numbers.where(F.col("sid").isNotNull()).join(labels, "sid", "left").select("doc_id", "n", F.coalesce("root", "sid").alias("root"))
     own = written(own, "roots")
     per_root = own.groupBy("root").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n_rows"))
-    return _with_least(own, per_root, every)
+    return _with_least(own, per_root, numbers)
 
 
-def _with_least(own: DataFrame, per_root: DataFrame, every: DataFrame) -> DataFrame:
+def _with_least(own: DataFrame, per_root: DataFrame, numbers: DataFrame) -> DataFrame:
     grouped = written(per_root.where("n_rows > 1"), "groups")
     single = own.join(grouped.select("root"), "root", "left_anti").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     several = join_hot(own, grouped, ["root"], "n_rows", own.count()).select("doc_id", F.col("n").alias("n_shingles"), F.col("least").alias("component_id"))
-    empty = every.where(F.col("sig").isNull() & F.col("n").isNotNull()).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    empty = numbers.where(F.col("sid").isNull()).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return single.unionByName(several).unionByName(empty)

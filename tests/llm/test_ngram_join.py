@@ -1,8 +1,12 @@
 import re
+from pathlib import Path
 
 import numpy as np
 import pytest
+import zstandard
 
+from siltstone.llm import ngram_join
+from siltstone.llm.common import shared_dir
 from siltstone.llm.ngram_join import components, similarity_groups
 from tests.llm.cases import ODD, clashing, empty, frame, rows_of, sample
 
@@ -129,3 +133,23 @@ def test_components(spark):
         assert got[i] == (i - 1) // 50 * 50 + 1
     assert got[302] == got[301] == 300
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_few_pairs_shuffle_only_their_own_texts(spark):
+    pack = zstandard.ZstdCompressor().compress
+    texts = spark.createDataFrame([(i, pack(f"a{i // 2} b c d e".encode())) for i in range(64)], "sid long, text binary")
+    pairs = spark.createDataFrame([(0, 1), (2, 4)], "a long, b long")
+    found = ngram_join.verify(pairs, texts, 4, 85, 100)
+    assert sorted(map(tuple, found.collect())) == [(0, 1, True), (2, 4, False)]
+    assert "LeftSemi" in found._jdf.queryExecution().optimizedPlan().toString()
+    many = spark.createDataFrame([(i, i + 1) for i in range(0, 64, 2)], "a long, b long")
+    assert sorted(map(tuple, ngram_join.verify(many, texts, 4, 85, 100).collect())) == [(i, i + 1, True) for i in range(0, 64, 2)]
+
+
+def test_all_texts_are_gone_once_the_candidates_are_known(spark, monkeypatch):
+    seen, hub_pairs = [], ngram_join._hub_pairs
+    there = lambda: {p.name for p in Path(shared_dir(spark).removeprefix("file:"), "siltstone").glob("*")}
+    before = there()
+    monkeypatch.setattr(ngram_join, "_hub_pairs", lambda *a: [seen.extend(there() - before), hub_pairs(*a)][1])
+    assert similarity_groups(sample(spark, "0.001").select("doc_id", "text"), 4, 85, 100).count()
+    assert sorted(x.rpartition("-")[0] for x in seen) == ["candidate-texts", "lists", "set-numbers"]

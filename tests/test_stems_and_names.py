@@ -118,3 +118,14 @@ def test_known_aliases_and_the_first_suggestions(spark):
     assert names.near_duplicates(df.limit(0), "n").count() == 0
     with pytest.raises(ValueError):
         names.near_duplicates(df, "n", 0.5)
+
+
+def test_texts_go_to_python_a_few_megabytes_at_once(spark, monkeypatch):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64()), pa.array(["x"]), pa.array([b.nbytes], pa.int64()), pa.array([0], pa.int64())], ["id", "word", "n", "length"])
+
+    monkeypatch.setattr(stemmed, "_counted", sizes)
+    docs = spark.range(3000).repartition(1).select("id", F.repeat(F.lit("word "), 1000).alias("text"))
+    got = stemmed.word_counts(docs, "id", "text").collect()
+    assert sum(r.id for r in got) == 3000 and max(r.n for r in got) < 8e6

@@ -25,7 +25,7 @@ from a nearer centre, until none is left.
 from __future__ import annotations
 
 import hashlib
-import zlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import dropped, give_back, join_hot, keeps, only, settled, small_batches, written
+from siltstone.llm.common import dropped, give_back, join_hot, only, settled, small_batches, written
 
 #: Counters of the frequency sketch: a fixed size, whatever the corpus.
 SKETCH_BITS = 22
@@ -53,45 +53,68 @@ _PREFIX = "token long, sid long, n long, pos int, common boolean"
 _ENTRIES = ["gid", "token", "sid", "n", "d", "s", "need", "pos"]
 
 
-class _Hashes(dict):
-    """Word -> 64-bit hash."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 200_000:
-            self.clear()
-        h = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        return h
-
-
-_HASHES = _Hashes()
-
-
-keeps("shingles", _HASHES.clear)
-
-
-def _rest() -> None:
-    """Empties the memo at the end of a task, for the stages that come after it in a reused worker."""
-    _HASHES.clear()
-    give_back()
+#: Bytes of texts whose words are hashed together. Longer words than _LONG_WORD bytes are hashed one by one.
+_TOGETHER, _LONG_WORD = 1 << 16, 64
+_SPACE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+#: By number of bytes: the low ones of eight.
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def _word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of data start, and a 64-bit hash of each; words are parted by ASCII white space."""
+    raw = np.frombuffer(b" %b        " % data, np.uint8)
+    space = _SPACE[raw]
+    edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+    starts, lengths = edges[::2], edges[1::2] - edges[::2]
+    eights = np.ndarray(len(raw) - 7, "<u8", raw, strides=(1,))  # the eight bytes from each place on
+    h = lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    longest = min(int(lengths.max(initial=0)), _LONG_WORD)
+    for at in range(0, longest, 8):
+        own = np.flatnonzero(lengths > at)
+        x = eights[starts[own] + at] & _LOW[np.minimum(lengths[own] - at, 8)]
+        x = (h[own] ^ x) * np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0x94D049BB133111EB)
+        h[own] = x ^ (x >> np.uint64(29))
+    for i in np.flatnonzero(lengths > _LONG_WORD):
+        word = raw[starts[i] : starts[i] + lengths[i]].tobytes()
+        h[i] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+    return starts - 1, h
+
+
+def _sets_of(texts: list[bytes], size: int) -> Iterator[np.ndarray]:
+    starts, w = _word_hashes(b" ".join(texts))
+    h = w[: max(0, len(w) - size + 1)].copy()
+    for k in range(1, size):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + w[k : len(h) + k]
+        h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    bounds = np.searchsorted(starts, ends).tolist()
+    for text, i, j in zip(texts, [0, *bounds[:-1]], bounds, strict=True):
+        if i == j:
+            yield np.zeros(0, np.uint64)
+        elif j - i < size:
+            whole = hashlib.blake2b(b"\0" + b" ".join(text.split()), digest_size=8).digest()
+            yield np.frombuffer(whole, np.uint64).copy()
+        else:
+            own = np.sort(h[i : j - size + 1])
+            new = own[1:] != own[:-1]
+            yield own if new.all() else np.concatenate([own[:1], own[1:][new]])
 
 
-def shingle_set(text: bytes, size: int) -> np.ndarray:
-    """Sorted 64-bit hashes of the distinct shingles of `size` words (parted by ASCII white space); with fewer words, of all of them."""
-    words = text.split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    if len(words) < size:
-        whole = hashlib.blake2b(b"\0" + b" ".join(words), digest_size=8).digest()
-        return np.frombuffer(whole, np.uint64).copy()
-    w = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
-    h = w[: len(w) - size + 1].copy()
-    with np.errstate(over="ignore"):
-        for k in range(1, size):
-            h = h * np.uint64(0x9E3779B97F4A7C15) + w[k : len(w) - size + 1 + k]
-            h ^= h >> np.uint64(29)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(32)
-    return np.unique(h)
+def shingled(texts: Iterable[bytes], size: int) -> Iterator[tuple[bytes, np.ndarray]]:
+    """Each text with the sorted 64-bit hashes of its distinct shingles of `size` words (parted by ASCII white space); with fewer words, of all of them."""
+    held, n = [], 0
+    for text in texts:
+        held.append(text)
+        n += len(text)
+        if n >= _TOGETHER:
+            yield from zip(held, _sets_of(held, size), strict=True)
+            held, n = [], 0
+    if held:
+        yield from zip(held, _sets_of(held, size), strict=True)
 
 
 def _lowered(text: str | None) -> bytes:
@@ -109,9 +132,8 @@ def _sets(size: int):
             for i in range(0, b.num_rows, 1000):
                 part, rows = b.slice(i, 1000), []
                 tokens = []
-                for doc_id, text in zip(part["doc_id"].to_pylist(), part["text"].to_pylist(), strict=True):
-                    text = _lowered(text)
-                    own = shingle_set(text, size)
+                texts = map(_lowered, part["text"].to_pylist())
+                for doc_id, (text, own) in zip(part["doc_id"].to_pylist(), shingled(texts, size), strict=True):
                     sig = hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None
                     first = sig is not None and sig not in seen
                     if first:
@@ -119,13 +141,13 @@ def _sets(size: int):
                         tokens.append(own)
                     rows.append((doc_id, len(own), sig, pack.compress(text) if first else None, None, None))
                 if tokens:
-                    sketch += np.bincount((np.concatenate(tokens) >> shift).astype(np.int64), minlength=1 << SKETCH_BITS)
+                    np.add.at(sketch, (np.concatenate(tokens) >> shift).astype(np.int64), 1)
                 yield _set_batch(rows)
         for k in range(1 << (SKETCH_BITS - _BLOCK_BITS)):
             block = sketch[k << _BLOCK_BITS : (k + 1) << _BLOCK_BITS]
             if block.any():
-                yield _set_batch([(None, None, None, None, k, zlib.compress(block.astype("<u4").tobytes(), 1))])
-        _rest()
+                yield _set_batch([(None, None, None, None, k, pack.compress(block.astype("<u4").tobytes()))])
+        give_back()
 
     return run
 
@@ -136,10 +158,10 @@ def _set_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _added(pdf: pd.DataFrame) -> pd.DataFrame:
-    total = np.zeros(1 << _BLOCK_BITS, np.int64)
+    total, unpack = np.zeros(1 << _BLOCK_BITS, np.int64), zstandard.ZstdDecompressor()
     for c in pdf["counts"]:
-        total += np.frombuffer(zlib.decompress(c), "<u4")
-    return pd.DataFrame({"block": [pdf["block"].iloc[0]], "counts": [zlib.compress(total.tobytes(), 1)]})
+        total += np.frombuffer(unpack.decompress(c), "<u4")
+    return pd.DataFrame({"block": [pdf["block"].iloc[0]], "counts": [zstandard.ZstdCompressor(level=1).compress(total.tobytes())]})
 
 
 def frequency_classes(sets: DataFrame) -> np.ndarray:
@@ -147,10 +169,10 @@ def frequency_classes(sets: DataFrame) -> np.ndarray:
 
     A counter that many rare shingles fall on comes to the mean, give or take its root: three times that tells apart.
     """
-    counts = np.zeros(1 << SKETCH_BITS, np.int64)
+    counts, unpack = np.zeros(1 << SKETCH_BITS, np.int64), zstandard.ZstdDecompressor()
     merged = sets.where(F.col("block").isNotNull()).select("block", "counts").groupBy("block").applyInPandas(_added, "block int, counts binary")
     for r in merged.toLocalIterator():
-        counts[r["block"] << _BLOCK_BITS : (r["block"] + 1) << _BLOCK_BITS] = np.frombuffer(zlib.decompress(r["counts"]), np.int64)
+        counts[r["block"] << _BLOCK_BITS : (r["block"] + 1) << _BLOCK_BITS] = np.frombuffer(unpack.decompress(r["counts"]), np.int64)
     beyond = (counts - counts.mean()) / (1 + 3 * counts.mean() ** 0.5)
     return np.where(beyond > 1, np.floor(np.log2(np.maximum(beyond, 1))) + 1, 0).astype(np.uint8)
 
@@ -170,8 +192,8 @@ def _prefixes(size: int, num: int, den: int, shared):
         for b in batches:
             for i in range(0, b.num_rows, 500):
                 part, out = b.slice(i, 500), []
-                for sid, text in zip(part["sid"].to_pylist(), part["text"].to_pylist(), strict=True):
-                    own = shingle_set(unpack.decompress(text), size)
+                texts = map(unpack.decompress, part["text"].to_pylist())
+                for sid, (_, own) in zip(part["sid"].to_pylist(), shingled(texts, size), strict=True):
                     need = -(-num * len(own) // den)
                     p = min(len(own), len(own) - need + MATCHES)
                     out.append((rare_first(own, classes)[:p].view(np.int64), sid, len(own)))
@@ -182,7 +204,7 @@ def _prefixes(size: int, num: int, den: int, shared):
                     columns = [tokens, np.repeat(np.array([s for _, s, _ in out], np.int64), lengths), np.repeat(np.array([n for _, _, n in out], np.int64), lengths), pos.astype(np.int32)]
                     common = classes[(tokens.view(np.uint64) >> shift).astype(np.int64)] > 0
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*columns, common)], ["token", "sid", "n", "pos", "common"])
-        _rest()
+        give_back()
 
     return run
 
@@ -190,22 +212,22 @@ def _prefixes(size: int, num: int, den: int, shared):
 def _verifier(size: int, num: int, den: int):
     def run(batches):
         unpack, cache = zstandard.ZstdDecompressor(), {}
-
-        def tokens(sid, text):
-            if sid not in cache:
-                if len(cache) > 200:
-                    cache.clear()
-                cache[sid] = shingle_set(unpack.decompress(text), size)
-            return cache[sid]
-
         for b in batches:
             linked = []
-            for sa, sb, ta, tb in zip(*(b[c].to_pylist() for c in ("a", "b", "text_a", "text_b")), strict=True):
-                x, y = tokens(sa, ta), tokens(sb, tb)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                linked.append(den * both >= num * (len(x) + len(y) - both))
+            for i in range(0, b.num_rows, 50):
+                one, two, text_a, text_b = (b[c].slice(i, 50).to_pylist() for c in ("a", "b", "text_a", "text_b"))
+                texts = dict(zip(one + two, text_a + text_b, strict=True))
+                if len(cache) > 100:
+                    cache = {sid: cache[sid] for sid in texts if sid in cache}
+                new = [sid for sid in texts if sid not in cache]
+                found = shingled((unpack.decompress(texts[sid]) for sid in new), size)
+                cache.update((sid, own) for sid, (_, own) in zip(new, found, strict=True))
+                for sa, sb in zip(one, two, strict=True):
+                    x, y = cache[sa], cache[sb]
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    linked.append(den * both >= num * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([b["a"], b["b"], pa.array(linked, pa.bool_())], ["a", "b", "linked"])
-        _rest()
+        give_back()
 
     return run
 
@@ -388,15 +410,16 @@ def _tally(size: int):
             return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["gid", "token", "n"])
 
         for b in batches:
-            for g, part, text in zip(b["gid"].to_pylist(), b["part"].to_pylist(), b["text"].to_pylist(), strict=True):
+            texts = map(unpack.decompress, b["text"].to_pylist())
+            for g, part, (_, own) in zip(b["gid"].to_pylist(), b["part"].to_pylist(), shingled(texts, size), strict=True):
                 if gid != (g, part) and sets:
                     yield counted()
                     sets = []
                 gid = g, part
-                sets.append(shingle_set(unpack.decompress(text), size))
+                sets.append(own)
         if sets:
             yield counted()
-        _rest()
+        give_back()
 
     return run
 
@@ -412,8 +435,9 @@ def _differences(size: int, num: int, den: int, shared):
         for b in batches:
             for i in range(0, b.num_rows, 500):
                 part, rows = b.slice(i, 500), []
-                for gid, sid, text, centre in zip(*(part[c].to_pylist() for c in ("gid", "sid", "text", "centre")), strict=True):
-                    own, middle = shingle_set(unpack.decompress(text), size), np.array(centre or [], np.int64).view(np.uint64)
+                texts = map(unpack.decompress, part["text"].to_pylist())
+                for gid, sid, centre, (_, own) in zip(*(part[c].to_pylist() for c in ("gid", "sid", "centre")), shingled(texts, size), strict=True):
+                    middle = np.array(centre or [], np.int64).view(np.uint64)
                     beyond = rare_first(np.setdiff1d(own, middle, assume_unique=True), classes)
                     lacking = middle[~np.isin(middle, own, assume_unique=True)]
                     d = len(beyond) + len(lacking)
@@ -421,7 +445,7 @@ def _differences(size: int, num: int, den: int, shared):
                 if rows:
                     types = (*[pa.int64()] * 5, pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types, strict=True)], ["gid", "sid", "n", "d", "s", "tokens"])
-        _rest()
+        give_back()
 
     return run
 

@@ -2,6 +2,7 @@ import re
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import zstandard
 
@@ -153,3 +154,27 @@ def test_all_texts_are_gone_once_the_candidates_are_known(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "_hub_pairs", lambda *a: [seen.extend(there() - before), hub_pairs(*a)][1])
     assert similarity_groups(sample(spark, "0.001").select("doc_id", "text"), 4, 85, 100).count()
     assert sorted(x.rpartition("-")[0] for x in seen) == ["candidate-texts", "lists", "set-numbers"]
+
+
+def test_words_are_hashed_together(monkeypatch):
+    """Texts of words that are all new take no digest each, and texts hashed together have the sets that they have alone."""
+    made, digest = [], ngram_join.hashlib.blake2b
+    monkeypatch.setattr(ngram_join.hashlib, "blake2b", lambda *a, **how: [made.append(1), digest(*a, **how)][1])
+    texts = [" ".join(f"w{i}x{j}" for j in range(500)) for i in range(40)]
+    docs = pa.RecordBatch.from_pydict({"doc_id": list(range(40)), "text": texts})
+    rows = [r for b in ngram_join._sets(4)([docs]) for r in b.to_pylist() if r["n"] is not None]
+    assert [r["n"] for r in rows] == [497] * 40 and len({r["sig"] for r in rows}) == 40
+    assert len(made) <= 40, len(made)
+
+    rng = np.random.default_rng(5)
+    words = ["a", "a\0", "a\0\0", "é", "b" * 8, "b" * 9, "b" * 16, "c" * 64, "c" * 65, "c" * 500, "c" * 499 + "d", "\x1c", "\xa0", "\0"]
+    gaps = [" ", "  ", "\t", "\n", "\r\n", "\v", "\f"]
+    odd = ["", " ", "\n\t", "one", " two words ", "four words are here", *("".join(words[w] + gaps[g] for w, g in zip(rng.integers(0, len(words), n), rng.integers(0, len(gaps), n), strict=True)) for n in rng.integers(1, 60, 300))]
+    together = list(ngram_join.shingled((t.encode() for t in odd), 4))
+    assert [t.decode() for t, _ in together] == odd
+    for text, (_, own) in zip(odd, together, strict=True):
+        assert len(own) == len(shingles(text, 4)) and (np.diff(own.astype(object)) > 0).all()
+        ((_, alone),) = ngram_join.shingled([text.encode()], 4)
+        assert alone.tolist() == own.tolist()
+    parts = {s: h for text, (_, own) in zip(odd, together, strict=True) if len(shingles(text, 4)) == 1 for s, h in zip(shingles(text, 4), own.tolist(), strict=True)}
+    assert len(set(parts.values())) == len(parts) > 5
